@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
 }
 ORACLES: dict[str, str] = {}
