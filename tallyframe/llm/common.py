@@ -48,13 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, schema: str, rows: Callable[[dict], dict | Iterable[dict]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict]]) -> DataFrame:
     """``mapInArrow`` over whole batches as Python columns: ``rows`` takes a dict of lists and
     returns a dict of lists in the order of ``schema`` (of any common length)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

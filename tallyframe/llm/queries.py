@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash
+from . import bpe, media, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_jpeg_media": media.op2_jpeg_media,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
