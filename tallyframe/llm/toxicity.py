@@ -287,20 +287,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t for _, _, t in rows], [int(y > 0) for _, y, _ in rows])
 
 
-_hits: dict[int, Hits] = {}
+_hits: dict[tuple, Hits] = {}
+
+
+def hits_of(terms: list[tuple[str, bool, float, int]]) -> Hits:
+    """One table of hits for each worker process, while the terms are the same."""
+    key = tuple(terms)
+    if key not in _hits:
+        _hits.clear()
+        _hits[key] = Hits(Automaton(terms))
+    return _hits[key]
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``id_col``, ``score``, ``predicted``, ``n_hits``, ``n_quoted``; with ``keep`` also all columns of ``docs``
     whose names differ from these."""
-    key = hash(tuple(model["terms"]))
     weights = np.array(model["weights"])
 
     def rows(b: dict) -> dict:
-        if key not in _hits:
-            _hits.clear()
-            _hits[key] = Hits(Automaton(model["terms"]))
-        hits = _hits[key]
+        hits = hits_of(model["terms"])
         found = [features(t or "", hits) for t in b[text_col if keep else "__text"]]
         p = 1 / (1 + np.exp(-np.clip(np.array([x for x, _, _ in found]) @ weights[:-1] + weights[-1], -30, 30)))
         return b | {"score": p.tolist(), "predicted": (p >= THRESHOLD).astype(int).tolist(), "n_hits": [n for _, n, _ in found], "n_quoted": [q for _, _, q in found]}
