@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, secrets, simhash, toxicity
+from . import bpe, media, mixing, quality, secrets, shards, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
+    "op6_shards": shards.op6_shards,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
