@@ -48,9 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that are Python values at once.
+SLICE = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``size`` bytes."""
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
+
+
 def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict]]) -> DataFrame:
-    """``mapInArrow`` over whole batches as Python columns: ``rows`` takes a dict of lists and
-    returns a dict of lists in the order of ``schema`` (of any common length)."""
+    """``mapInArrow`` over slices of batches as Python columns: ``rows`` takes a dict of lists and
+    returns a dict of lists with the names of ``schema`` (of any common length)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -58,8 +69,8 @@ def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = rows({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            for part in slices(batch):
+                out = rows({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

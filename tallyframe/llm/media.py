@@ -359,7 +359,7 @@ def thumbnails(medias: list[bytes | None]) -> list[tuple[list[np.ndarray], dict]
         blocks = np.concatenate([np.minimum(i["interval"], r * c - np.arange(n) * i["interval"]) for (r, c), n, i in zip(shapes, lanes, group, strict=True)])
         dcs = np.cumsum(in_step([i["coded"] for i in group], lanes, blocks, dc, ac), axis=1)
         inside = np.arange(dcs.shape[1]) < blocks[:, None]
-        flat, at = dcs[inside], 0
+        flat, at = dcs[inside].astype(np.int16), 0
         for (r, c), i in zip(shapes, group, strict=True):
             i["dc"] = flat[at : at + r * c].reshape(r, c)
             at += r * c
@@ -385,7 +385,9 @@ def thumbnails(medias: list[bytes | None]) -> list[tuple[list[np.ndarray], dict]
             for image in own:
                 dc = image["dc"] if "dc" in image else one_by_one(image, {k: _lookup(t) for k, t in image["huff"].items()})
                 quant = image["quant"][image["frame"][2][0][3]]
-                thumbs.append(np.clip((dc * quant + 1028) >> 3, 0, 255).astype(np.uint8))
+                thumbs.append(np.clip((dc.astype(np.int64) * quant + 1028) >> 3, 0, 255).astype(np.uint8))
+                image.pop("coded", None)
+                image.pop("dc", None)
             out.append((thumbs, own[0]))
         except (NotBaseline, IndexError, KeyError, ValueError) as e:
             out.append(str(e) or "broken")
