@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, secrets, shards, simhash, toxicity
+from . import bpe, chat, licenses, media, mixing, quality, secrets, shards, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
     "op6_shards": shards.op6_shards,
+    "op7_perspectives": chat.op7_perspectives,
+    "op8_licenses": licenses.op8_licenses,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op7_perspectives": chat.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
