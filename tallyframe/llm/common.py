@@ -79,3 +79,29 @@ def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict
 def word_count(text) -> F.Column:
     """Number of words of ``text`` as a native expression (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of one bitmap of Spark's bitmap functions, and the most bitmaps that are sent to all executors (8 MB).
+BITMAP, BITMAPS = 32_768, 2_048
+
+
+def split_by_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows that may have one of ``ids`` (one column, a written table), and rows that certainly
+    have none. A join with the first part alone spares the others' texts a shuffle.
+
+    The test is a bitmap of hashed ids, 16 bits for each id up to 8 MB in all; it has false hits, never
+    misses, so a larger set of ids only makes the first part larger."""
+    name = ids.columns[0]
+    n = ids.count()
+    buckets = 1
+    while buckets < BITMAPS and buckets * BITMAP < 16 * n:
+        buckets *= 2
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit("ids")), F.lit(buckets * BITMAP))
+    maps = ids.select(place(F.col(name)).alias("h")).groupBy(F.expr(f"h div {BITMAP}").alias("__bucket")).agg(F.expr(f"bitmap_construct_agg(h % {BITMAP})").alias("__bits"))
+    maps = written(maps, "bitmaps")  # at most BITMAPS rows of 4 kB
+    h = place(docs[id_col])
+    flagged = docs.withColumn("__h", h).withColumn("__bucket", F.expr(f"__h div {BITMAP}")).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.expr(f"__h % {BITMAP} div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(__byte, cast(__h % 8 as int))").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    flagged = flagged.withColumn("__byte", byte).withColumn("__hit", hit).select(*docs.columns, "__hit")
+    return flagged.where("__hit").drop("__hit"), flagged.where("NOT __hit").drop("__hit")

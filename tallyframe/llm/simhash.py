@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, written
+from .common import arrow_map, split_by_ids, table, written
 from .components import roots
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -275,6 +275,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``docs``, all columns, with the document of smallest id of each component; of rows that share an id one stays. Only
+    rows that may go meet the list of those that do. Column names beginning with ``__`` are reserved."""
+    found = near_duplicates(docs, id_col, text_col, distance).select(F.col(id_col).cast("long").alias("__simhash_id"), "component_id")
+    doubtful = found.groupBy("__simhash_id").agg(F.count("*").alias("__simhash_n"), F.bool_or(F.col("__simhash_id") == F.col("component_id")).alias("__simhash_keep"))
+    doubtful = written(doubtful.where("__simhash_n > 1 OR NOT __simhash_keep"), "doubtful")
+    some, unique = split_by_ids(docs.withColumn("__simhash_key", F.col(id_col).cast("long")), "__simhash_key", doubtful.select("__simhash_id"))
+    kept = some.join(doubtful, F.col("__simhash_key") == F.col("__simhash_id"), "left").where(F.coalesce("__simhash_keep", F.lit(True))).dropDuplicates(["__simhash_key"])
+    return kept.select(*docs.columns).unionByName(unique.select(*docs.columns))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every document's fingerprint and near-duplicate component."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -97,3 +97,18 @@ def test_documents(spark):
     least = brute_components(sorted(fps), lambda x, y: (fps[x] ^ fps[y]).bit_count() <= 4)
     assert got == sorted((i, f"{fps[i]:016x}", least[i]) for i, _ in rows)
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_deduplicated_and_split(spark):
+    from tallyframe.llm.common import split_by_ids
+
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text), (2, text), (3, text + " x"), (4, "quite another text of its own kind"), (4, "quite another text of its own kind"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, component_id string")
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 4, 5]
+    many = spark.range(5000)
+    ids = many.where("id % 7 = 0")
+    some, none = split_by_ids(many, "id", ids)
+    a, b = {r.id for r in some.collect()}, {r.id for r in none.collect()}
+    assert {i for i in range(0, 5000, 7)} <= a and not a & b and len(a | b) == 5000 and len(a) < 1200
