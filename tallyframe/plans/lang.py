@@ -66,8 +66,9 @@ def expand_copies(source: str, library: Mapping[str, str], depth: int = 10, seen
         text = cleaned(text)
         for r in re.finditer(r"(?is)(LEADING\s+|TRAILING\s+)?(?:==(.*?)==|([\w:()-]+|'[^']*'|\"[^\"]*\"))\s+BY\s+(?:==(.*?)==|([\w:()-]+|'[^']*'|\"[^\"]*\"))", m[2] or ""):
             side, old, new = (r[1] or "").strip().upper(), (r[2] if r[2] is not None else r[3]).strip(), (r[4] if r[4] is not None else r[5] or "").strip()
-            word = r"[\w-]"
-            pattern = {"": rf"(?<!{word}){re.escape(old)}(?!{word})", "LEADING": rf"(?<!{word}){re.escape(old)}", "TRAILING": rf"{re.escape(old)}(?!{word})"}[side]
+            before = r"(?<![\w-])" if re.match(r"[\w-]", old) and side != "TRAILING" else ""
+            after = r"(?![\w-])" if re.search(r"[\w-]$", old) and side != "LEADING" else ""
+            pattern = before + re.escape(old) + after
             text = re.sub(pattern, lambda _, new=new: new, text, flags=re.I)
         text, more = expand_copies(text, library, depth - 1, (*seen, name))
         issues.extend(more)

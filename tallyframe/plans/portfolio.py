@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.plans.lang import ENDS, VERBS
+
 #: Statement kinds that count as construct categories.
 CATEGORIES = ("PERFORM", "COMPUTE", "IF", "EVALUATE", "MOVE", "ARITHMETIC", "STRING", "UNSTRING", "INSPECT", "SEARCH", "SORT", "CALL", "GO TO")
 
@@ -27,7 +29,7 @@ def control_edges(paragraphs: DataFrame, edges: DataFrame) -> DataFrame:
     chain = follows.join(ranges, "program").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))).select("program", "src", "dst")
     performed = edges.where(F.col("kind").isin("PERFORM", "THRU")).select("program", F.explode(F.array("dst", F.coalesce("first", "dst"))).alias("src")).distinct()
     fall = follows.where(~F.col("ends")).join(performed, ["program", "src"], "left_anti").select("program", "src", "dst")
-    return direct.union(chain).union(fall).distinct()
+    return direct.select("program", "src", "dst").unionByName(chain).unionByName(fall).distinct()
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -36,7 +38,8 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     found = seeds.select("program", "node").distinct().cache()
     new = found
     while True:
-        new = new.join(edges, (new["program"] == edges["program"]) & (new["node"] == edges["src"])).select(edges["program"], edges["dst"].alias("node")).distinct().join(found, ["program", "node"], "left_anti").cache()
+        step = new.select(F.col("program").alias("p"), F.col("node").alias("src")).join(edges.withColumnRenamed("program", "p"), ["p", "src"])
+        new = step.select(F.col("p").alias("program"), F.col("dst").alias("node")).distinct().join(found, ["program", "node"], "left_anti").cache()
         if new.isEmpty():
             return found
         found = found.union(new).cache()
@@ -86,7 +89,10 @@ def transitive(edges: DataFrame) -> DataFrame:
 
 def calls(programs: DataFrame) -> DataFrame:
     """``program``, ``target``, ``kind`` (STATIC or DYNAMIC) and ``args`` of CALLs in source texts."""
-    found = F.regexp_extract_all("source", F.lit(r"""(?is)\bCALL\s+(?:'[^']+'|"[^"]+"|[A-Z0-9-]+)(?:\s+USING\s+(?:(?:BY\s+)?(?:REFERENCE|CONTENT|VALUE)\s+)?[A-Z0-9-]+(?:[\s,]+(?!END-CALL|ON\b|NOT\b|MOVE\b|IF\b|PERFORM\b|STOP\b|DISPLAY\b|CALL\b|GOBACK\b|EXIT\b)(?:BY\s+)?[A-Z0-9-]+)*)?"""), F.lit(0))
+    stops = "|".join(sorted(VERBS | ENDS, key=len, reverse=True))
+    argument = r"(?:BY\s+)?(?:REFERENCE\s+|CONTENT\s+|VALUE\s+)?(?!(?:" + stops + r")\b)[A-Z0-9-]+"
+    target = r"""(?:'[^']+'|"[^"]+"|[A-Z0-9-]+)"""
+    found = F.regexp_extract_all("source", F.lit(rf"(?is)\bCALL\s+{target}(?:\s+USING\s+{argument}(?:[\s,]+{argument})*)?"), F.lit(0))
     each = programs.select("program", F.explode(found).alias("c"))
     target = F.regexp_extract("c", r"""(?i)CALL\s+['"]?([A-Z0-9-]+)""", 1)
     using = F.regexp_extract("c", r"(?is)\sUSING\s+(.*)$", 1)

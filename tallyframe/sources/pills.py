@@ -15,11 +15,10 @@ def field_table(spark: SparkSession, layout: Layout) -> DataFrame:
 
 def joined_pictures(fields: DataFrame, variables: DataFrame) -> DataFrame:
     """Layout fields with the picture of the variable of their name, or of it behind WS- or LS-."""
-    pick = lambda prefix, k: variables.select(F.col("name").alias(f"n{k}"), F.col("picture").alias(f"p{k}")), F.concat(F.lit(prefix), fields["name"])
     out = fields
     for k, prefix in enumerate(("", "WS-", "LS-")):
-        side, key = pick(prefix, k)
-        out = out.join(side, key == side[f"n{k}"], "left")
+        side = variables.select(F.col("name").alias(f"n{k}"), F.col("picture").alias(f"p{k}"))
+        out = out.join(side, F.concat(F.lit(prefix), fields["name"]) == side[f"n{k}"], "left")
     return out.select(*fields.columns, F.coalesce("p0", "p1", "p2").alias("picture"))
 
 

@@ -170,7 +170,7 @@ def read_fixed(spark: SparkSession, path: str, record_length: int) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line records; ``offset`` orders them within their file's split order."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.encode(F.rtrim(F.lit("\r\n"), F.col("value")), "ISO-8859-1").alias("raw"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.encode(F.rtrim("value", F.lit("\r\n")), "ISO-8859-1").alias("raw"))
     return lines.select("file", F.monotonically_increasing_id().alias("offset"), "raw")
 
 
@@ -179,31 +179,35 @@ def without_blanks(records: DataFrame, codepage: str | None = None) -> DataFrame
     return records.where(F.trim(F.replace(F.decode("raw", "ISO-8859-1"), F.lit(space), F.lit(" "))) != "")
 
 
-def numbered(records: DataFrame) -> DataFrame:
-    """``_rec`` and ``raw``: dense numbers in file and offset order, without a global sort or a
-    single-partition window: partitions are counted, then each numbers its own rows from its
-    base. Splits must be in order, as both readers' are."""
-    records = records.select("raw")
+def positions(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """``rows`` with the dense position of each, in the order of their partitions: partitions are counted,
+    then each numbers its own rows from its base. No global sort, no single-partition window."""
+    from pyspark.sql import types as T
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sum(b.num_rows for b in batches)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
-    base, at = {}, 0
-    for p, n in sorted(map(tuple, records.mapInArrow(count, "p int, n bigint").collect())):
+    base, at = {}, first
+    for p, n in sorted(map(tuple, rows.mapInArrow(count, "p int, n bigint").collect())):  # a row for each partition
         base[p] = (at, n)
         at += n
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, n = base[TaskContext.get().partitionId()]
-        first = start
+        start, n = base.get(TaskContext.get().partitionId(), (0, 0))
+        begun = start
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + b.num_rows)), b.column(0)], names=["_rec", "raw"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(start, start + b.num_rows))], names=[*b.schema.names, name])
             start += b.num_rows
-        if start - first != n:
+        if start - begun != n:
             raise RuntimeError("the input changed between two reads")
 
-    return records.mapInArrow(number, "_rec bigint, raw binary")
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """``raw`` and its dense number ``_rec`` in file and offset order; splits must be in order, as both readers' are."""
+    return positions(records.select("raw"), "_rec")
 
 
 def scan(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
