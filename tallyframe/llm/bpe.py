@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, remembered, table
 
 #: Merged matches that a worker remembers; longer matches are merged each time.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 #: Bytes of a match up to which new matches are merged together, and how many at a time.
-TOGETHER, ROWS = 64, 16_384
+TOGETHER, ROWS = 64, 8_192
 #: The key of no pair.
 NONE = 1 << 62
 
@@ -198,7 +198,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
-    def encode_all(self, texts: list[str], chars: int = 4_000_000):
+    def encode_all(self, texts: list[str], chars: int = 1_500_000):
         """Token ids of each text in turn; texts are split ahead until they have ``chars`` characters."""
         for some in in_blocks(texts, chars):
             split = [self.split(t) for t in some]
@@ -223,15 +223,9 @@ def in_blocks(texts: list[str], chars: int):
         yield block
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
 def codec_of(data: bytes, pattern: str) -> Codec:
     """One codec for each worker process and vocabulary."""
-    key = (hash(data), pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(data, pattern)
-    return _codecs[key]
+    return remembered(("bpe", hash(data), pattern), lambda: Codec(data, pattern))
 
 
 def vocabulary(spark: SparkSession, path: str | None = None):

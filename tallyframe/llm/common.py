@@ -49,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that are Python values at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -76,6 +76,18 @@ def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict
     return df.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def remembered(key, make: Callable):
+    """What ``make`` returned for this key in this worker process. One thing is held at a time: a worker that
+    goes on with another operator gives up the former one's tables."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def word_count(text) -> F.Column:
     """Number of words of ``text`` as a native expression (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, table
+from .common import arrow_map, remembered, table
 from .simhash import fingerprint
 
 #: Training rows at most, and the characters of the longest text among them: the bound of the fitted sample.
@@ -134,7 +134,7 @@ class Automaton:
 class Hits(dict):
     """A token between white space to its best hit, or None; forgets everything when full."""
 
-    FULL = 400_000
+    FULL = 100_000
 
     def __init__(self, automaton: Automaton):
         super().__init__()
@@ -287,16 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t for _, _, t in rows], [int(y > 0) for _, y, _ in rows])
 
 
-_hits: dict[tuple, Hits] = {}
-
-
 def hits_of(terms: list[tuple[str, bool, float, int]]) -> Hits:
     """One table of hits for each worker process, while the terms are the same."""
-    key = tuple(terms)
-    if key not in _hits:
-        _hits.clear()
-        _hits[key] = Hits(Automaton(terms))
-    return _hits[key]
+    return remembered(("toxicity", tuple(terms)), lambda: Hits(Automaton(terms)))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
