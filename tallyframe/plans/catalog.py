@@ -104,6 +104,31 @@ def loop_program_arrow(spark, d):
     return out.select(F.col("_rec").alias("record"), F.col("steps").cast("bigint"), F.col("score").cast("bigint"))
 
 
+VERBS_SQL = f"""WITH a AS (SELECT p_partkey, p_name, p_size AS n, {C.format("p_retailprice")} AS p FROM part), b AS (SELECT *, (p * 625 + 500) // 1000 AS v FROM a)
+SELECT p_partkey AS record, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS BIGINT) AS num_e, substr(split_part(p_name, ' ', 1) || '/' || lpad(CAST(n AS VARCHAR), 3, '0'), 1, 12) AS label, CASE WHEN n > 40 THEN 'BIG' WHEN n > 10 THEN 'MID' ELSE 'SMALL' END AS band,
+  CAST(n // 7 AS BIGINT) AS quot, CAST(n % 7 AS BIGINT) AS rest, CAST(CASE WHEN v > 99999 THEN 0 ELSE v END AS BIGINT) AS netp, CASE WHEN v > 99999 THEN 'Y' ELSE 'N' END AS flag,
+  lpad(CASE WHEN p >= 100000 THEN (p // 100000) || ',' || lpad(CAST(p // 100 % 1000 AS VARCHAR), 3, '0') ELSE CAST(p // 100 AS VARCHAR) END, 5, ' ') || '.' || lpad(CAST(p % 100 AS VARCHAR), 2, '0') AS shown FROM b"""
+
+
+def verbs(spark, d, route: str) -> DataFrame:
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("_rec"), F.col("p_name").alias("name"), F.col("p_size").cast("decimal(3,0)").alias("size"), money("p_retailprice", 7).alias("price"))
+    outs = {"num_e": "NUM-E", "label": "LABEL", "band": "BAND", "quot": "QUOT", "rest": "REST", "netp": "NETP", "flag": "FLAG", "shown": "SHOWN"}
+    out, _ = compiler.execute(lang.parse_program(fixtures.VERBS), rows, {"name": "PNAME", "size": "SIZ", "price": "PRICE"}, outs, route)
+    return out.select(F.col("_rec").alias("record"), *(F.col(c).cast("bigint").alias(c) for c in ("num_e", "quot", "rest")), "label", "band", scaled(F.col("netp").cast("decimal(9,1)"), 1).alias("netp"), "flag", "shown")
+
+
+@query(VERBS_SQL)
+def verbs_program(spark, d):
+    """INITIALIZE, INSPECT, STRING, EVALUATE, SET, DIVIDE REMAINDER, ROUNDED, SIZE ERROR and editing as columns."""
+    return verbs(spark, d, "native")
+
+
+@query(VERBS_SQL)
+def verbs_program_arrow(spark, d):
+    """The same program, record by record."""
+    return verbs(spark, d, "arrow")
+
+
 def drifted(spark, d) -> tuple[DataFrame, DataFrame]:
     produced = loan_results(spark, d).select("_rec", "accrued", "interest")
     accrued = F.col("accrued").cast("decimal(11,2)")

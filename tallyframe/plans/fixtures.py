@@ -196,3 +196,39 @@ JOB = """//NIGHTLY  JOB (ACCT),'NIGHT',CLASS=A
 //IN1      DD DSN=PROD.SORTED,DISP=OLD
 //IN2      DD DSN=PROD.EXTRACT,DISP=SHR
 """
+
+VERBS = """
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. VERBS.
+       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+       01 PNAME   PIC X(40).
+       01 SIZ     PIC 9(3).
+       01 PRICE   PIC S9(5)V99.
+       01 NUM-E   PIC 9(3).
+       01 LABEL   PIC X(12).
+       01 BAND    PIC X(5).
+          88 IS-BIG VALUE 'BIG'.
+       01 QUOT    PIC 9(3).
+       01 REST    PIC 9(3).
+       01 NETP    PIC 9(4)V9.
+       01 FLAG    PIC X VALUE 'N'.
+       01 SHOWN   PIC Z,ZZ9.99.
+       PROCEDURE DIVISION.
+       MAIN-P.
+           INITIALIZE LABEL BAND.
+           INSPECT PNAME TALLYING NUM-E FOR ALL 'e'.
+           STRING PNAME DELIMITED BY SPACE '/' DELIMITED BY SIZE
+              SIZ DELIMITED BY SIZE INTO LABEL.
+           EVALUATE TRUE
+              WHEN SIZ > 40 SET IS-BIG TO TRUE
+              WHEN SIZ > 10 MOVE 'MID' TO BAND
+              WHEN OTHER MOVE 'SMALL' TO BAND
+           END-EVALUATE.
+           DIVIDE SIZ BY 7 GIVING QUOT REMAINDER REST.
+           COMPUTE NETP ROUNDED = PRICE * 6.25
+              ON SIZE ERROR MOVE 'Y' TO FLAG
+           END-COMPUTE.
+           MOVE PRICE TO SHOWN.
+           STOP RUN.
+"""
