@@ -1192,10 +1192,17 @@ TABLES = {
 
 
 def portfolio(spark, sources, library: Mapping[str, str] | None = None, name_col: str = "name", source_col: str = "source") -> Callable:
-    """A function from table name to DataFrame over a DataFrame of sources: each program is parsed in a Python map, its facts are rows."""
+    """A function from table name to DataFrame over a DataFrame of sources: each program is parsed in a Python map, its facts are
+    rows. A table is cached when it is first used: analytics read it several times."""
     library = dict(library or {})
+    made: dict = {}
 
     def table(which: str):
+        if which not in made:
+            made[which] = parsed(which).cache()
+        return made[which]
+
+    def parsed(which: str):
         def rows(batches):
             import pandas as pd
 

@@ -33,16 +33,28 @@ def control_edges(paragraphs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``program``, ``node``: what the seeds (``program``, ``node``) reach over ``src`` -> ``dst``. Breadth first: each round joins the new nodes only, until there are none."""
-    edges = edges.select("program", "src", "dst").distinct().cache()
-    found = seeds.select("program", "node").distinct().cache()
-    new = found
-    while True:
-        step = new.select(F.col("program").alias("p"), F.col("node").alias("src")).join(edges.withColumnRenamed("program", "p"), ["p", "src"])
-        new = step.select(F.col("p").alias("program"), F.col("dst").alias("node")).distinct().join(found, ["program", "node"], "left_anti").cache()
-        if new.isEmpty():
-            return found
-        found = found.union(new).cache()
+    """``program``, ``node``: what the seeds (``program``, ``node``) reach over ``src`` -> ``dst``. A program's graph is as small as
+    the program, so each is walked whole in one group: one shuffle, whatever the depth."""
+    import pandas as pd
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict = {}
+        todo = []
+        for src, dst in zip(rows["src"], rows["dst"], strict=True):
+            if src is None or src != src:
+                todo.append(dst)
+            else:
+                after.setdefault(src, []).append(dst)
+        found = set()
+        while todo:
+            node = todo.pop()
+            if node not in found:
+                found.add(node)
+                todo += after.get(node, [])
+        return pd.DataFrame({"program": rows["program"].iloc[0], "node": sorted(found)})
+
+    rows = edges.select("program", "src", "dst").unionByName(seeds.select("program", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst")))
+    return rows.groupBy("program").applyInPandas(walk, "program string, node string")
 
 
 def seeds(paragraphs: DataFrame, edges: DataFrame) -> DataFrame:
