@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, mixing, secrets, simhash, toxicity
-from tallyframe.llm.common import table, written
+from tallyframe.llm.common import remove, scratch_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,9 +59,14 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            path = scratch_path(spark, f"stage-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)  # its successor is written
+            before = path
     return docs
