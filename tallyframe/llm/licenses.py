@@ -2,9 +2,10 @@
 
 Passages (sentences and lines of the whole text that mention a licence at all) are compared with
 template vectors: weights are counts times inverse document frequency over all passages
-of the corpus. Vectors are sparse; frequencies are needed only for the templates' few hundred
-words, any other word has the weight of one never seen. The best passage decides a file's own
-licence. A licence file (by its name) speaks for its directory: a file
+of the corpus, counted for all words. A template is compared with windows of its own length in the
+passage, so words before and after it don't matter; short forms and SPDX identifiers count as
+they are, with score 1. The best passage decides a file's own licence; of equal scores the longer
+template, and ``proprietary`` last. A licence file (by its name) speaks for its directory: a file
 without an own licence takes that of the nearest directory above it that has one. Each distinct
 directory is joined with its ancestors, not each file, so a directory of any size
 costs one row there.
@@ -42,12 +43,29 @@ TEMPLATES = (
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved"),
 )
+#: Short forms: words that tell a licence wherever they stand together.
+FORMS = (
+    *(("MIT", x) for x in ("mit license", "mit licence", "mit licensed", "licensed under mit", "license mit")),
+    *(("Apache-2.0", x) for x in ("apache license version 2.0", "apache license v2.0", "apache license 2.0", "apache 2.0 license", "license apache 2.0")),
+    *(("BSD-3-Clause", x) for x in ("bsd 3 clause", "3 clause bsd")),
+    *(("GPL-3.0", x) for x in ("gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gplv3", "gpl v3", "gpl 3.0")),
+    *(("LGPL-3.0", x) for x in ("lesser general public license version 3", "lesser general public license v3", "gnu lgpl version 3", "lgplv3", "lgpl v3", "lgpl 3.0")),
+    *(("MPL-2.0", x) for x in ("mozilla public license version 2.0", "mozilla public license v 2.0", "mozilla public license v2.0", "mozilla public license 2.0", "mpl 2.0")),
+    ("CC-BY-4.0", "cc by 4.0"),
+    ("CC-BY-SA-4.0", "cc by sa 4.0"),
+    ("CC-BY-NC-4.0", "cc by nc 4.0"),
+)
+#: An SPDX tag's first identifier, without what is said of later versions.
+SPDX = r"(?i)spdx-license-identifier:\s*\(?([a-z0-9.-]*[a-z0-9])"
+LATER = r"-(only|or-later)$"
 #: What a passage mentions, and the names of licence files.
-MENTION = r"(?i)licen[sc]e|copyright|rights\s+reserved|permission\s+is\s+hereby|redistribution\s+and\s+use|free\s+software|public\s+domain|\bcc[ -]by\b"
+MENTION = r"(?i)licen[sc]e|copyright|rights\s+reserved|permission\s+is\s+hereby|redistribution\s+and\s+use|free\s+software|public\s+domain|\bcc[ -]by\b|\bl?gpl[ -]?v?3|\bmpl[ -]2"
 FILES = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 WORDS = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Cosine from which a passage has a template's licence.
 LEAST = 0.6
+#: Words at most whose frequencies all executors hold: each has that part of all words of passages.
+HOT = 10_000
 
 
 def _words(text: Column) -> Column:
@@ -61,45 +79,77 @@ def template_words() -> list[str]:
 
 
 def passages(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """The other columns of ``files`` and ``words`` (array) of each passage that mentions a licence."""
+    """The other columns of ``files``, ``words`` (array) and ``spdx`` (the identifier of a tag, in small letters, or empty) of each
+    passage that mentions a licence."""
     mentioned = files.where(F.col(text_col).rlike(MENTION))
     each = mentioned.select(*(c for c in files.columns if c != text_col), F.explode(F.filter(F.split(text_col, r"\n|(?<=[.!?;])\s+"), lambda p: p.rlike(MENTION))).alias("p"))
-    return each.withColumn("words", _words(F.col("p"))).drop("p").where(F.size("words") > 0)
+    spdx = F.regexp_replace(F.lower(F.regexp_extract("p", SPDX, 1)), LATER, "")
+    return each.withColumn("words", _words(F.col("p"))).withColumn("spdx", spdx).drop("p").where(F.size("words") > 0)
 
 
-def frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
-    """Passages, and how many of them have each template word: a fixed number of counts."""
-    n, *counts = found.agg(F.count("*"), *(F.count_if(F.array_contains("words", w)) for w in template_words())).first()
-    return n, dict(zip(template_words(), counts, strict=True))
+def frequencies(found: DataFrame) -> DataFrame:
+    """``word`` and ``k``: how many passages have it, for every word; combined on the map side."""
+    return written(found.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("k")), "frequencies")
 
 
-def weights(n: int, df: dict[str, int]) -> tuple[dict[str, float], float, list[dict[str, float]]]:
-    """Inverse document frequency by word, that of any other word, and each template's unit vector."""
-    idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
+def weights(n: int, df: dict[str, int]) -> list[dict[str, float]]:
+    """Each template's unit vector."""
     unit = []
     for _, text in TEMPLATES:
         v: dict[str, float] = {}
         for w in text.split():
-            v[w] = v.get(w, 0) + idf[w]
+            v[w] = v.get(w, 0) + math.log((1 + n) / (1 + df.get(w, 0))) + 1
         norm = math.sqrt(sum(x * x for x in v.values()))
         unit.append({w: x / norm for w, x in v.items()})
-    return idf, math.log(1 + n) + 1, unit
+    return unit
+
+
+def weighed(found: DataFrame, n: int, df: DataFrame) -> DataFrame:
+    """``found`` (whose ``passage`` is a key) with ``vector``: its words in order, as structs of ``w`` and weight ``x``. Words that many
+    passages have are looked up where they are, the others are joined, so no word's rows meet in one task."""
+    total = df.agg(F.sum("k")).first()[0] or 0
+    often = F.col("k") * HOT >= total  # at most HOT words
+    each = found.select("passage", F.posexplode("words").alias("at", "word")).join(F.broadcast(df.where(often)), "word", "left")
+    seldom = each.where(F.col("k").isNull()).drop("k").join(df.where(~often), "word")
+    each = each.where(F.col("k").isNotNull()).unionByName(seldom)
+    item = F.struct("at", F.col("word").alias("w"), (F.log((1 + n) / (1 + F.col("k"))) + 1).alias("x"))
+    return found.drop("words").join(each.groupBy("passage").agg(F.array_sort(F.collect_list(item)).alias("vector")), "passage")
 
 
 def _map(values: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for item in values.items() for x in item))
 
 
-def matched(found: DataFrame, n: int, df: dict[str, int]) -> DataFrame:
-    """``found`` with ``license`` and ``score`` (rounded to 6 digits) of each passage's nearest template."""
-    idf, other, unit = weights(n, df)
-    weight = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("words", lambda x: x == w)) * F.coalesce(F.try_element_at(_map(idf), w), F.lit(other))).alias("x")))
-    vector = found.withColumn("vector", weight)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, t: a + t["x"] * t["x"]))
-    dot = lambda u: F.aggregate("vector", F.lit(0.0), lambda a, t: a + t["x"] * F.coalesce(F.try_element_at(_map(u), t["w"]), F.lit(0.0)))
-    scores = [F.struct(F.round(dot(u) / F.col("norm"), 6).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("license")) for k, ((name, _), u) in enumerate(zip(TEMPLATES, unit, strict=True))]
-    best = vector.withColumn("norm", norm).withColumn("best", F.array_max(F.array(*scores)))
-    return best.drop("vector", "norm", "words").select("*", F.col("best.license").alias("license"), F.col("best.score").alias("score")).drop("best")
+def _cosine(unit: dict[str, float], length: int) -> Column:
+    """The best cosine of a template and the windows of its length that begin with a word of it, or of the last window."""
+    own, v = _map(unit), F.col("vector")
+    last = F.greatest(F.size(v) - length, F.lit(0))
+    starts = F.transform(F.filter(v, lambda t: F.try_element_at(own, t["w"]).isNotNull()), lambda t: F.least(t["at"], last) + 1)
+
+    def cosine(window: Column) -> Column:
+        dot = F.aggregate(window, F.lit(0.0), lambda a, t: a + t["x"] * F.coalesce(F.try_element_at(own, t["w"]), F.lit(0.0)))
+        square = F.aggregate(window, F.lit(0.0), lambda a, t: a + t["x"] * t["x"] * F.size(F.filter(window, lambda o: o["w"] == t["w"])))
+        return dot / F.sqrt(square)
+
+    windows = F.transform(F.array_distinct(starts), lambda s: F.slice(v, s, F.lit(length)))
+    return F.coalesce(F.array_max(F.transform(windows, cosine)), F.lit(0.0))
+
+
+def _rank(name: str, length: int) -> int:
+    """Of equal scores the higher: rights are reserved beside a licence, too."""
+    return 0 if name == "proprietary" else length
+
+
+def matched(found: DataFrame, n: int, df: DataFrame) -> DataFrame:
+    """``found`` with ``license``, ``score`` (rounded to 6 digits) and ``rank`` of each passage's nearest template or form."""
+    unit = weights(n, {r.word: r.k for r in df.where(F.col("word").isin(template_words())).collect()})
+    joined = F.concat(F.lit(" "), F.array_join(F.transform("vector", lambda t: t["w"]), " "), F.lit(" "))
+    entry = lambda score, name, length, k: F.struct(score.alias("score"), F.lit(_rank(name, length)).alias("rank"), F.lit(-k).alias("order"), F.lit(name).alias("license"))
+    scores = [entry(F.round(_cosine(u, len(text.split())), 6), name, len(text.split()), k) for k, ((name, text), u) in enumerate(zip(TEMPLATES, unit, strict=True))]
+    scores += [F.when(F.col("joined").contains(f" {text} "), entry(F.lit(1.0), name, len(text.split()), len(TEMPLATES))) for name, text in FORMS]
+    scores += [F.when(F.col("spdx") == name.lower(), entry(F.lit(1.0), name, 100, len(TEMPLATES))) for name in sorted({name for name, _ in TEMPLATES} - {"proprietary"})]
+    best = weighed(found, n, df).withColumn("joined", joined).withColumn("best", F.array_max(F.array(*scores)))
+    return best.drop("vector", "joined", "spdx").select("*", "best.license", "best.score", "best.rank").drop("best")
 
 
 def directory(path: Column) -> Column:
@@ -118,8 +168,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """For every row ``id_col``, ``path``, ``own_license``, ``own_score`` (of the best passage, null without one), ``license`` and
     ``license_from`` (``own``, the directory that it comes from, or null)."""
     given = files.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.col(path) if isinstance(path, str) else path).alias("path"), F.col(text_col).alias("text"))
-    found = written(passages(given.select("row", "text")), "passages")
-    own = matched(found, *frequencies(found)).groupBy("row").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("b"))
+    found = written(passages(given.select("row", "text")).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    own = matched(found, found.count(), frequencies(found)).groupBy("row").agg(F.max_by(F.struct("license", "score"), F.struct("score", "rank", "license")).alias("b"))
     rows = given.select("row", "id", "path", directory(F.col("path")).alias("folder"))
     named = written(rows.join(own, "row", "left").select("id", "path", "folder", F.when(F.col("b.score") >= least, F.col("b.license")).alias("own_license"), F.col("b.score").alias("own_score")), "owns")
     speaks = named.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILES))

@@ -64,3 +64,38 @@ def test_each_template_is_itself(spark):
     got = {x.doc_id: x.own_license for x in licenses.scan(files).collect()}
     mentioned = __import__("re").compile(licenses.MENTION)
     assert all(got[i] == name for i, (name, t) in enumerate(licenses.TEMPLATES) if mentioned.search(t) and i not in (3, 5, 9))
+
+
+def test_sentences_with_extra_words_at_two_sizes(spark):
+    said = [
+        ("This project is released under the MIT License.", "MIT"),
+        ("The code is available under the Apache License, Version 2.0", "Apache-2.0"),
+        ("Copyright (c) 2021 Acme Corp, all rights reserved", "proprietary"),
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("SPDX-License-Identifier: ISC", None),
+        ("SPDX-License-Identifier: MIT-0", None),
+        ("Unless told otherwise, this work is licensed under the terms of the GNU General Public License, version 3, by us all", "GPL-3.0"),
+        ("Copyright 2020 Acme, all rights reserved, released under the MIT License", "MIT"),
+        ("Our hall has a license to be long and all of it is reserved", None),
+    ]
+    fill = ["Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Licensed under CC BY 4.0.", "Nobody here needs a license for fishing in the lake."]
+    scores = []
+    for copies in (8, 2000):
+        rows = [(i, f"f{i}", t) for i, (t, _) in enumerate(said)] + [(100 + i, f"g{i}", f"{fill[i % 4]} {fill[(i + 1) % 4]}") for i in range(copies)]
+        got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+        assert [got[i].own_license for i in range(len(said))] == [name for _, name in said]
+        scores.append([got[i].own_score for i in range(4)])
+    assert scores[0] == scores[1]
+
+
+def test_all_words_are_counted(spark, monkeypatch):
+    texts = ["Licensed to an angler.", "A license for an angler and an owl.", "License"]
+    found = licenses.written(licenses.passages(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "passage bigint, text string")), "p")
+    for hot in (1, 10_000):  # words joined, words looked up
+        monkeypatch.setattr(licenses, "HOT", hot)
+        df = licenses.frequencies(found)
+        assert {r.word: r.k for r in df.collect()} == {"licensed": 1, "to": 1, "an": 2, "angler": 2, "a": 1, "license": 2, "for": 1, "and": 1, "owl": 1}
+        got = {r.passage: [(x.w, round(x.x, 9)) for x in r.vector] for r in licenses.weighed(found, 3, df).collect()}
+        idf = lambda k: round(math.log(4 / (1 + k)) + 1, 9)
+        assert got[0] == [("licensed", idf(1)), ("to", idf(1)), ("an", idf(2)), ("angler", idf(2))] and got[2] == [("license", idf(2))]
