@@ -93,6 +93,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def version(id_: F.Column, text: F.Column) -> F.Column:
+    """A key that is never null, the same for rows of equal id (null is one, too) and equal text only (128 bits of hashes)."""
+    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.xxhash64(text).cast("string"), F.xxhash64(F.lit("again"), text).cast("string"))
+
+
 #: Bits of one bitmap of Spark's bitmap functions, and the most bitmaps that are sent to all executors (8 MB).
 BITMAP, BITMAPS = 32_768, 2_048
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_by_ids, table, written
+from .common import arrow_map, split_by_ids, table, version, written
 from .components import roots
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -60,14 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_in > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``fp`` (the fingerprint as a signed bigint)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """``id``, ``fp`` (the fingerprint as a signed bigint), and ``key`` (the string column of that name) if given."""
+    more = [F.col(key).alias("key")] if key else []
 
     def rows(b: dict) -> dict:
         fp = [fingerprint(t) for t in b["t"]]
-        return {"id": b["i"], "fp": [x - (1 << 64) if x >> 63 else x for x in fp]}
+        return b | {"id": b["i"], "fp": [x - (1 << 64) if x >> 63 else x for x in fp]}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), "id bigint, fp bigint", rows)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), *more), "id bigint, fp bigint" + ", key string" * len(more), rows)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -263,25 +264,34 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, most: int | Non
     return keyed.repartition(parts, "choice", "key", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
 
 
+def members(fps: DataFrame, distance: int, first: F.Column) -> DataFrame:
+    """``fp`` (each once), ``least``: the smallest ``first`` of its component's rows."""
+    distinct = written(fps.groupBy("fp").agg(F.min(first).alias("least")), "distinct")
+    up = roots(links(distinct.select("fp"), distinct.count(), distance))
+    member = distinct.join(up.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_root = member.groupBy("root").agg(F.min("least").alias("of_component"))
+    return member.join(of_root, "root").select("fp", F.col("of_component").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id that
     links reach) for every row."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    up = roots(links(distinct.select("fp"), distinct.count(), distance))
-    member = distinct.join(up.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = member.join(of_root, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = members(fps, distance, F.col("id"))
+    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs``, all columns, with the document of smallest id of each component; of rows that share an id one stays. Only
+    """``docs``, all columns, with one row of each component: that of the smallest id, null ids last, and of equal ids that of the
+    smallest key of its text. Rows that share an id (or have none) but are no near-duplicates all stay. Only
     rows that may go meet the list of those that do. Column names beginning with ``__`` are reserved."""
-    found = near_duplicates(docs, id_col, text_col, distance).select(F.col(id_col).cast("long").alias("__simhash_id"), "component_id")
-    doubtful = found.groupBy("__simhash_id").agg(F.count("*").alias("__simhash_n"), F.bool_or(F.col("__simhash_id") == F.col("component_id")).alias("__simhash_keep"))
+    keyed = docs.withColumn("__simhash_key", version(F.col(id_col).cast("long"), F.col(text_col)))
+    fps = written(fingerprints(keyed, id_col, text_col, "__simhash_key"), "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    found = fps.join(members(fps, distance, first), "fp").select(F.col("key").alias("__simhash_id"), (F.col("key") == F.col("least.key")).alias("keep"))
+    doubtful = found.groupBy("__simhash_id").agg(F.count("*").alias("__simhash_n"), F.bool_or("keep").alias("__simhash_keep"))
     doubtful = written(doubtful.where("__simhash_n > 1 OR NOT __simhash_keep"), "doubtful")
-    some, unique = split_by_ids(docs.withColumn("__simhash_key", F.col(id_col).cast("long")), "__simhash_key", doubtful.select("__simhash_id"))
+    some, unique = split_by_ids(keyed, "__simhash_key", doubtful.select("__simhash_id"))
     kept = some.join(doubtful, F.col("__simhash_key") == F.col("__simhash_id"), "left").where(F.coalesce("__simhash_keep", F.lit(True))).dropDuplicates(["__simhash_key"])
     return kept.select(*docs.columns).unionByName(unique.select(*docs.columns))
 

@@ -99,6 +99,14 @@ def test_documents(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_deduplicated_without_ids_and_with_one_id_for_two_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3) + " y"), (7, text(3)), (7, text(4)), (8, text(4)), (9, text(5)), (9, text(6)), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5)), (9, text(6)), (None, None)]
+    assert sorted(map(str, map(tuple, simhash.deduplicated(docs).collect()))) == sorted(map(str, want))
+
+
 def test_deduplicated_and_split(spark):
     from tallyframe.llm.common import split_by_ids
 
