@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_by_ids, table, written
+from .common import arrow_map, split_by_ids, table, version, written
 
 #: The base kinds, in their order, their patterns and least lengths.
 BASE = (
@@ -144,12 +144,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str | F.Column = "source", repository: str | F.Column = "source") -> DataFrame:
     """``docs``, all columns and rows, with live-looking secrets replaced by ``[secret:kind]`` in ``text_col``.
-    Rows of one id must have one text (ids are keys)."""
-    scanned = scan(docs, id_col, text_col, owner, repository)
+    Rows meet their spans by id and text, so null and repeated ids make no difference. The name ``__version`` is reserved."""
+    columns = docs.columns
+    docs = docs.withColumn("__version", version(F.col(id_col), F.col(text_col)))
+    scanned = scan(docs, "__version", text_col, owner, repository)
     live = judged(scanned).select("row", F.filter("spans", lambda s: s["live"]).alias("__spans")).where(F.size("__spans") > 0)
     by_id = written(scanned.select("row", F.col("id").alias("__id")).join(live, "row").dropDuplicates(["__id"]).select("__id", "__spans"), "live")
-    columns = docs.columns
-    some, clean = split_by_ids(docs, id_col, by_id.select("__id"))  # only texts that may hold one meet the spans
+    some, clean = split_by_ids(docs, "__version", by_id.select("__id"))  # only texts that may hold one meet the spans
 
     # Pieces of text between spans, from the last end to the next start; overlapping spans merge as the position only moves on.
     def piece(state, s):
@@ -160,7 +161,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     masked = F.aggregate("__spans", start, piece, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    out = some.join(by_id, some[id_col] == by_id["__id"], "left")
+    out = some.join(by_id, some["__version"] == by_id["__id"], "left")
     out = out.select(*(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(masked).alias(c) if c == text_col else some[c] for c in columns))
     return out.unionByName(clean.select(*columns))
 

@@ -57,3 +57,10 @@ def test_mask(spark):
     got = {r.doc_id: r.text for r in secrets.mask(docs).collect()}
     assert got == {1: "😀 [secret:assign]' then", 2: "clean", 3: None, 4: "[secret:assign] x"}
     assert secrets.mask(docs).columns == docs.columns
+
+
+def test_mask_without_ids_and_with_one_id_for_two_texts(spark):
+    rows = [(None, "token=abcdef123 x", "a"), (None, "clean", "a"), (1, "token=uvwxyz987 then", "b"), (1, "say token=klmnop555", "b"), (1, "clean", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [(None, "[secret:assign] x", "a"), (None, "clean", "a"), (1, "[secret:assign] then", "b"), (1, "say [secret:assign]", "b"), (1, "clean", "b")]
+    assert sorted(map(str, map(tuple, secrets.mask(docs).collect()))) == sorted(map(str, want))
