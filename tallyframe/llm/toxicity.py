@@ -58,11 +58,13 @@ def edits_allowed(term: str) -> int:
 
 
 class Automaton:
-    """Deterministic on demand; terms are ``(text, is_stem, weight, edits allowed)``."""
+    """Deterministic on demand; terms are ``(text, is_stem, weight, edits allowed)``. Words of ``ordinary``
+    are no misspellings."""
 
     FULL = 200_000
 
-    def __init__(self, terms: list[tuple[str, bool, float, int]]):
+    def __init__(self, terms: list[tuple[str, bool, float, int]], ordinary=()):
+        self.ordinary = frozenset(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.budget = [-1]
         self.word: dict[int, tuple[float, int, str]] = {}
@@ -128,7 +130,8 @@ class Automaton:
                 return stem
             if state["stem"]:
                 stem = (state["stem"][0], 0, state["stem"][2])
-        return state["end"] or stem
+        end = state["end"]
+        return stem if end is None or (end[1] and word in self.ordinary) else end
 
 
 class Hits(dict):
@@ -188,13 +191,14 @@ def features(text: str, hits: Hits) -> tuple[list[float], int, int]:
     return [*map(math.log1p, sums), best, math.log1p(100 * len(found) / len(tokens))], len(found), quoted
 
 
-def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[str, bool, float, int]]:
-    """Words and stems whose documents are nearly all toxic, beyond chance. A word keeps its edits only if
-    its misspellings are no ordinary words: few clean documents have any."""
+def learn_terms(texts: list[str], toxic: list[int]) -> tuple[list[tuple[str, bool, float, int]], list[str]]:
+    """Words and stems whose documents are nearly all toxic, beyond chance, and the ordinary words that would be misspellings of
+    them: those whose documents are not nearly all toxic. A term has an edit less, and then none, if too many of its ordinary words
+    are in one clean document only: about as many documents as these will have ordinary words that the sample doesn't show."""
     n_toxic = sum(toxic)
     n_clean = len(toxic) - n_toxic
     if not n_toxic or not n_clean:
-        return []
+        return [], []
 
     def units(text: str) -> dict[tuple[str, bool], int]:
         """Words once, stems as often as distinct words have them."""
@@ -231,11 +235,22 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[str, bool, flo
         if not related and len(chosen) < TERMS:
             chosen.append((text, is_stem, weight))
     terms = [(t, stem, w, 0 if stem else edits_allowed(t)) for t, stem, w in chosen]
-    automaton, near = Automaton(terms), Counter()
+    automaton, clean, bad = Automaton(terms), Counter(), Counter()
     for text, y in zip(texts, toxic, strict=True):
         if not y:
-            near.update({hit[2] for w in set(_WORDS(text.lower())) if (hit := automaton.match(w)) and hit[1]})
-    return [(t, stem, w, allowed if near[t] <= CLEAN_SHARE * a[t, stem] else 0) for t, stem, w, allowed in terms]
+            clean.update(w for w in set(_WORDS(text.lower())) if (hit := automaton.match(w)) and hit[1])
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            bad.update(w for w in set(_WORDS(text.lower())) if w in clean)
+    ordinary = sorted(w for w, m in clean.items() if m > CLEAN_SHARE * bad[w])
+    while True:  # a term's words may be another's once it has fewer edits
+        automaton, once = Automaton(terms), Counter()
+        near = [(w, hit[2]) for w in ordinary if (hit := automaton.match(w)) and hit[1]]
+        once.update(t for w, t in near if clean[w] == 1)
+        fewer = [(t, stem, weight, allowed - (allowed > 0 and once[t] > max(1, CLEAN_SHARE * a[t, stem]))) for t, stem, weight, allowed in terms]
+        if fewer == terms:
+            return terms, [w for w, _ in near]
+        terms = fewer
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -260,16 +275,16 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
         if not kept or not (((np.bitwise_count(fps[kept] ^ fps[i]) <= COPIES) & (np.array(toxic)[kept] == toxic[i])).any()):
             kept.append(i)
     texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
-    terms = learn_terms(texts, toxic)
+    terms, ordinary = learn_terms(texts, toxic)
     if not terms:
-        return {"terms": [], "weights": [0.0] * 6 + [-3.0]}
+        return {"terms": [], "ordinary": [], "weights": [0.0] * 6 + [-3.0]}
     # The weights are fitted on sums that each half of the rows gets from the other half's terms: a term that only
     # chance has made look toxic counts as little there as it will in new texts.
     x = np.zeros((len(texts), 6))
     for half in (0, 1):
-        hits = Hits(Automaton(learn_terms(texts[1 - half :: 2], toxic[1 - half :: 2])))
+        hits = Hits(Automaton(*learn_terms(texts[1 - half :: 2], toxic[1 - half :: 2])))
         x[half::2] = [features(t, hits)[0] for t in texts[half::2]]
-    return {"terms": terms, "weights": fit_logistic(x, np.array(toxic, dtype=float)).tolist()}
+    return {"terms": terms, "ordinary": ordinary, "weights": fit_logistic(x, np.array(toxic, dtype=float)).tolist()}
 
 
 def held_out(id_col) -> F.Column:
@@ -287,9 +302,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t for _, _, t in rows], [int(y > 0) for _, y, _ in rows])
 
 
-def hits_of(terms: list[tuple[str, bool, float, int]]) -> Hits:
+def hits_of(terms: list[tuple[str, bool, float, int]], ordinary: list[str]) -> Hits:
     """One table of hits for each worker process, while the terms are the same."""
-    return remembered(("toxicity", tuple(terms)), lambda: Hits(Automaton(terms)))
+    return remembered(("toxicity", tuple(terms), tuple(ordinary)), lambda: Hits(Automaton(terms, ordinary)))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -298,7 +313,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     weights = np.array(model["weights"])
 
     def rows(b: dict) -> dict:
-        hits = hits_of(model["terms"])
+        hits = hits_of(model["terms"], model["ordinary"])
         found = [features(t or "", hits) for t in b[text_col if keep else "__text"]]
         p = 1 / (1 + np.exp(-np.clip(np.array([x for x, _, _ in found]) @ weights[:-1] + weights[-1], -30, 30)))
         return b | {"score": p.tolist(), "predicted": (p >= THRESHOLD).astype(int).tolist(), "n_hits": [n for _, n, _ in found], "n_quoted": [q for _, _, q in found]}

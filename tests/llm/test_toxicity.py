@@ -82,3 +82,41 @@ def test_no_labels(spark):
     [row] = tox.score(docs, tox.train(docs, labels)).collect()
     assert row.predicted == 0 and 0 <= row.score < 0.7
     assert tox.score(docs.limit(0), tox.train(docs.limit(0), labels)).collect() == []
+
+
+def test_ordinary_neighbour_leaves_a_term_its_edits():
+    r = random.Random(3)
+    words = ["".join(r.choice("aeiulst") for _ in range(r.randint(3, 7))) for _ in range(200)]
+    texts, toxic = [], []
+    for i in range(400):
+        text = [r.choice(words) for _ in range(20)]
+        bad = i % 8 == 0
+        if bad:
+            text[0] = "morrong"
+        elif i % 3 == 0:
+            text[0] = "morron"  # an ordinary word, one edit away, in many clean documents
+        texts.append(" ".join(text))
+        toxic.append(int(bad))
+    terms, ordinary = tox.learn_terms(texts, toxic)
+    assert [(t, e) for t, stem, _, e in terms if not stem] == [("morrong", 1)] and ordinary == ["morron"]
+    automaton = tox.Automaton(terms, ordinary)
+    assert automaton.match("morron") is None
+    assert [automaton.match(w)[1:] for w in ("morrong", "morr0ng", "morrrong")] == [(0, "morrong"), (1, "morrong"), (1, "morrong")]
+
+
+def test_many_rare_neighbours_take_one_edit_of_two():
+    r = random.Random(4)
+    words = ["".join(r.choice("aeiulst") for _ in range(r.randint(3, 7))) for _ in range(200)]
+    rare = ["gr" + x + "mpf" + y + "lks" for x in "aeio" for y in "aeiu"]  # two edits from the term
+    texts, toxic = [], []
+    for i in range(400):
+        text = [r.choice(words) for _ in range(20)]
+        bad = i % 8 == 0
+        if bad:
+            text[0] = "grumpfolks"
+        elif i % 8 == 1 and rare:
+            text[0] = rare.pop()
+        texts.append(" ".join(text))
+        toxic.append(int(bad))
+    terms, ordinary = tox.learn_terms(texts, toxic)
+    assert [(t, e) for t, stem, _, e in terms if not stem] == [("grumpfolks", 1)] and ordinary == []
