@@ -88,6 +88,11 @@ def remembered(key, make: Callable):
     return _held[key]
 
 
+def held_out(id_col) -> F.Column:
+    """Rows of the third on which models are measured and that they are never fitted on; rows without an id aren't in it."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
 def word_count(text) -> F.Column:
     """Number of words of ``text`` as a native expression (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,30 +5,39 @@ text then has features of its form, a chain over two labels (content, boilerplat
 gives each sequence a score, and Viterbi decoding finds the best one. A document is
 kept if its content lines hold at least ``CONTENT_SHARE`` of its words.
 
-The field is fitted by gradient ascent on the exact conditional likelihood (forward and
-backward sums over a batch of documents), with lines of rows labelled good as
-content and of rows labelled bad as boilerplate.
+Labels are of documents, not of lines, so the lines of a bad document are hidden: a good
+document's lines are all content, a bad one's are not all content, and which ones are boilerplate
+is summed over. Both likelihoods come from the same sums over the chain, P(all content)
+and 1 - P(all content); a bad document whose own boilerplate lines already explain it teaches
+nothing about its other lines. So the clean lines of a bad document keep the label that
+lines like them have elsewhere. A third of the labelled rows is held out of the fit and ``evaluate`` counts on it.
 
 Results for odd input: null and empty texts have no words, fail the base rules and are not
-kept; repeated rows get equal results; without labelled rows the field is neutral and keeps
+kept; rows without an id are rated like any other and never fitted; repeated rows get equal results; of equally good
+label sequences the one with content at the later lines is taken; without labelled rows of both labels the field is neutral and keeps
 what passes the base rules; an empty table gives an empty one; other columns are neither read
 nor returned.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, held_out, table
 
 #: The base rules' least words, most percent of repeated words, window, and symbols.
 LEAST_WORDS, MOST_REPEATED, WINDOW, SYMBOLS = 20, 30, 8, "#*$%&|<>"
 #: Share of words in content lines from which a document is kept.
 CONTENT_SHARE = 0.5
-#: The bound of the fitted sample: labelled rows, lines of one text, characters of one text.
-FIT_DOCS, FIT_LINES, FIT_CHARS = 2_000, 64, 20_000
+#: The bound of the fitted sample: labelled rows, lines of one text (of which only the features' bits come to the driver).
+FIT_DOCS, FIT_LINES = 2_000, 512
+#: Ascent: steps at most, and the change a document below which it stops; shrinkage of the line weights and of the moves. Good documents have
+#: one move only, so moves are held back: a line's own form comes first.
+STEPS, GAIN, RIDGE, MOVE_RIDGE = 200, 1e-5, 0.5, 5.0
 
 FEATURES = (
     "any", "empty", "one word", "2-4 words", "5-11 words", "12+ words", "symbols > 2%", "symbols > 8%", "shouted > half", "digits > 20%",
@@ -76,104 +85,135 @@ def base(text: str) -> dict:
     }
 
 
-def line_features(text: str) -> tuple[list[list[int]], list[int]]:
-    """For each line the numbers of the features that it has, and its words."""
+def line_features(text: str) -> tuple[list[int], list[int]]:
+    """For each line the set of its features, as bits, and its words."""
     lines = text.split("\n")
     rows, counts, seen = [], [], set()
     for i, line in enumerate(lines):
-        words, has = line.split(), [0]
+        words, has = line.split(), 1
         n, size = len(words), len(line)
         if n == 0:
-            has.append(1)
+            has |= 1 << 1
         else:
-            has.append(2 if n == 1 else 3 if n < 5 else 4 if n < 12 else 5)
+            has |= 1 << (2 if n == 1 else 3 if n < 5 else 4 if n < 12 else 5)
             symbols = sum(map(line.count, SYMBOLS))
             if symbols > 0.02 * size:
-                has.append(6)
+                has |= 1 << 6
             if symbols > 0.08 * size:
-                has.append(7)
+                has |= 1 << 7
             if 2 * sum(map(str.isupper, words)) > n:
-                has.append(8)
+                has |= 1 << 8
             if sum(map(line.count, "0123456789")) > 0.2 * size:
-                has.append(9)
+                has |= 1 << 9
             if words[-1][-1] in ".!?:;…\"”»":
-                has.append(10)
+                has |= 1 << 10
             distinct = len(set(words))
             if n >= 8 and 2 * distinct < n:
-                has.append(11)
+                has |= 1 << 11
             if n >= 8 and 5 * distinct < n:
-                has.append(12)
+                has |= 1 << 12
             if line in seen:
-                has.append(13)
+                has |= 1 << 13
             if line.count("!") > 0.02 * size:
-                has.append(14)
+                has |= 1 << 14
             if "|" in line:
-                has.append(15)
+                has |= 1 << 15
             if size > 14 * n:
-                has.append(16)
+                has |= 1 << 16
         seen.add(line)
         if i == 0:
-            has.append(17)
+            has |= 1 << 17
         if i == len(lines) - 1:
-            has.append(18)
+            has |= 1 << 18
         rows.append(has)
         counts.append(n)
     return rows, counts
 
 
-def log_likelihood(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Of label sequences ``y`` (documents by lines) and its gradients; ``emit`` scores label 1 against 0."""
-    docs, most = y.shape
-    inside = np.arange(most) < lengths[:, None]
-    score = np.zeros((docs, most, 2))
-    score[:, :, 1] = x @ emit
-    ahead, back = np.zeros((docs, most, 2)), np.zeros((docs, most, 2))
-    add = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
-    ahead[:, 0] = score[:, 0]
-    for t in range(1, most):
-        new = add(ahead[:, t - 1, :, None] + move, 1) + score[:, t]
-        ahead[:, t] = np.where(inside[:, t, None], new, ahead[:, t - 1])
+def bits(has: np.ndarray) -> np.ndarray:
+    """Rows of ones where a feature is."""
+    return (has[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
+
+
+def chain_sums(score: np.ndarray, inside: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents by lines, where ``score`` is label 1's against 0 and ``inside`` tells lines from padding: the log of the sum over all
+    label sequences, each line's probability of label 1, and the expected moves between labels."""
+    docs, most = score.shape
+    top = np.maximum(score, 0)
+    here = np.stack([np.exp(-top), np.exp(score - top)], 2)
+    step = np.exp(move)
+    ahead, back, scale = np.empty((docs, most, 2)), np.ones((docs, most, 2)), np.zeros(docs)
+    ahead[:, 0] = here[:, 0]
+    for t in range(most):
+        if t:
+            ahead[:, t] = np.where(inside[:, t, None], ahead[:, t - 1] @ step * here[:, t], ahead[:, t - 1])
+        size = ahead[:, t].sum(1)
+        ahead[:, t] /= size[:, None]
+        scale += np.log(size)
     for t in range(most - 2, -1, -1):
-        new = add(move + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-        back[:, t] = np.where(inside[:, t + 1, None], new, 0)
-    total = add(ahead[:, -1], 1)
-    one = np.exp(ahead[:, :, 1] + back[:, :, 1] - total[:, None]) * inside
-    both = inside[:, 1:]
-    pair = np.exp(ahead[:, :-1, :, None] + move + (score[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]) * both[:, :, None, None]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-    own = (score[:, :, 1] * y * inside).sum() + (move * seen).sum()
-    return float(own - total.sum()), np.einsum("dlf,dl->f", x, y * inside - one), seen - pair.sum((0, 1))
-
-
-def fit(texts: list[str], good: list[int], steps: int = 150) -> dict:
-    """Weights of label 1 (content) and the moves between labels."""
-    rows = [line_features(t)[0] for t in texts]
+        new = (back[:, t + 1] * here[:, t + 1]) @ step.T
+        back[:, t] = np.where(inside[:, t + 1, None], new / new.sum(1, keepdims=True), 1.0)
+    both = ahead * back
+    one = both[:, :, 1] / both.sum(2) * inside
+    pair = ahead[:, :-1, :, None] * step * (back[:, 1:] * here[:, 1:])[:, :, None, :]
+    pair = pair / pair.sum((2, 3), keepdims=True) * inside[:, 1:, None, None]
+    return scale + (top * inside).sum(1), one, pair.sum(1)
+
+
+def likelihood(has: np.ndarray, inside: np.ndarray, good: np.ndarray, times: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of document labels and its gradients: of a good one that all its lines are content, of a bad one that they aren't."""
+    kinds, place = np.unique(has, return_inverse=True)
+    x, place = bits(kinds), place.reshape(has.shape)
+    score = np.where(inside, (x @ emit)[place], 0.0)
+    total, one, pair = chain_sums(score, inside, move)
+    n = inside.sum(1)
+    every = np.minimum(score.sum(1) + (n - 1) * move[1, 1] - total, -1e-9)  # log P(all content)
+    value = np.where(good, every, np.log(-np.expm1(every)))
+    weight = times * np.where(good, 1.0, -1 / np.expm1(-every))
+    off = np.bincount(place.ravel(), ((inside - one) * weight[:, None]).ravel(), len(kinds))
+    moves = -pair
+    moves[:, 1, 1] += n - 1
+    return float((times * value).sum()), off @ x, (weight[:, None, None] * moves).sum(0)
+
+
+def fit(rows: list[list[int]], good: list[int], steps: int = STEPS) -> dict:
+    """Weights of label 1 (content) and the moves between labels, from the feature bits of documents' lines. Equal documents are worked on once,
+    and documents of about as many lines together."""
     if len(set(good)) < 2:
         return {"emit": [0.0] * len(FEATURES), "move": [[0.0, 0.0], [0.0, 0.0]]}
-    lengths = np.array([len(r) for r in rows])
-    x = np.zeros((len(rows), lengths.max(), len(FEATURES)))
-    for d, lines in enumerate(rows):
-        for t, has in enumerate(lines):
-            x[d, t, has] = 1
-    y = np.repeat(np.array(good)[:, None], lengths.max(), axis=1)
-    emit, move = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    speed = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
+    times = Counter((tuple(r), y) for r, y in zip(rows, good, strict=True))
+    groups: dict[int, list] = {}
+    for key in sorted(times):
+        groups.setdefault(len(key[0]).bit_length(), []).append(key)
+    batches = []
+    for keys in groups.values():
+        most = max(len(r) for r, _ in keys)
+        has = np.zeros((len(keys), most), dtype=np.int64)
+        for d, (r, _) in enumerate(keys):
+            has[d, : len(r)] = r
+        batches.append((has, has > 0, np.array([y > 0 for _, y in keys]), np.array([times[k] for k in keys], dtype=float)))
+    k, last, flat = len(FEATURES), -np.inf, 0
+    w, speed, size = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
+    ridge = np.array([RIDGE] * k + [MOVE_RIDGE] * 4)
     for step in range(1, steps + 1):
-        _, ge, gm = log_likelihood(x, lengths, y, emit, move)
-        for k, (w, g) in enumerate(((emit, ge - 0.5 * emit), (move, gm - 0.5 * move))):
-            speed[0][k] += 0.1 * (g - speed[0][k])
-            speed[1][k] += 0.01 * (g * g - speed[1][k])
-            w += 0.1 * (speed[0][k] / (1 - 0.9**step)) / (np.sqrt(speed[1][k] / (1 - 0.99**step)) + 1e-9)
-    return {"emit": emit.tolist(), "move": move.tolist()}
+        found = [likelihood(*b, w[:k], w[k:].reshape(2, 2)) for b in batches]
+        value = sum(v for v, _, _ in found) - 0.5 * float(ridge @ (w * w))
+        flat = flat + 1 if abs(value - last) < GAIN * len(good) else 0
+        if flat == 3:
+            break
+        last = value
+        g = np.concatenate([sum(e for _, e, _ in found), sum(m for _, _, m in found).ravel()]) - ridge * w
+        speed += 0.1 * (g - speed)
+        size += 0.01 * (g * g - size)
+        w += 0.15 * (speed / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-9)
+    return {"emit": w[:k].tolist(), "move": w[k:].reshape(2, 2).tolist()}
 
 
-def viterbi(rows: list[list[int]], emit: list[float], move: list[list[float]]) -> list[int]:
-    """The labels of best score; of equal ones content."""
+def viterbi(scores: list[float], move: list[list[float]]) -> list[int]:
+    """The labels of best score, where ``scores`` are label 1's of the lines; of equal ones content."""
     (m00, m01), (m10, m11) = move
-    zero, one, came = 0.0, sum(map(emit.__getitem__, rows[0])), []
-    for has in rows[1:]:
-        e = sum(map(emit.__getitem__, has))
+    zero, one, came = 0.0, scores[0], []
+    for e in scores[1:]:
         from0, from1 = (zero + m00, one + m10), (zero + m01, one + m11)
         came.append((from0[1] >= from0[0], from1[1] >= from1[0]))
         zero, one = max(from0), max(from1) + e
@@ -183,27 +223,40 @@ def viterbi(rows: list[list[int]], emit: list[float], move: list[list[float]]) -
     return labels[::-1]
 
 
-def content(text: str, model: dict) -> tuple[list[int], float]:
+class Emissions(dict):
+    """Feature bits of a line to its score; there are few different ones."""
+
+    def __init__(self, emit: list[float]):
+        super().__init__()
+        self.emit = emit
+
+    def __missing__(self, has: int) -> float:
+        self[has] = found = sum(w for k, w in enumerate(self.emit) if has >> k & 1)
+        return found
+
+
+def content(text: str, model: dict, scores: Emissions | None = None) -> tuple[list[int], float]:
     """Labels of the lines (1: content) and the content lines' share of the words."""
     rows, counts = line_features(text)
-    labels = viterbi(rows, model["emit"], model["move"])
+    scores = Emissions(model["emit"]) if scores is None else scores
+    labels = viterbi([scores[has] for has in rows], model["move"])
     total = sum(counts)
     return labels, sum(n for n, y in zip(counts, labels, strict=True) if y) / total if total else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS) -> dict:
-    """Fit on at most ``fit_docs`` labelled rows (chosen by a hash of the id, half of each label as far as there are), of at
-    most ``FIT_LINES`` lines and ``FIT_CHARS`` characters."""
-    rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> dict:
+    """Fit on at most ``fit_docs`` labelled rows outside the held-out third (chosen by a hash of the id, half of each label as far as there are), of
+    at most ``fit_lines`` lines. The features are found where the texts are; the driver gets a number for each line."""
+    rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("y"))
     rows = []
     for y in (0, 1):
         chosen = rated.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_docs // 2)
         rows += chosen.collect()  # bounded by fit_docs
     ids = docs.sparkSession.createDataFrame(rows, "id " + docs.schema[id_col].dataType.simpleString() + ", y int")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= FIT_CHARS).join(F.broadcast(ids), "id")
-    texts = sorted({(r.id, r.y, r.t) for r in texts.collect()})
-    texts = [(t, y) for _, y, t in texts if t and t.count("\n") < FIT_LINES]
-    return fit([t for t, _ in texts], [y for _, y in texts])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t") != "").join(F.broadcast(ids), "id").select("y", "t")
+    lines = arrow_map(texts, "y int, has array<int>", lambda b: {"y": b["y"], "has": [line_features(t)[0] for t in b["t"]]}).where(F.size("has") <= fit_lines)
+    found = sorted((r.y, r.has) for r in lines.collect())
+    return fit([has for _, has in found], [y for y, _ in found])
 
 
 def rate(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,9 +265,10 @@ def rate(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
 
     def rows(b: dict) -> dict:
         out: dict = {k: [] for k in names} | {id_col: b["i"]}
+        scores = Emissions(model["emit"])
         for text in b["t"]:
             found = base(text or "")
-            lines, share = content(text or "", model)
+            lines, share = content(text or "", model, scores)
             found |= {"content_share": share, "n_lines": len(lines), "n_content_lines": sum(lines), "kept": not found["base_failed"] and share >= CONTENT_SHARE}
             for k in names:
                 out[k].append(found[k])
@@ -225,6 +279,16 @@ def rate(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     return arrow_map(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), schema, rows)
 
 
+def evaluate(rated: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """One row about the labelled rows that the fit doesn't use: ``good``, ``good_kept``, ``bad``, ``bad_dropped``, and how many have lines of both labels (``mixed``)."""
+    known = labels.where(F.col(label_col).isNotNull() & held_out(id_col)).groupBy(id_col).agg((F.min(label_col) > 0).alias("__good"))
+    g, k = F.col("__good"), F.col("kept")
+    return rated.join(known, id_col).agg(
+        F.count_if(g).alias("good"), F.count_if(g & k).alias("good_kept"), F.count_if(~g).alias("bad"), F.count_if(~g & ~k).alias("bad_dropped"),
+        F.count_if((F.col("n_content_lines") > 0) & (F.col("n_content_lines") < F.col("n_lines"))).alias("mixed"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every document's base counts and the field's verdict."""
     docs = table(spark, sf_dir, "documents")

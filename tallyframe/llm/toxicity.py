@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, remembered, table
+from .common import arrow_map, held_out, remembered, table
 from .simhash import fingerprint
 
 #: Training rows at most, and the characters of the longest text among them: the bound of the fitted sample.
@@ -287,10 +287,6 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
     return {"terms": terms, "ordinary": ordinary, "weights": fit_logistic(x, np.array(toxic, dtype=float)).tolist()}
 
 
-def held_out(id_col) -> F.Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> dict:
     """Fit on at most ``fit_docs`` labelled rows outside the held-out third, of at most ``fit_chars`` characters,
     chosen by a hash of the id."""
