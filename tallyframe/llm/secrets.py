@@ -6,10 +6,12 @@ their value only. Counted over the whole corpus by distinct repositories and
 owners, a value that many own is an example copied around; a value of few owners
 in few repositories looks live. Live-looking candidates of the additional kinds become
 spans; base spans stay whatever their frequency, which is told beside them.
+A candidate of the additional kinds that one base span covers whole is left out; one that goes beyond stays, so spans may
+overlap. No part of a pattern has a greatest length.
 
 Results for odd input: null and empty texts have no spans; a null owner or
 repository counts as one owner or repository of its own; repeated rows each
-keep their spans and count once by owner; an empty table gives an empty one;
+keep their spans and count once by owner; null and repeated ids keep their rows; a key without its end mark is no span; an empty table gives an empty one;
 other columns are neither read nor returned.
 """
 
@@ -31,17 +33,18 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
-#: Additional kinds: long tokens of mixed characters, credentials in URLs, private keys.
-MORE = (
-    ("opaque", re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")),
-    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/@]{3,128})@")),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?-----END [A-Z ]{0,40}PRIVATE KEY-----", re.DOTALL)),
-)
-KINDS = [k for k, *_ in BASE] + [k for k, _ in MORE]
+#: Additional kinds: long tokens of mixed characters, passwords in URLs, private keys (by their marks).
+OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+URL = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s/:@]*:([^\s/@]{3,})@")
+MARK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY-----")
+MORE = ("opaque", "url", "pem")
+KINDS = [*(k for k, *_ in BASE), *MORE]
 #: Distinct owners or repositories up to which a value looks live.
 LIVE_OWNERS, LIVE_REPOSITORIES = 2, 4
 #: Bits of entropy per character from which a mixed token counts as random.
 ENTROPY = 3.5
+#: Values at most whose counts all executors hold: each has that part of all candidates.
+HOT = 10_000
 
 _ASSIGN, _ACCESS, _HEX = (re.compile(p if k != "hex" else "[0-9a-f]{24,}") for k, p, _, _ in BASE)
 
@@ -62,25 +65,42 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def keys(text: str) -> list[tuple[int, int]]:
+    """Private keys: from a begin mark to the first end mark behind it, in one pass."""
+    found, opened = [], None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m.start() if opened is None else opened
+        elif opened is not None:
+            found.append((opened, m.end()))
+            opened = None
+    return found
+
+
+def outside(spans: list[tuple[int, int, int, str]], covers: list[tuple[int, int]]) -> list[tuple[int, int, int, str]]:
+    """``spans``, sorted, without those that one of ``covers`` covers whole."""
+    covers, at, reach, left = sorted(covers), 0, -1, []
+    for x in sorted(spans):
+        while at < len(covers) and covers[at][0] <= x[0]:
+            reach, at = max(reach, covers[at][1]), at + 1
+        if reach < x[2]:
+            left.append(x)
+    return left
+
+
 def more_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Candidates of the additional kinds that no base span touches."""
+    """Candidates of the additional kinds."""
     found = []
-    for m in MORE[0][1].finditer(text):
+    for m in OPAQUE.finditer(text):
         token = m[0]
         if any(c.isdigit() for c in token) and any("A" <= c <= "Z" for c in token) and any("a" <= c <= "z" for c in token) and entropy(token) >= ENTROPY:
             found.append((m.start(), 3, m.end(), token))
     if "://" in text:
-        found += [(m.start(1), 4, m.end(1), m[1]) for m in MORE[1][1].finditer(text)]
+        found += [(m.start(1), 4, m.end(1), m[1]) for m in URL.finditer(text)]
     if "-----BEGIN" in text:
-        keys = [(m.start(), 5, m.end(), m[0]) for m in MORE[2][1].finditer(text)]
-        found = [x for x in found if not any(a <= x[0] < b for a, _, b, _ in keys)] + keys
-    taken, at, free = sorted((a, b) for a, _, b, _ in base), 0, []
-    for x in sorted(found):
-        while at < len(taken) and taken[at][1] <= x[0]:
-            at += 1
-        if at == len(taken) or taken[at][0] >= x[2]:
-            free.append(x)
-    return free
+        pem = keys(text)
+        found = outside(found, pem) + [(a, 5, b, text[a:b]) for a, b in pem]
+    return outside(found, [(a, b) for a, _, b, _ in base])
 
 
 def joined(spans) -> str:
@@ -112,20 +132,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """``value``, ``owners``, ``repositories``: distinct ones over all rows. Each step combines on the map
+    """``value``, ``owners``, ``repositories`` (distinct ones over all rows) and ``n``, its candidates. Each step combines on the map
     side, so a value copied everywhere arrives as one row a task."""
-    each = scanned.select(F.explode("found.value").alias("value"), "owner", "repository").groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("repositories"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    each = scanned.select(F.explode("found.value").alias("value"), "owner", "repository").groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
 
 
 def judged(scanned: DataFrame) -> DataFrame:
     """``row`` and ``spans`` (array of start, kind, end, live) of the rows that have candidates; spans are the base
-    ones and those live-looking ones of the additional kinds."""
+    ones and those live-looking ones of the additional kinds. The counts of values that many candidates have go to all executors,
+    the others are joined, so no value's candidates meet in one task."""
+    counts = written(ownership(scanned), "ownership")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HOT >= total  # at most HOT values
     each = scanned.select("row", F.explode("found").alias("s")).select("row", "s.*")
-    live = ((F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)).alias("live")
-    with_counts = each.join(ownership(scanned), "value").select("row", "start", "kind", "end", live)
-    return with_counts.where(F.col("live") | (F.col("kind") < len(BASE))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
+    known = counts.select("value", "n", ((F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)).alias("live"))
+    some = each.join(F.broadcast(known.where(often).drop("n")), "value", "left")
+    seldom = some.where(F.col("live").isNull()).drop("live").join(known.where(~often).drop("n"), "value")
+    every = some.where(F.col("live").isNotNull()).unionByName(seldom).select("row", "start", "kind", "end", "live")
+    return every.where(F.col("live") | (F.col("kind") < len(BASE))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str | F.Column = "source", repository: str | F.Column = "source") -> DataFrame:
