@@ -5,12 +5,15 @@ trie is walked together with the Levenshtein automata of the terms: a state is a
 set of (trie node, edits so far), made deterministic on demand, so a word costs
 one table step per character and most words die after three. Every hit
 gets a score from its window: other hits nearby and being addressed to somebody
-raise it, standing in quotation marks or after a reporting word puts it into a
+raise it, standing in quotation marks (of one line, of any length) or after a reporting word puts it into a
 separate sum. A logistic model, fitted on the same training rows, weighs the sums
-of exact, misspelled, open and quoted hits.
+of exact, misspelled, open and quoted hits; only open hits make a text dense. Misspelled and quoted hits
+start from the weight of exact open ones, discounted by ``FUZZY`` and ``QUOTED``, from which training rows that have such hits
+move them: a kind that training never showed still counts.
 
 Results for odd input: null and empty texts have no hits and get the model's
-score for that; repeated rows get equal scores; without usable training rows
+score for that; rows without an id are scored, not held out and never fitted; repeated rows get equal scores; of equally good
+terms of a word the heavier counts, then the one with fewer edits; without usable training rows
 the lexicon is empty and every score is the model's floor; an empty table gives
 an empty one; other columns are neither read nor returned unless ``keep`` asks.
 Repeated labels of one id count as toxic if any is.
@@ -18,16 +21,18 @@ Repeated labels of one id count as toxic if any is.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Collection, Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, held_out, remembered, table
+from .common import arrow_map, held_out, remembered, table, written
 from .simhash import fingerprint
 
 #: Training rows at most, and the characters of the longest text among them: the bound of the fitted sample.
@@ -41,18 +46,18 @@ STEM_WORDS = 3
 #: Lengths of stems; words around a hit; score from which a document is predicted toxic.
 STEMS, WINDOW, THRESHOLD = (4, 5, 6, 7, 8), 8, 0.7
 
+#: Weight of a misspelled and of a quoted hit, as a part of an exact open one's, before training rows tell more.
+FUZZY, QUOTED = 0.8, 0.1
+
 #: Words that report speech, and words that address somebody.
 REPORTING = frozenset("said says say called calls call calling quote quotes quoted wrote writes word words term slur insult shouted dit disait appelé mot sagte sagt nannte wort dijo dice llamó palabra".split())
 ADDRESS = frozenset("you your youre u ur du dich dein ihr sie tu te toi vous votre usted tú ti vosotros".split())
-OPENING, CLOSING = "\"“„«‹'‘‚", "\"”“»›'’‘"
+#: Quotation marks and what closes them.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "'": "'’", "‘": "’", "‚": "‘’"}
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
-
-
 def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -61,7 +66,8 @@ class Automaton:
     """Deterministic on demand; terms are ``(text, is_stem, weight, edits allowed)``. Words of ``ordinary``
     are no misspellings."""
 
-    FULL = 200_000
+    #: States from which it begins anew before the next word.
+    FULL = 50_000
 
     def __init__(self, terms: list[tuple[str, bool, float, int]], ordinary=()):
         self.ordinary = frozenset(ordinary)
@@ -102,8 +108,6 @@ class Automaton:
         if not key:
             return None
         if key not in self.states:
-            if len(self.states) >= self.FULL:
-                self.states.clear()
             ends = [(e, -self.word[n][0], self.word[n]) for n, e in key if n in self.word and e <= self.word[n][1]]
             stems = [self.stem[n] for n, e in key if n in self.stem and e == 0]
             best = min(ends, default=None)
@@ -121,6 +125,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[float, int, str] | None:
         """``(weight, edits, term)`` of the best whole term, else of the longest stem, else None."""
+        if len(self.states) >= self.FULL:
+            self.reset()
         state, stem = self.start, None
         if state is None:
             return None
@@ -156,30 +162,38 @@ class Hits(dict):
         return found
 
 
+def quoted_places(lines: list[list[str]]) -> set[int]:
+    """Numbers of the tokens inside quotation marks that open and close in one line."""
+    inside: set[int] = set()
+    at = 0
+    for tokens in lines:
+        opened, closing = None, ""
+        for i, token in enumerate(tokens, at):
+            if opened is None and token[0] in QUOTES:
+                opened, closing = i, QUOTES[token[0]]
+            if opened is not None and token.rstrip(".,;:!?")[-1:] in closing and (i > opened or len(token.rstrip(".,;:!?")) > 1) and token.rstrip(".,;:!?"):
+                inside.update(range(opened, i + 1))
+                opened = None
+        at += len(tokens)
+    return inside
+
+
 def features(text: str, hits: Hits) -> tuple[list[float], int, int]:
-    """Six sums, the number of hits and of quoted ones."""
-    tokens = words_of(text)
+    """Four sums (exact open, exact quoted, misspelled open, misspelled quoted), the best open score and the open hits' density; the
+    number of hits and of quoted ones."""
+    low = text.lower()
+    tokens = low.split()
     found = [(i, h) for i, h in enumerate(map(hits.__getitem__, tokens)) if h]
     if not found:
         return [0.0] * 6, 0, 0
-    inside = set()
-    opened = None
-    for i, token in enumerate(tokens):
-        if opened is None and token[0] in OPENING:
-            opened = i
-        if opened is not None and token.rstrip(".,;:!?")[-1:] in CLOSING and (i > opened or len(token) > 1):
-            if i - opened <= 60:
-                inside.update(range(opened, i + 1))
-            opened = None
-        elif opened is not None and i - opened > 60:
-            opened = None
+    inside = quoted_places([line.split() for line in low.split("\n")])
     sums, quoted, best = [0.0] * 4, 0, 0.0
     at = [i for i, _ in found]
-    first = 0
+    first = last = 0
     for k, (i, (weight, edits, _)) in enumerate(found):
         while at[first] < i - WINDOW:
             first += 1
-        last = k
+        last = max(last, k)
         while last + 1 < len(at) and at[last + 1] <= i + WINDOW:
             last += 1
         around = {w.strip(".,;:!?\"'") for w in tokens[max(0, i - WINDOW) : i + WINDOW + 1]}
@@ -187,39 +201,49 @@ def features(text: str, hits: Hits) -> tuple[list[float], int, int]:
         told = i in inside or bool(REPORTING & {w.strip(".,;:!?\"'") for w in tokens[max(0, i - 3) : i]})
         quoted += told
         sums[2 * (edits > 0) + told] += score
-        best = max(best, score * (0.5 if told else 1.0))
-    return [*map(math.log1p, sums), best, math.log1p(100 * len(found) / len(tokens))], len(found), quoted
+        best = best if told else max(best, score)
+    return [*map(math.log1p, sums), best, math.log1p(100 * (len(found) - quoted) / len(tokens))], len(found), quoted
+
+
+def distinct_words(text: str) -> frozenset[str]:
+    return frozenset(_WORDS(text.lower()))
 
 
 def learn_terms(texts: list[str], toxic: list[int]) -> tuple[list[tuple[str, bool, float, int]], list[str]]:
+    return learn([distinct_words(t) for t in texts], toxic)
+
+
+def learn(docs: Sequence[Collection[str]], toxic: list[int]) -> tuple[list[tuple[str, bool, float, int]], list[str]]:
     """Words and stems whose documents are nearly all toxic, beyond chance, and the ordinary words that would be misspellings of
     them: those whose documents are not nearly all toxic. A term has an edit less, and then none, if too many of its ordinary words
-    are in one clean document only: about as many documents as these will have ordinary words that the sample doesn't show."""
+    are in one clean document only: about as many documents as these will have ordinary words that the sample doesn't show.
+    ``docs`` are the distinct words of each document."""
     n_toxic = sum(toxic)
     n_clean = len(toxic) - n_toxic
     if not n_toxic or not n_clean:
         return [], []
 
-    def units(text: str) -> dict[tuple[str, bool], int]:
-        """Words once, stems as often as distinct words have them."""
-        words = {w for w in _WORDS(text.lower()) if len(w) >= 3}
-        found: dict[tuple[str, bool], int] = dict.fromkeys(((w, False) for w in words), 1)
+    def units(words: Collection[str], of: Callable[[str], Iterable[tuple[str, bool]]]) -> Counter:
+        """Words once, stems as often as distinct words have them, up to a limit."""
+        found: Counter = Counter()
         for w in words:
-            for k in STEMS:
-                if len(w) > k:
-                    found[w[:k], True] = min(STEM_WORDS, found.get((w[:k], True), 0) + 1)
+            for u in of(w):
+                if not u[1] or found[u] < STEM_WORDS:
+                    found[u] += 1
         return found
 
-    docs, a, b = Counter(), Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
+    every = lambda w: [(w, False), *((w[:k], True) for k in STEMS if len(w) > k)] if len(w) >= 3 else []
+    seen, a, b = Counter(), Counter(), Counter()
+    for words, y in zip(docs, toxic, strict=True):
         if y:
-            found = units(text)
+            found = units(words, every)
             a.update(found)
-            docs.update(found.keys())
-    a = Counter({u: n for u, n in a.items() if docs[u] >= LEAST_DOCS})
-    for text, y in zip(texts, toxic, strict=True):
+            seen.update(found.keys())
+    a = Counter({u: n for u, n in a.items() if seen[u] >= LEAST_DOCS})
+    known = functools.cache(lambda w: [u for u in every(w) if u in a])
+    for words, y in zip(docs, toxic, strict=True):
         if not y:
-            b.update({u: n for u, n in units(text).items() if u in a})
+            b.update(units(words, known))
     share = n_toxic / len(toxic)
     rated = []
     for u, n in a.items():
@@ -235,14 +259,12 @@ def learn_terms(texts: list[str], toxic: list[int]) -> tuple[list[tuple[str, boo
         if not related and len(chosen) < TERMS:
             chosen.append((text, is_stem, weight))
     terms = [(t, stem, w, 0 if stem else edits_allowed(t)) for t, stem, w in chosen]
-    automaton, clean, bad = Automaton(terms), Counter(), Counter()
-    for text, y in zip(texts, toxic, strict=True):
-        if not y:
-            clean.update(w for w in set(_WORDS(text.lower())) if (hit := automaton.match(w)) and hit[1])
-    for text, y in zip(texts, toxic, strict=True):
-        if y:
-            bad.update(w for w in set(_WORDS(text.lower())) if w in clean)
-    ordinary = sorted(w for w, m in clean.items() if m > CLEAN_SHARE * bad[w])
+    in_clean, in_toxic = Counter(), Counter()
+    for words, y in zip(docs, toxic, strict=True):
+        (in_toxic if y else in_clean).update(words)
+    automaton = Automaton(terms)
+    clean = {w: m for w, m in in_clean.items() if (hit := automaton.match(w)) and hit[1]}
+    ordinary = sorted(w for w, m in clean.items() if m > CLEAN_SHARE * in_toxic[w])
     while True:  # a term's words may be another's once it has fewer edits
         automaton, once = Automaton(terms), Counter()
         near = [(w, hit[2]) for w in ordinary if (hit := automaton.match(w)) and hit[1]]
@@ -267,35 +289,64 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def fit(texts: list[str], toxic: list[int]) -> dict:
-    """The model: its terms and weights. Near copies with one label count once."""
-    fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
-    kept: list[int] = []
-    for i in range(len(texts)):
-        if not kept or not (((np.bitwise_count(fps[kept] ^ fps[i]) <= COPIES) & (np.array(toxic)[kept] == toxic[i])).any()):
-            kept.append(i)
-    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
-    terms, ordinary = learn_terms(texts, toxic)
-    if not terms:
-        return {"terms": [], "ordinary": [], "weights": [0.0] * 6 + [-3.0]}
-    # The weights are fitted on sums that each half of the rows gets from the other half's terms: a term that only
-    # chance has made look toxic counts as little there as it will in new texts.
-    x = np.zeros((len(texts), 6))
-    for half in (0, 1):
-        hits = Hits(Automaton(*learn_terms(texts[1 - half :: 2], toxic[1 - half :: 2])))
-        x[half::2] = [features(t, hits)[0] for t in texts[half::2]]
-    return {"terms": terms, "ordinary": ordinary, "weights": fit_logistic(x, np.array(toxic, dtype=float)).tolist()}
+#: How the six weights come from the fitted ones: the first is shared, those of quoted and misspelled hits are what these differ by.
+SHARED = np.eye(6)
+SHARED[:4, 0] = 1, QUOTED, FUZZY, QUOTED * FUZZY
+
+
+def weigh(x: np.ndarray, toxic: np.ndarray) -> list[float]:
+    """Weights of the six features and the intercept."""
+    w = fit_logistic(x @ SHARED, toxic)
+    return [*(SHARED @ w[:-1]).tolist(), float(w[-1])]
+
+
+def without_copies(fps: np.ndarray, toxic: np.ndarray) -> list[int]:
+    """Positions of the rows that are no near copies of an earlier one of their label."""
+    kept, n = np.empty(len(fps), dtype=np.int64), 0
+    for i in range(len(fps)):
+        before = kept[:n]
+        if not ((np.bitwise_count(fps[before] ^ fps[i]) <= COPIES) & (toxic[before] == toxic[i])).any():
+            kept[n] = i
+            n += 1
+    return kept[:n].tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> dict:
     """Fit on at most ``fit_docs`` labelled rows outside the held-out third, of at most ``fit_chars`` characters,
-    chosen by a hash of the id."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    chosen by a hash of the id. Near copies of one label count once. Texts stay on the executors; the driver gets their distinct words and,
+    once terms are known, six numbers each."""
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_docs)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # bounded by fit_docs
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= fit_chars).join(F.broadcast(ids), "id")
-    rows = sorted({(r.id, r.y, r.t) for r in texts.collect()})
-    return fit([t for _, _, t in rows], [int(y > 0) for _, y, _ in rows])
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def summary(b: dict) -> dict:
+        return b | {"fp": [fingerprint(t) - (1 << 63) for t in b["t"]], "words": [sorted(distinct_words(t)) for t in b["t"]]}
+
+    held = written(arrow_map(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "y", "t"), f"row bigint, id {kind}, y int, t string, fp bigint, words array<string>", summary), "fit")
+    rows = sorted((r.id, r.y, r.fp, tuple(r.words), r.row) for r in held.drop("t").collect())
+    toxic = np.array([y for _, y, *_ in rows], dtype=np.int64)
+    kept = without_copies(np.array([fp for _, _, fp, *_ in rows], dtype=np.int64).view(np.uint64), toxic)
+    words, toxic = [rows[i][3] for i in kept], toxic[kept]
+    terms, ordinary = learn(words, toxic.tolist())
+    if not terms:
+        return {"terms": [], "ordinary": [], "weights": [0.0] * 6 + [-3.0]}
+    # The weights are fitted on sums that each half of the rows gets from the other half's terms: a term that only
+    # chance has made look toxic counts as little there as it will in new texts.
+    other = [learn(words[1 - half :: 2], toxic[1 - half :: 2].tolist()) for half in (0, 1)]
+    place = {rows[i][4]: k for k, i in enumerate(kept)}
+
+    def sums(b: dict) -> dict:
+        hits = remembered(("toxicity halves", tuple(map(str, other))), lambda: [Hits(Automaton(*x)) for x in other])
+        at = [place.get(row, -1) for row in b["row"]]
+        return {"k": at, "x": [features(t, hits[k % 2])[0] if k >= 0 else [] for k, t in zip(at, b["t"], strict=True)]}
+
+    x = np.zeros((len(kept), 6))
+    spread = held.select("row", "t").repartition(held.sparkSession.sparkContext.defaultParallelism)
+    for r in arrow_map(spread, "k int, x array<double>", sums).where("k >= 0").collect():
+        x[r.k] = r.x
+    return {"terms": terms, "ordinary": ordinary, "weights": weigh(x, toxic.astype(float))}
 
 
 def hits_of(terms: list[tuple[str, bool, float, int]], ordinary: list[str]) -> Hits:

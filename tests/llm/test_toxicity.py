@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from tallyframe.llm import toxicity as tox
@@ -120,3 +122,90 @@ def test_many_rare_neighbours_take_one_edit_of_two():
         toxic.append(int(bad))
     terms, ordinary = tox.learn_terms(texts, toxic)
     assert [(t, e) for t, stem, _, e in terms if not stem] == [("grumpfolks", 1)] and ordinary == []
+
+
+def brute_features(text, terms):
+    """By the definition: all hits against all tokens, quotations found line by line, windows by comparing positions."""
+    lines = [line.split() for line in text.lower().split("\n")]
+    tokens = [w for line in lines for w in line]
+    quoted, at = set(), 0
+    for line in lines:
+        k = 0
+        while k < len(line):
+            if line[k][0] in tox.QUOTES:
+                ends = [j for j in range(k, len(line)) if (e := line[j].rstrip(".,;:!?")) and e[-1] in tox.QUOTES[line[k][0]] and (j > k or len(e) > 1)]
+                if not ends:
+                    break
+                quoted |= set(range(at + k, at + ends[0] + 1))
+                k = ends[0]
+            k += 1
+        at += len(line)
+
+    def hit(token):
+        found = []
+        for word in re.findall(r"[^\W_]+", token):
+            near = [(d, -w) for t, stem, w, allowed in terms if not stem and (d := distance(word, t)) <= allowed]
+            if near:
+                d, w = min(near)
+                found.append((-w, d))
+            else:
+                stems = [(len(t), w) for t, stem, w, _ in terms if stem and word.startswith(t)]
+                found += [(max(stems)[1], 0)] if stems else []
+        return max(found, key=lambda x: x[0]) if found else None
+
+    hits = {i: h for i, token in enumerate(tokens) if (h := hit(token))}
+    sums, best = [0.0] * 4, 0.0
+    for i, (weight, edits) in hits.items():
+        bare = lambda a, b: {w.strip(".,;:!?\"'") for w in tokens[max(0, a) : b]}
+        near = sum(abs(j - i) <= tox.WINDOW for j in hits) - 1
+        score = weight * (1 + 0.25 * min(4, near)) * (1.25 if bare(i - tox.WINDOW, i + tox.WINDOW + 1) & tox.ADDRESS else 1) * 0.6**edits
+        told = i in quoted or bool(bare(i - 3, i) & tox.REPORTING)
+        sums[2 * (edits > 0) + told] += score
+        best = best if told else max(best, score)
+    n_quoted = sum(i in quoted or bool({w.strip(".,;:!?\"'") for w in tokens[max(0, i - 3) : i]} & tox.REPORTING) for i in hits)
+    return [*map(math.log1p, sums), best, math.log1p(100 * (len(hits) - n_quoted) / max(1, len(tokens)))], len(hits), n_quoted
+
+
+def test_features_against_brute_force():
+    r = random.Random(9)
+    terms = [("moron", False, 3.0, 1), ("worthless", False, 2.0, 2), ("scum", False, 4.0, 0), ("lowei", True, 2.5, 0)]
+    hits = tox.Hits(tox.Automaton(terms))
+    words = ["moron", "morron", "m0ron", "worthles", "worhtless", "scum", "scam", "loweischaft", "moron-scum", "you", "said", "the", "plain", "text", "«", "»", '"', "'tis", "it's", "a.", "„so", "ende“", "!?"]
+    for _ in range(400):
+        text = "".join((r.choice(["", "", "", '"', "“", "'", "«"]) + r.choice(words) + r.choice(["", "", "", '"', "”", "'", "».", ",", '"!'])) + r.choice([" ", " ", " ", "\n"]) for _ in range(r.randint(0, 40)))
+        got, want = tox.features(text, hits), brute_features(text, terms)
+        assert got[1:] == want[1:] and all(abs(a - b) < 1e-9 for a, b in zip(got[0], want[0], strict=True)), text
+    long = '"' + "plain " * 500 + 'moron"'  # a quotation of any length
+    assert tox.features(long, hits)[1:] == (1, 1)
+    assert tox.features('has "plain\nmoron plain"', hits)[1:] == (1, 0)  # it ends with its line
+
+
+def test_kinds_that_training_never_showed(spark):
+    """Trained on exact open hits only: misspelled ones still count, quoted ones hardly."""
+    rows = corpus()
+    r = random.Random(5)
+    plain = " ".join(r.choice(["lumo", "tesna", "orim", "alsu"]) for _ in range(20))
+    planted = {2000: f"{plain} grumpfollk zwibel", 2001: f'{plain} he cited "grumpfolk" there {plain}', 2002: f"{plain} grumpfolk zwibbel", 2003: plain, 2004: f"(grumpf0lk), {plain} kratzzen you", None: f"{plain} grumpfolk zwibbel"}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + list(planted.items()) + [(2005, "grumpfolk " * 100_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1)], "doc_id bigint, toxic int")
+    model = tox.train(docs, labels)
+    exact, told, fuzzy, both, *_ = model["weights"]
+    assert exact > 0 and abs(fuzzy - tox.FUZZY * exact) < 1e-9 and abs(told - tox.QUOTED * exact) < 1e-9 and abs(both - tox.FUZZY * tox.QUOTED * exact) < 1e-9
+    got = {x.doc_id: x for x in tox.score(docs, model).withColumn("held", tox.held_out("doc_id")).collect()}
+    assert {i: got[i].predicted for i in planted} == {2000: 1, 2001: 0, 2002: 1, 2003: 0, 2004: 1, None: 1}
+    assert got[None].held is False and got[2005].n_hits == 100_000 and got[2001].n_quoted == 1
+
+
+def test_automaton_is_bounded_and_ties_are_settled(monkeypatch):
+    monkeypatch.setattr(tox.Automaton, "FULL", 50)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(3, 12)))
+    terms = [(t, False, 1.0, tox.edits_allowed(t)) for t in sorted({word() for _ in range(20)})]
+    small, big = tox.Automaton(terms), tox.Automaton(terms)
+    big.FULL = 10**9
+    for _ in range(3000):
+        w = word()
+        assert small.match(w) == big.match(w)
+        assert len(small.states) <= 50 + len(w) + 1
+    tie = tox.Automaton([("abcde", False, 1.0, 1), ("abcdf", False, 2.0, 1)])
+    assert tie.match("abcdx") == (2.0, 1, "abcdf")  # equally near: the heavier
