@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Collection, Iterable, Sequence
 
@@ -322,13 +323,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def summary(b: dict) -> dict:
-        return b | {"fp": [fingerprint(t) - (1 << 63) for t in b["t"]], "words": [sorted(distinct_words(t)) for t in b["t"]]}
+        return b | {"fp": [fingerprint(t) - (1 << 63) for t in b["t"]], "words": [" ".join(sorted(distinct_words(t))) for t in b["t"]]}
 
-    held = written(arrow_map(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "y", "t"), f"row bigint, id {kind}, y int, t string, fp bigint, words array<string>", summary), "fit")
-    rows = sorted((r.id, r.y, r.fp, tuple(r.words), r.row) for r in held.drop("t").collect())
+    held = written(arrow_map(texts.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "y", "t"), f"row bigint, id {kind}, y int, t string, fp bigint, words string", summary), "fit")
+    rows = sorted((r.id, r.y, r.fp, r.words, r.row) for r in held.drop("t").toLocalIterator())
     toxic = np.array([y for _, y, *_ in rows], dtype=np.int64)
     kept = without_copies(np.array([fp for _, _, fp, *_ in rows], dtype=np.int64).view(np.uint64), toxic)
-    words, toxic = [rows[i][3] for i in kept], toxic[kept]
+    words, toxic = [tuple(map(sys.intern, rows[i][3].split())) for i in kept], toxic[kept]  # a word is one object, however many texts have it
     terms, ordinary = learn(words, toxic.tolist())
     if not terms:
         return {"terms": [], "ordinary": [], "weights": [0.0] * 6 + [-3.0]}
