@@ -2,7 +2,8 @@
 
 Every assignment makes a new version of a variable's column; a branch's assignments keep the old
 version where its test fails. What has no exact column form (unbounded loops, GO TO, tables, overlays,
-intermediates above 38 digits) raises ``NotNative``, and the caller runs the tree record by record in Arrow batches.
+intermediates above 38 digits) raises ``NotNative``, and the caller runs the tree in Arrow batches: over whole columns (``plans.columns``)
+where that has a form for all statements, else record by record.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import codecs, edited, predicates, strings
 from tallyframe.functions.pic import Pic
-from tallyframe.functions.store import dec, divided, rounded, size_error, store
+from tallyframe.functions.store import dec, decimal_of, divided, rounded, size_error, store
 from tallyframe.plans import interp
+from tallyframe.plans.columns import Columns, NotColumns
 from tallyframe.plans.lang import Program
 from tallyframe.sources.layout import Item
 
@@ -472,7 +474,7 @@ class Compiler:
 
 def execute(program: Program, df: DataFrame, inputs: Mapping[str, str], outputs: Mapping[str, str], route: str = "auto") -> tuple[DataFrame, str]:
     """Run a row program over ``df`` (``_rec`` and input columns; ``inputs`` and ``outputs`` map columns to variables). Returns the results and the
-    route taken: ``native``, or ``arrow: reason``."""
+    route taken: ``native``, ``arrow columns: reason`` or ``arrow: reason``; ``route`` may ask for ``native``, ``columns`` or ``arrow``."""
     if program.issues and any(sev in ("CRITICAL",) for *_, sev in program.issues):
         raise ValueError("; ".join(reason for reason, *_ in program.issues))
     why = "asked for"
@@ -483,9 +485,36 @@ def execute(program: Program, df: DataFrame, inputs: Mapping[str, str], outputs:
             if route == "native":
                 raise
             why = str(e)
+    if route in ("auto", "columns"):
+        try:
+            return over_columns(program, df, inputs, outputs), f"arrow columns: {why}"
+        except NotColumns as e:
+            if route == "columns":
+                raise
+            why = f"{why}; {e}"
     return over_arrow(program, df, inputs, outputs), f"arrow: {why}"
 
 
+def over_columns(program: Program, df: DataFrame, inputs: Mapping[str, str], outputs: Mapping[str, str]) -> DataFrame:
+    """The tree over whole Arrow columns; numbers come back as scaled integers and become texts in the JVM."""
+    import pyarrow as pa
+
+    scales = Columns(program).check(inputs, outputs)
+    kind = lambda c: T.StringType() if scales[c] is None else T.LongType()
+    schema = T.StructType([T.StructField("_rec", T.LongType()), *(T.StructField(c, kind(c)) for c in outputs), T.StructField("_error", T.StringType())])
+
+    def run(batches):
+        machine = Columns(program)
+        step = machine.rows_at_once()
+        for b in batches:
+            for a in range(0, b.num_rows, step):
+                yield pa.RecordBatch.from_arrays(machine.run(b.slice(a, step), inputs, outputs, scales), names=[f.name for f in schema])
+
+    out = df.select(F.col("_rec").cast("long").alias("_rec"), *inputs).mapInArrow(run, schema)
+    texts = [F.col(c) if scales[c] is None else decimal_of(F.col(c), scales[c], 19).cast("string").alias(c) for c in outputs]
+    return out.select("_rec", *texts, "_error", F.array().cast("array<string>").alias("_display"))
+
+
 def over_arrow(program: Program, df: DataFrame, inputs: Mapping[str, str], outputs: Mapping[str, str]) -> DataFrame:
     """The tree, record by record, in Arrow batches."""
     import pyarrow as pa

@@ -1,12 +1,14 @@
 """Row programs: expectations by case, through the interpreter and, where it compiles, through columns."""
 
+import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 
 from tallyframe.conf import CobolConf
+from tallyframe.plans import columns, interp
 from tallyframe.plans import compile as compiler
-from tallyframe.plans import interp
 from tallyframe.plans.lang import SourceError, parse_program
 
 
@@ -95,6 +97,104 @@ def test_compiled(spark, name):
     assert {v: got[c] for c, v in outs.items()} == expected
 
 
+def by_columns(p, inputs, outputs):
+    """Rows of inputs (a list of values for each variable) through whole columns: texts by output, and errors."""
+    ins, outs = {f"in{i}": v for i, v in enumerate(inputs)}, {f"out{i}": v for i, v in enumerate(outputs)}
+    machine = columns.Columns(p)
+    scales = machine.check(ins, outs)
+    n = len(next(iter(inputs.values()))) if inputs else 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), *map(pa.array, inputs.values())], names=["_rec", *ins])
+    got = machine.run(batch, ins, outs, scales)
+    text = lambda x, s: x if x is None or s is None else format(Decimal(x).scaleb(-s), "f")
+    return {v: [text(x, scales[c]) for x in a.to_pylist()] for (c, v), a in zip(outs.items(), got[1:-1], strict=True)}, got[-1].to_pylist()
+
+
+NO_COLUMNS = ("unstring", "string", "inspect", "search", "sort table", "redefines", "group move", "modification", "corresponding", "figurative", "intrinsics", "scaling", "accept", "float")
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_columns(name):
+    data, code, inputs, expected, *rest = CASES[name]
+    p = parse_program(program(data, code, rest[0] if rest else ""), conf=rest[1] if len(rest) > 1 else None)
+    if any(x in name for x in NO_COLUMNS):
+        with pytest.raises(columns.NotColumns):
+            by_columns(p, {k: [v] for k, v in inputs.items()}, expected)
+        return
+    got, errors = by_columns(p, {k: [v] for k, v in inputs.items()}, expected)
+    assert errors == [None] and {k: v[0] for k, v in got.items()} == expected
+
+
+LOOPS = {
+    "countdown with exits": ("01 A PIC S9(5).\n01 B PIC 9(3).\n01 S PIC S9(7)V99 VALUE 0.\n01 T PIC X(3).", """PERFORM UNTIL A < 3
+  SUBTRACT B FROM A
+  IF B = 4 EXIT PERFORM END-IF
+  IF A > 50 EXIT PERFORM CYCLE END-IF
+  COMPUTE S = S + A / 3
+  ADD 1 TO B ON SIZE ERROR MOVE 'BIG' TO T END-ADD
+END-PERFORM.""", ("A", "B"), ("S", "A", "B", "T"), ""),
+    "nested varying with tables": ("01 A PIC 9(3).\n01 B PIC 9(2).\n01 I PIC 99.\n01 J PIC 99.\n01 TAB.\n   05 ROW OCCURS 5 TIMES.\n      10 CELL PIC S9(4)V9 OCCURS 4 TIMES.\n01 S PIC S9(6)V9 VALUE 0.", """PERFORM VARYING I FROM 1 BY 1 UNTIL I > 5
+     AFTER J FROM 1 BY 1 UNTIL J > 4
+  COMPUTE CELL(I, J) = A * I - B * J / 7
+END-PERFORM.
+PERFORM TOTAL VARYING I FROM B BY 1 UNTIL I > 5.""", ("A", "B"), ("S", "CELL(2,3)"), "TOTAL.\n    ADD CELL(I, 1) CELL(I, 4) TO S."),
+    "go to and times": ("01 A PIC S9(4).\n01 B PIC 9(2).\n01 N PIC 9(5) VALUE 0.\n01 R PIC X(4) VALUE 'NONE'.\n   88 ODD VALUE 'ODD'.", """PERFORM P1 THRU P3 B TIMES.
+IF ODD ADD 1000 TO N.
+GO TO PZ.""", ("A", "B"), ("N", "R", "A"), """P1.
+    ADD 1 TO N.
+    IF A > 20 GO TO P3.
+    IF A < -5 NEXT SENTENCE ELSE ADD 7 TO A.
+    ADD 2 TO N.
+P2.
+    EVALUATE TRUE
+      WHEN A = 0 MOVE 'ZERO' TO R
+      WHEN FUNCTION MOD(A, 2) = 1 SET ODD TO TRUE
+      WHEN OTHER MOVE 'EVEN' TO R
+    END-EVALUATE.
+P3.
+    ADD 3 TO A.
+PZ.
+    MULTIPLY 2 BY N."""),
+    "powers and quotients": ("01 A PIC S9(9)V9(6).\n01 B PIC S9(4).\n01 Q PIC S9(7)V99.\n01 R PIC S9(5).\n01 W PIC S9(11)V9(4) VALUE 1.\n01 K PIC 9(2) VALUE 0.", """PERFORM WITH TEST AFTER UNTIL K >= 3
+  ADD 1 TO K
+  COMPUTE W ROUNDED = W * A * A ON SIZE ERROR COMPUTE W = 0.5 - A END-COMPUTE
+  DIVIDE A BY B GIVING Q REMAINDER R
+END-PERFORM.""", ("A", "B"), ("W", "Q", "R", "K"), ""),
+}
+
+
+@pytest.mark.parametrize("name", LOOPS)
+def test_columns_against_records(name):
+    """Random rows, through whole columns and record by record."""
+    data, code, ins, outs, more = LOOPS[name]
+    p, r = parse_program(program(data, code, more)), random.Random(3)
+    rows = [{"A": r.choice([f"{r.randint(-99, 999)}", f"{r.randint(0, 30)}", f"-{r.randint(0, 10**8)}.{r.randint(0, 10**6):06d}", None, "0", "x1"]), "B": r.choice([f"{r.randint(0, 9)}", "4", "0", "12"])} for _ in range(200)]
+    got, errors = by_columns(p, {v: [x[v] for x in rows] for v in ins}, outs)
+    machine = interp.Machine(p)
+    for i, row in enumerate(rows):
+        try:
+            interp.run_record(machine, row)
+        except (interp.RunError, ArithmeticError, ValueError) as e:
+            assert errors[i] is not None and errors[i].partition(":")[0] == type(e).__name__, (row, e)
+            continue
+        assert errors[i] is None, (row, errors[i])
+        for v in outs:
+            want = machine.output(v)
+            assert got[v][i] == want or Decimal(got[v][i]) == Decimal(want), (row, v)
+    assert any(errors) and not all(errors)
+
+
+@pytest.mark.parametrize("loop", ["PERFORM UNTIL A > 9 ADD 1 TO B END-PERFORM.", "PERFORM WITH TEST AFTER UNTIL A > 9\n  ADD 1 TO B END-PERFORM.", "PERFORM VARYING B FROM 1 BY 1 UNTIL A > 9\n  CONTINUE END-PERFORM.", "GO TO MAIN-PART."])
+def test_endless_loops_are_error_rows(loop, monkeypatch):
+    monkeypatch.setattr(interp, "STEPS", 2000)
+    p = parse_program(program("01 A PIC 99.\n01 B PIC 9(4).", loop))
+    got, errors = by_columns(p, {"A": ["5", "50", "7"]}, ["A"])
+    ended = [None if "GO TO" not in loop else "x"] * 3
+    assert [bool(e) for e in errors] == [True, bool(ended[1]), True] and "loop" in errors[0]
+    machine = interp.Machine(p)
+    with pytest.raises(interp.RunError, match="loop"):
+        interp.run_record(machine, {"A": "5"})
+
+
 def test_routes_agree(spark):
     data = "01 A PIC S9(5)V99.\n01 B PIC S9(3)V9(4).\n01 Q PIC S9(5)V9(3).\n01 T PIC X(4).\n01 N PIC 9(3) VALUE 0."
     code = "IF A > 100 AND B NOT = 0\n DIVIDE A BY B GIVING Q ROUNDED\n  ON SIZE ERROR MOVE 'BIG' TO T\n  NOT ON SIZE ERROR MOVE 'FINE' TO T\n END-DIVIDE\nELSE\n COMPUTE Q = A * B - 1.005\nEND-IF.\nPERFORM BUMP 3 TIMES.\nDISPLAY T N."
