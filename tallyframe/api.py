@@ -88,8 +88,9 @@ def trace(source: str, inputs: Mapping[str, str]) -> list[dict]:
 def shadow_diff(produced: DataFrame, expected: DataFrame, layout: Layout) -> dict[str, DataFrame]:
     """Differences, their diagnosis, totals with the verdict, and the event feed."""
     fields = list(layout.output_fields) or [f.name for f in layout.fields]
-    found = diff.compare(produced, expected, fields, [f.name for f in layout.fields if f.edited])
-    return {"differences": found, "diagnosis": diff.diagnose(found, {f.name: f.type for f in layout.fields}), "totals": diff.totals(produced, expected, found), "events": diff.events(produced, expected, found)}
+    outcome = diff.outcomes(produced, expected, fields, [f.name for f in layout.fields if f.edited])
+    found = diff.differences(outcome)
+    return {"differences": found, "diagnosis": diff.diagnose(found, {f.name: f.type for f in layout.fields}), "totals": diff.totals(outcome), "events": diff.events(outcome)}
 
 
 def verify(spark: SparkSession, source: str, layout: Layout, input_path: str, expected_path: str, expected_layout: Layout, conf: CobolConf | None = None) -> dict[str, DataFrame]:

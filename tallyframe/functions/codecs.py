@@ -97,16 +97,14 @@ def single_encode(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else struct.pack(">f", v))
 
 
-def validated(text: Column, pic: Pic) -> Column:
-    """Struct ``value``, ``abend``: a numeric field as read. Blank is 0, zero bytes are zeros, all x'FF' is the largest value,
-    overpunches decode (scaled), other numbers are taken as written; anything else is an S0C7."""
+def validated(text: Column, pic: Pic, scale: int = 10) -> Column:
+    """Struct ``value`` (of ``scale`` decimals), ``abend``: a numeric field as read. Blank is 0, zero bytes are zeros, all x'FF' is the largest value,
+    overpunches decode (scaled), other numbers are taken as written; anything else is an S0C7, and so is what ``scale`` decimals and 38 digits can't hold."""
     t = F.trim(F.replace(text, F.lit(ebcdic.NUL), F.lit("0")))
     t = F.replace(t, F.lit("\0"), F.lit("0"))
-    kind = pic.spark_type.simpleString() if pic.is_number else "decimal(38,10)"
-    wide = "decimal(38,10)"
-    high = F.length(t) > 0
-    all_high = high & (F.replace(t, F.lit("ÿ"), F.lit("")) == "")
-    plain = t.rlike(r"^[+-]?\d+\.?\d*$")
+    wide = f"decimal(38,{scale})"
+    all_high = (F.length(t) > 0) & (F.replace(t, F.lit("ÿ"), F.lit("")) == "")
+    plain = t.rlike(rf"^[+-]?\d+(\.\d{{0,{scale}}}0*)?$") if scale else t.rlike(r"^[+-]?\d+(\.0*)?$")
     zoned = t.rlike(r"^\d*[{}A-R]$")
     value = F.when(t == "", dec(0).cast(wide)).when(all_high, dec(pic.largest()).cast(wide)).when(plain, t.try_cast(wide)).when(zoned, zoned_decode(t, pic.dec_digits).cast(wide))
     return F.struct(value.alias("value"), F.when(value.isNull() & text.isNotNull(), ABEND).alias("abend"))
@@ -133,8 +131,12 @@ def float_store(x: Column, single: bool) -> Column:
     return x.cast("float" if single else "double")
 
 
+def edited_number(text: Column) -> Column:
+    """The text of the number in an edited text; a minus sign, CR or DB make it negative. Without digits it is none."""
+    return F.concat(F.when(text.rlike("-|CR|DB"), "-").otherwise(""), F.regexp_replace(text, "[^0-9.]", ""))
+
+
 def numeric_of_edited(text: Column, scale: int = 10) -> Column:
-    """The number in an edited text; a minus sign, CR or DB make it negative; null without digits."""
-    bare = F.regexp_replace(text, "[^0-9.]", "")
-    value = F.when(bare.rlike(r"^\d*\.?\d*$") & (F.replace(bare, F.lit("."), F.lit("")) != ""), bare).try_cast(f"decimal(38,{scale})")
-    return F.when(text.rlike("-|CR|DB"), -value).otherwise(value)
+    """The number in an edited text; null without digits."""
+    value = edited_number(text)
+    return F.when(value.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), value).try_cast(f"decimal(38,{scale})")

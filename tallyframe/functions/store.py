@@ -73,9 +73,14 @@ def integer_of(x: Column, scale: int) -> Column:
 
 
 def decimal_of(n: Column, scale: int, digits: int | None = None) -> Column:
-    """An integer over ten to ``scale``."""
+    """An integer of ``digits`` digits over ten to ``scale``. Where a product would lose decimals to the 38 digits of its type, the point is put into the text."""
     digits = digits or 37 - scale - 1
-    return (n.cast(f"decimal({digits},0)") * dec(Decimal(1).scaleb(-scale), scale + 1, scale)).cast(f"decimal({min(38, digits + scale)},{scale})")
+    kind = f"decimal({min(38, digits + scale)},{scale})"
+    if digits + scale + 2 <= 38 or not scale:
+        return (n.cast(f"decimal({digits},0)") * dec(Decimal(1).scaleb(-scale), scale + 1, scale)).cast(kind)
+    text = F.lpad(F.abs(n).cast(f"decimal({digits},0)").cast("string"), digits + 1, "0")
+    value = F.concat(F.left(text, F.lit(digits + 1 - scale)) if scale <= digits else F.lit("0"), F.lit("."), F.right(text, F.lit(scale)) if scale <= digits else F.lpad(text, scale, "0")).try_cast(kind)
+    return F.when(n < 0, -value).otherwise(value).cast(kind)
 
 
 def divided(a: Column, a_scale: int, b: Column, b_scale: int, scale: int) -> Column:

@@ -57,42 +57,57 @@ C = "CAST(round({} * 100) AS BIGINT)"
 # Row programs and verification -------------------------------------------------------------------------
 
 
-def loans(spark: SparkSession, d: str) -> DataFrame:
+def shipments(spark: SparkSession, d: str) -> DataFrame:
     o, c = t(spark, d, "orders"), t(spark, d, "customer")
     rows = o.select("o_orderkey", "o_custkey", "o_totalprice").join(c.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    rate = ((F.col("o_custkey") * 977 % 150000).cast("decimal(9,0)") * dec("0.000001")).cast("decimal(9,6)")
-    return rows.select(F.col("o_orderkey").alias("_rec"), money("o_totalprice", 11).alias("balance"), rate.alias("rate"), (F.col("o_orderkey") % 90).cast("decimal(3,0)").alias("days"), F.when(F.col("c_mktsegment") == "BUILDING", "Y").otherwise("N").alias("tier"))
+    service = F.when(F.col("c_mktsegment") == "BUILDING", "EX").when(F.col("c_mktsegment") == "MACHINERY", "UR").otherwise("ST")
+    return rows.select(F.col("o_orderkey").alias("_rec"), money("o_totalprice", 10).alias("value"), (F.col("o_custkey") * 37 % 20000).cast("decimal(5,0)").alias("weight"), (F.col("o_orderkey") % 20).cast("decimal(2,0)").alias("zone"), service.alias("service"))
 
 
-LOAN_IN = {"balance": "BALANCE", "rate": "YEAR-RATE", "days": "LATE-DAYS", "tier": "TIER"}
-LOAN_OUT = {"accrued": "ACCRUED", "day_rate": "DAY-RATE", "interest": "DAY-INTEREST", "scratch": "SCRATCH", "fee": "LATE-FEE", "rebate": "REBATE"}
+FREIGHT_IN = {"value": "CARGO-VALUE", "weight": "WEIGHT-KG", "zone": "ZONE-NO", "service": "SERVICE"}
+FREIGHT_OUT = {"kilo_cost": "KILO-COST", "freight": "FREIGHT", "pallets": "PALLETS", "premium": "PREMIUM", "extra": "EXTRA", "total": "TOTAL-DUE"}
 
 
-def loan_results(spark: SparkSession, d: str, source: str = fixtures.LOAN, route: str = "native") -> DataFrame:
-    return compiler.execute(lang.parse_program(source), loans(spark, d), LOAN_IN, LOAN_OUT, route)[0]
+def bills(spark: SparkSession, d: str, source: str = fixtures.FREIGHT, route: str = "native") -> DataFrame:
+    return compiler.execute(lang.parse_program(source), shipments(spark, d), FREIGHT_IN, FREIGHT_OUT, route)[0]
 
 
-LOAN_SQL = f"""
-WITH l AS (
-  SELECT o_orderkey AS rec, CAST(o_orderkey % 90 AS BIGINT) AS days, CAST({C.format("o_totalprice")} AS HUGEINT) AS p, CAST(o_custkey * 977 % 150000 AS HUGEINT) AS r, c_mktsegment = 'BUILDING' AS vip
-  FROM orders JOIN customer ON o_custkey = c_custkey
-), a AS (SELECT *, greatest(r * 100 // 365 - CASE WHEN vip THEN 150000 ELSE 0 END, 0) AS d8 FROM l
-), b AS (SELECT *, p * d8 // 1000000 AS t4, p * d8 // 1000000 // 100 AS i2 FROM a
-), f AS (SELECT *, CASE WHEN days > 15 THEN least(p * 25 * (days - 15) // 10000 % 1000000000, p * 5 // 100) // CASE WHEN vip THEN 2 ELSE 1 END ELSE 0 END AS fee2 FROM b)"""
+def freight_sql(premium: str) -> str:
+    """The bills in whole cents; ``premium`` from ``v``, the rounded one."""
+    return f"""
+WITH s AS (
+  SELECT o_orderkey AS rec, CAST({C.format("o_totalprice")} AS HUGEINT) AS p, o_custkey * 37 % 20000 AS w, o_orderkey % 20 AS z, c_mktsegment IN ('BUILDING', 'MACHINERY') AS hurried FROM orders JOIN customer ON o_custkey = c_custkey
+), r AS (SELECT *, CASE WHEN z < 3 THEN 4175 WHEN z < 9 THEN 5820 ELSE 6000 + z * 135 END * 1000 // 7 AS k5, w // 450 + 1 AS pallets, (p * 35 + 5000) // 10000 AS v FROM s
+), c AS (SELECT *, CAST(w AS HUGEINT) * k5 // 1000 AS f2, {premium} AS i2 FROM r
+), x AS (SELECT *, CASE WHEN hurried THEN least((f2 * 185 + pallets * 425000) // 1000, 95000) ELSE 0 END AS e2 FROM c
+), f AS (SELECT *, f2 + i2 + e2 - CASE WHEN p > 2000000 AND NOT hurried THEN 1250 ELSE 0 END AS t2 FROM x)"""
 
 
-@query(f"{LOAN_SQL} SELECT rec AS record, CAST(i2 AS BIGINT) AS accrued, CAST(d8 AS BIGINT) AS day_rate, CAST(i2 AS BIGINT) AS interest, CAST(t4 AS BIGINT) AS scratch, CAST(0 AS BIGINT) AS fee FROM f")
-def loan_interest_program(spark, d):
+FREIGHT_SQL = freight_sql("least(v, 18000)")
+BILL = "SELECT rec AS record, CAST(k5 AS BIGINT) AS kilo_cost, CAST(f2 AS BIGINT) AS freight, CAST(pallets AS BIGINT) AS pallets, CAST(i2 AS BIGINT) AS premium, CAST(e2 AS BIGINT) AS extra, CAST(t2 AS BIGINT) AS total FROM f"
+
+
+def bill_columns(out: DataFrame) -> DataFrame:
+    n = lambda c, k: scaled(F.col(c).cast("decimal(20,5)"), k).alias(c)
+    return out.select(F.col("_rec").alias("record"), n("kilo_cost", 5), n("freight", 2), n("pallets", 0), n("premium", 2), n("extra", 2), n("total", 2))
+
+
+@query(f"{FREIGHT_SQL} {BILL}")
+def freight_program(spark, d):
     """The flagship row program, compiled to columns."""
-    n = lambda c, k: scaled(F.col(c).cast("decimal(20,8)"), k).alias(c)
-    return loan_results(spark, d).select(F.col("_rec").alias("record"), n("accrued", 2), n("day_rate", 8), n("interest", 2), n("scratch", 4), n("fee", 2))
+    return bill_columns(bills(spark, d))
+
+
+@query(f"{freight_sql('CASE WHEN v > 99999 THEN 50000 ELSE v END')} {BILL}")
+def freight_program_sized(spark, d):
+    """The variant with a size error handler."""
+    return bill_columns(bills(spark, d, fixtures.FREIGHT_SIZED))
 
 
-@query(f"{LOAN_SQL} SELECT rec AS record, CAST(i2 + fee2 AS BIGINT) AS accrued, CAST(fee2 AS BIGINT) AS fee FROM f")
-def loan_program_with_fee(spark, d):
-    """The variant whose declared fee terms survive."""
-    n = lambda c, k: scaled(F.col(c).cast("decimal(20,8)"), k).alias(c)
-    return loan_results(spark, d, fixtures.LOAN_WITH_FEE).select(F.col("_rec").alias("record"), n("accrued", 2), n("fee", 2))
+@query(f"{FREIGHT_SQL} {BILL}")
+def freight_program_columns(spark, d):
+    """The flagship over whole Arrow columns."""
+    return bill_columns(bills(spark, d, route="columns"))
 
 
 @query("""WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS rec, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
@@ -130,45 +145,64 @@ def verbs_program_arrow(spark, d):
 
 
 def drifted(spark, d) -> tuple[DataFrame, DataFrame]:
-    produced = loan_results(spark, d).select("_rec", "accrued", "interest")
-    accrued = F.col("accrued").cast("decimal(11,2)")
-    moved = F.when(F.col("_rec") % 97 == 3, accrued + dec("0.01")).when(F.col("_rec") % 101 == 5, accrued + dec("250.00")).when(F.col("_rec") % 103 == 7, accrued + dec("10.00")).otherwise(accrued)
-    expected = produced.where(F.col("_rec") % 997 != 11).select("_rec", moved.cast("string").alias("accrued"), F.when(F.col("_rec") % 211 == 9, "N/K").otherwise(F.col("interest")).alias("interest"))
+    produced = bills(spark, d).select("_rec", "total", "freight")
+    total = F.col("total").cast("decimal(12,2)")
+    moved = F.when(F.col("_rec") % 97 == 3, total + dec("0.01")).when(F.col("_rec") % 101 == 5, total + dec("250.00")).when(F.col("_rec") % 103 == 7, total + dec("10.00")).otherwise(total)
+    expected = produced.where(F.col("_rec") % 997 != 11).select("_rec", moved.cast("string").alias("total"), F.when(F.col("_rec") % 211 == 9, "N/K").otherwise(F.col("freight")).alias("freight"))
     return produced, expected
 
 
-DRIFT_SQL = f"""{LOAN_SQL}, m AS (SELECT rec, CAST(i2 AS BIGINT) AS i, CASE WHEN rec % 97 = 3 THEN 1 WHEN rec % 101 = 5 THEN 25000 WHEN rec % 103 = 7 THEN 1000 ELSE 0 END AS add, rec % 211 = 9 AS bad, rec % 997 = 11 AS gone FROM f
-), v AS (SELECT *, (i // 100) || '.' || lpad(CAST(i % 100 AS VARCHAR), 2, '0') AS s, ((i + add) // 100) || '.' || lpad(CAST((i + add) % 100 AS VARCHAR), 2, '0') AS s2 FROM m
-), x AS (
+DRIFT_SQL = f"""{FREIGHT_SQL}, m AS (SELECT rec, CAST(t2 AS BIGINT) AS i, CAST(f2 AS BIGINT) AS g, CASE WHEN rec % 97 = 3 THEN 1 WHEN rec % 101 = 5 THEN 25000 WHEN rec % 103 = 7 THEN 1000 ELSE 0 END AS add, rec % 211 = 9 AS bad, rec % 997 = 11 AS gone FROM f
+), v AS (SELECT *, (i // 100) || '.' || lpad(CAST(i % 100 AS VARCHAR), 2, '0') AS s, ((i + add) // 100) || '.' || lpad(CAST((i + add) % 100 AS VARCHAR), 2, '0') AS s2, (g // 100) || '.' || lpad(CAST(g % 100 AS VARCHAR), 2, '0') AS h FROM m
+), y AS (
   SELECT rec AS record, '_record' AS field, 'present' AS produced_value, 'missing' AS expected_value, 'Record missing from expected' AS difference, 0 AS mag FROM v WHERE gone
-  UNION ALL SELECT rec, 'accrued', s, s2, CASE add WHEN 1 THEN '0.01' WHEN 25000 THEN '250' ELSE '10' END, add FROM v WHERE NOT gone AND add > 0
-  UNION ALL SELECT rec, 'interest', s, 'N/K', 'STRING_MISMATCH', 0 FROM v WHERE NOT gone AND bad)"""
+  UNION ALL SELECT rec, 'total', s, s2, CASE add WHEN 1 THEN '0.01' WHEN 25000 THEN '250' ELSE '10' END, add FROM v WHERE NOT gone AND add > 0
+  UNION ALL SELECT rec, 'freight', h, 'N/K', 'STRING_MISMATCH', 0 FROM v WHERE NOT gone AND bad)"""
 
 
-@query(f"{DRIFT_SQL} SELECT record, field, produced_value, expected_value, difference FROM x")
+@query(f"{DRIFT_SQL} SELECT record, field, produced_value, expected_value, difference FROM y")
 def shadow_diff_details(spark, d):
-    return diff.compare(*drifted(spark, d), ["accrued", "interest"])
+    return diff.compare(*drifted(spark, d), ["total", "freight"])
 
 
 @query(f"""{DRIFT_SQL} SELECT (SELECT count(*) FROM v) AS total_records, (SELECT count(*) FROM v) - count(DISTINCT record) AS matches, count(DISTINCT record) AS mismatches, CAST(0 AS BIGINT) AS s0c7_abends,
-  (SELECT count(*) FROM v) <> (SELECT count(*) FROM v WHERE NOT gone) AS record_count_mismatch, count(*) > 10000 AS details_capped, 'DRIFT DETECTED: ' || count(DISTINCT record) || ' RECORDS' AS verdict FROM x""")
+  (SELECT count(*) FROM v) <> (SELECT count(*) FROM v WHERE NOT gone) AS record_count_mismatch, count(*) > 10000 AS details_capped, 'DRIFT DETECTED: ' || count(DISTINCT record) || ' RECORDS' AS verdict FROM y""")
 def shadow_diff_totals(spark, d):
-    produced, expected = drifted(spark, d)
-    return diff.totals(produced, expected, diff.compare(produced, expected, ["accrued", "interest"]))
+    return diff.totals(diff.outcomes(*drifted(spark, d), ["total", "freight"]))
 
 
-@query(f"""{DRIFT_SQL} SELECT CASE WHEN field = '_record' THEN 'Unknown divergence' WHEN field = 'interest' THEN 'Collation or encoding difference' WHEN mag = 1 THEN 'Rounding divergence below a cent' WHEN mag = 25000 THEN 'Picture overflow' ELSE 'Truncation at a power of ten' END AS likely_cause, field, count(*) AS n
-FROM x GROUP BY 1, 2""")
+@query(f"""{DRIFT_SQL} SELECT CASE WHEN field = '_record' THEN 'Unknown divergence' WHEN field = 'freight' THEN 'Collation or encoding difference' WHEN mag = 1 THEN 'Rounding divergence below a cent' WHEN mag = 25000 THEN 'Picture overflow' ELSE 'Truncation at a power of ten' END AS likely_cause, field, count(*) AS n
+FROM y GROUP BY 1, 2""")
 def shadow_diff_diagnosis(spark, d):
-    found = diff.diagnose(diff.compare(*drifted(spark, d), ["accrued", "interest"]), {"accrued": "decimal"})
+    found = diff.diagnose(diff.compare(*drifted(spark, d), ["total", "freight"]), {"total": "decimal"})
     return found.groupBy("likely_cause", "field").agg(F.count("*").alias("n"))
 
 
-@query(f"""{DRIFT_SQL}, k AS (SELECT record, CASE WHEN max(CASE WHEN field = '_record' THEN 1 ELSE 0 END) = 1 THEN 'length_mismatch' ELSE 'drift' END AS event FROM x GROUP BY record), e AS (SELECT v.rec, coalesce(k.event, 'match') AS event FROM v LEFT JOIN k ON v.rec = k.record)
+@query(f"""{DRIFT_SQL}, k AS (SELECT record, CASE WHEN max(CASE WHEN field = '_record' THEN 1 ELSE 0 END) = 1 THEN 'length_mismatch' ELSE 'drift' END AS event FROM y GROUP BY record), e AS (SELECT v.rec, coalesce(k.event, 'match') AS event FROM v LEFT JOIN k ON v.rec = k.record)
 SELECT event, count(*) AS n FROM e GROUP BY event UNION ALL SELECT 'complete', 1""")
 def verification_events(spark, d):
-    produced, expected = drifted(spark, d)
-    return diff.events(produced, expected, diff.compare(produced, expected, ["accrued", "interest"])).groupBy("event").agg(F.count("*").alias("n"))
+    return diff.events(diff.outcomes(*drifted(spark, d), ["total", "freight"])).groupBy("event").agg(F.count("*").alias("n"))
+
+
+WIDE_SQL = """
+WITH o AS (SELECT o_orderkey AS rec, lpad(CAST(o_orderkey AS VARCHAR), 13, '0') AS k, o_orderkey % 7 AS m FROM orders
+), w AS (SELECT *, '7' || k || '3' || k || '000' AS big FROM o)
+SELECT rec AS record, CASE m WHEN 0 THEN '0.000000000005' WHEN 1 THEN CAST(CAST(big AS HUGEINT) * 2 AS VARCHAR) WHEN 2 THEN '1' ELSE '0.1' END AS difference,
+  CASE m WHEN 0 THEN 'Rounding divergence below a cent' WHEN 1 THEN 'Sign reversal' WHEN 2 THEN 'Whole-number divergence' ELSE 'Numeric value divergence' END AS likely_cause FROM w WHERE m < 4
+"""
+
+
+@query(WIDE_SQL)
+def shadow_diff_wide(spark, d):
+    """Numbers of 31 to 43 digits and 12 decimals on both sides: any digit counts, forms don't."""
+    k, m = F.lpad(F.col("o_orderkey").cast("string"), 13, "0"), F.col("o_orderkey") % 7
+    big = F.concat(F.lit("7"), k, F.lit("3"), k, F.lit("000"))
+    tail = lambda x: F.concat(big, F.lit(x))
+    ours = F.when(m == 0, tail(".120000000005")).when(m == 1, F.concat(F.lit("-"), big)).when(m == 2, F.concat(big, F.lit("000000000001"))).when(m == 3, tail("999999.1")).when(m == 4, tail(".50")).when(m == 5, F.concat(F.lit("+000"), big)).otherwise(big)
+    theirs = F.when(m == 0, tail(".12")).when(m == 1, big).when(m == 2, F.concat(big, F.lit("000000000002"))).when(m == 3, tail("999999.2")).when(m == 4, tail(".5")).when(m == 5, tail(".000")).otherwise(F.concat(F.lit("0.00"), F.lit("E1")))
+    side = lambda x: t(spark, d, "orders").select(F.col("o_orderkey").alias("_rec"), F.when(m == 6, F.lit("0")).otherwise(x).alias("n"))
+    last = lambda df: df.withColumn("n", F.when(F.col("_rec") % 7 == 6, F.lit("-0.0")).otherwise(F.col("n")))
+    return diff.diagnose(diff.compare(side(ours), last(side(theirs)), ["n"])).select("record", "difference", "likely_cause")
 
 
 # Picture arithmetic ------------------------------------------------------------------------------------
@@ -339,12 +373,12 @@ def sort_multi_key(spark, d):
     return sorting.ranked(rows, [("pri", True), ("price", False)], ["o_custkey"]).select("o_orderkey", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("""WITH u AS (SELECT 0 AS f, s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT 1, c_custkey, c_name FROM customer WHERE c_custkey % 10 = 0)
+@query("""WITH u AS (SELECT 0 AS f, s_suppkey AS k, s_name AS name FROM supplier UNION ALL SELECT 1, c_custkey, c_name FROM customer)
 SELECT f, k, name, row_number() OVER (ORDER BY k DESC, f, k) AS rank FROM u""")
 def merge_files(spark, d):
     """MERGE of two files; the range-partitioned order is numbered without one task holding it all."""
     a = t(spark, d, "supplier").select(F.lit(0).alias("f"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("_rec"))
-    b = t(spark, d, "customer").where("c_custkey % 10 = 0").select(F.lit(1).alias("f"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_custkey").alias("_rec"))
+    b = t(spark, d, "customer").select(F.lit(1).alias("f"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_custkey").alias("_rec"))
     return dense(sorting.merge([a, b], [("k", False)])).select("f", "k", "name", "rank")
 
 
@@ -785,7 +819,7 @@ def batch_verdict(spark, d):
     return portfolio.batch_verdict(t(spark, d, "supplier").select(F.col("s_name").alias("program"), (F.col("s_suppkey") % 9 > 0).alias("verified"), F.col("s_nationkey").cast("bigint").alias("flags")))
 
 
-@query("SELECT 'ACC' || lpad(CAST(i AS VARCHAR), 7, '0') AS account, 11 AS width FROM range(100) t(i)")
-def demo_loans(spark, d):
-    x = pills.demo_loans(spark)
-    return x.select(F.col("`ACCOUNT-NUM`").alias("account"), F.lit(11).alias("width"))
+@query("SELECT 'S' || lpad(CAST(i AS VARCHAR), 7, '0') AS ship_no, i * 7919 % 9999991 AS cents, i * 389 % 20000 AS weight, i * 13 % 20 AS zone, CASE i % 5 WHEN 1 THEN 'EX' WHEN 2 THEN 'UR' ELSE 'ST' END AS service FROM range(100) t(i)")
+def demo_shipments(spark, d):
+    n = lambda c: F.col(f"`{c}`").cast("bigint")
+    return pills.demo_shipments(spark).select(F.col("`SHIP-NO`").alias("ship_no"), scaled(F.col("`CARGO-VALUE`").cast("decimal(20,2)"), 2).alias("cents"), n("WEIGHT-KG").alias("weight"), n("ZONE-NO").alias("zone"), F.col("SERVICE").alias("service"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions import codecs, edited, predicates, strings
+from tallyframe.functions import codecs, edited, exact, predicates, strings
 from tallyframe.functions.pic import Pic
 from tallyframe.functions.store import dec, decimal_of, divided, rounded, size_error, store
 from tallyframe.plans import interp
@@ -451,14 +451,24 @@ class Compiler:
     # The whole ------------------------------------------------------------------------------------------
 
     def over(self, df: DataFrame, inputs: Mapping[str, str], outputs: Mapping[str, str]) -> DataFrame:
-        """``_rec``, the outputs as text, ``_error`` (null) and ``_display``."""
+        """``_rec``, the outputs as text, ``_error`` (of inputs that are no numbers) and ``_display``."""
         self.machine = interp.Machine(self.p)
         self.df, self.versions, self.guard, self.count, self.depth, self.stopped, self.shown = df, {}, None, 0, 0, False, []
+        wrong: list[Column] = []
         for col, var in inputs.items():
             pic = self.pic(var)
             given = df[col]
-            value = store(given.cast("decimal(38,10)") if not isinstance(df.schema[col].dataType, T.DecimalType) else given, pic, self.conf) if pic.is_number else strings.move_text(F.coalesce(given.cast("string"), F.lit("")), pic)
-            self._assign(var, value)
+            if not pic.is_number:
+                value = strings.move_text(given.cast("string"), pic)
+            elif isinstance(df.schema[col].dataType, T.DecimalType):
+                value = store(given, pic, self.conf)
+            else:  # cut as the picture says, not rounded by a cast
+                text = F.trim(given.cast("string"))
+                number = F.col(self._new("given", exact.canonical(F.when(text == "", "0").otherwise(text))))
+                wrong.append(F.when(given.isNotNull() & number.isNull(), F.concat(F.lit(f"ValueError: {col} is no number: "), F.left(text, F.lit(100)))))
+                value = store(exact.cut(number, 37 - pic.dec_digits, pic.dec_digits), pic, self.conf)
+            self._assign(var, F.coalesce(value, self._initial(self.items[var], pic)))
+        error = F.col(self._new("error", F.coalesce(*wrong))) if wrong else F.lit(None).cast("string")
         for x in self.p.paragraphs:
             self.body(x.body)
             if self.stopped:
@@ -467,9 +477,10 @@ class Compiler:
         for col, var in outputs.items():
             pic = self.pic(var)
             value = self.current(var, pic)
-            out.append((value.cast("string") if pic.is_number else value if pic.kind == "edited" else F.rtrim(value)).alias(col))
+            text = value.cast("string") if pic.is_number else value if pic.kind == "edited" else F.rtrim(value)
+            out.append((F.when(error.isNull(), text) if wrong else text).alias(col))
         shown = F.array_compact(F.array(*self.shown)) if self.shown else F.array().cast("array<string>")
-        return self.df.select("_rec", *out, F.lit(None).cast("string").alias("_error"), shown.alias("_display"))
+        return self.df.select("_rec", *out, error.alias("_error"), shown.alias("_display"))
 
 
 def execute(program: Program, df: DataFrame, inputs: Mapping[str, str], outputs: Mapping[str, str], route: str = "auto") -> tuple[DataFrame, str]:

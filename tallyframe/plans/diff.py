@@ -1,4 +1,7 @@
-"""Positional verification: produced against expected records, field by field, with diagnosis."""
+"""Positional verification: produced against expected records, field by field, with diagnosis.
+
+Numbers are compared as texts of one canonical form, so any number of digits and decimals counts. ``outcomes`` joins the two sides once, a
+row for each record; differences, totals and the event feed all come from it."""
 
 from __future__ import annotations
 
@@ -7,29 +10,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.codecs import numeric_of_edited
+from tallyframe.functions import exact
+from tallyframe.functions.codecs import edited_number
 
-NUMBER = "decimal(38,10)"
 #: Details that a report holds, and abends.
 DETAILS, ABENDS = 10_000, 100
+#: What stands for a numeric difference until it is computed.
+NUMBERS = "NUMBERS"
 
 
-def _number(text: Column) -> Column:
-    return F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(text)).try_cast(NUMBER)
-
-
-def plain(n: Column) -> Column:
-    """A decimal as text without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(n.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
-def compare(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edited: Sequence[str] = ()) -> DataFrame:
-    """One row for each difference: ``record``, ``field``, ``produced_value``, ``expected_value``, ``difference``.
+def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edited: Sequence[str] = ()) -> DataFrame:
+    """One row for each record: ``record``, ``p_here``, ``e_here`` and ``found``, its differences.
 
     Both sides have a dense ``_rec``; they are joined by it (a full outer equi-join), so a missing record is
-    one row with field ``_record``. ``_abends`` and ``_error`` of the produced side, and ``_abends`` of the
-    expected one, replace the record's field rows. Per field: both null agree, one null is
-    MISSING_VALUE, edited fields compare as numbers, numbers as numbers, all else as trimmed texts."""
+    one difference of field ``_record``. ``_abends`` and ``_error`` of the produced side, and ``_abends`` of the
+    expected one, replace the record's fields. Per field: both null agree, one null is
+    MISSING_VALUE, edited fields compare as numbers (0 without digits), numbers as numbers, all else as trimmed texts."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         abends = F.col("_abends") if "_abends" in df.columns else F.array().cast("array<struct<field:string,message:string,invalid_value:string>>")
@@ -38,19 +34,21 @@ def compare(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edi
         return df.select("_rec", values.alias(f"{name}_values"), F.transform(abends, lambda a: F.struct(a["field"].alias("field"), a["invalid_value"].alias("value"))).alias(f"{name}_abends"), error.alias(f"{name}_error"), F.lit(True).alias(f"{name}_here"))
 
     both = side(produced, "p").join(side(expected, "e"), "_rec", "full_outer")
-    row = lambda field, p, e, d: F.struct(field.alias("field"), p.alias("produced_value"), e.alias("expected_value"), d.alias("difference"))
     none = F.lit(None).cast("string")
+    row = lambda field, p, e, d, a=none, b=none: F.struct(field.alias("field"), p.alias("produced_value"), e.alias("expected_value"), d.alias("difference"), a.alias("a"), b.alias("b"))
 
     def one(k: int, name: str) -> Column:
         p, e = F.col(f"p_values.v{k}"), F.col(f"e_values.v{k}")
-        a, b = (numeric_of_edited(p), numeric_of_edited(e)) if name in edited else (_number(p), _number(e))
-        a, b = (F.coalesce(a, F.lit(0).cast(NUMBER)), F.coalesce(b, F.lit(0).cast(NUMBER))) if name in edited else (a, b)
-        numbers = a.isNotNull() & b.isNotNull()
-        how = (
-            F.when(p.isNull() & e.isNull(), none).when(p.isNull() | e.isNull(), "MISSING_VALUE")
-            .when(numbers & (a != b), plain(F.abs(a - b))).when(numbers, none).when(F.trim(p) != F.trim(e), "STRING_MISMATCH")
-        )
-        return F.when(how.isNotNull(), row(F.lit(name), F.coalesce(p, F.lit("None")), F.coalesce(e, F.lit("None")), how))
+        number = (lambda t: F.coalesce(exact.canonical(edited_number(t)), F.lit("0"))) if name in edited else exact.canonical
+        missing = row(F.lit(name), F.coalesce(p, F.lit("None")), F.coalesce(e, F.lit("None")), F.lit("MISSING_VALUE"))
+
+        def told(x: Column) -> Column:
+            a, b = x["a"], x["b"]
+            numbers = a.isNotNull() & b.isNotNull()
+            return F.when(numbers & (a != b), row(F.lit(name), p, e, F.lit(NUMBERS), a, b)).when(~numbers & (F.trim(p) != F.trim(e)), row(F.lit(name), p, e, F.lit("STRING_MISMATCH")))
+
+        unequal = F.get(F.transform(F.array(F.struct(number(p).alias("a"), number(e).alias("b"))), told), F.lit(0))
+        return F.when(p.isNull() != e.isNull(), missing).when(p != e, unequal)
 
     per_field = F.array_compact(F.array(*(one(k, f) for k, f in enumerate(fields))))
     abends = F.concat(
@@ -63,16 +61,29 @@ def compare(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edi
         .when(F.col("p_error").isNotNull(), F.array(row(F.lit("_execution_error"), F.col("p_error"), F.lit("N/A"), F.lit("EXECUTION_ERROR"))))
         .otherwise(per_field)
     )
-    return both.select(F.col("_rec").alias("record"), F.explode(found).alias("d")).select("record", "d.*")
+    return both.select(F.col("_rec").alias("record"), F.coalesce("p_here", F.lit(False)).alias("p_here"), F.coalesce("e_here", F.lit(False)).alias("e_here"), found.alias("found"))
 
 
-def totals(produced: DataFrame, expected: DataFrame, differences: DataFrame) -> DataFrame:
+def differences(outcome: DataFrame) -> DataFrame:
+    """One row for each difference: ``record``, ``field``, ``produced_value``, ``expected_value``, ``difference``."""
+    each = outcome.select("record", F.explode("found").alias("d")).select("record", "d.*")
+    size = F.when(F.col("difference") == NUMBERS, exact.difference(F.col("a"), F.col("b"))).otherwise(F.col("difference"))
+    return each.select("record", "field", "produced_value", "expected_value", size.alias("difference"))
+
+
+def compare(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edited: Sequence[str] = ()) -> DataFrame:
+    """The differences of two sides."""
+    return differences(outcomes(produced, expected, fields, edited))
+
+
+def totals(outcome: DataFrame) -> DataFrame:
     """One row: ``total_records``, ``matches``, ``mismatches`` (records), ``s0c7_abends``, ``record_count_mismatch``, ``details_capped`` and ``verdict``."""
-    counts = produced.agg(F.count("*").alias("p")).crossJoin(expected.agg(F.count("*").alias("e")))  # one row each
-    bad = differences.groupBy("record").agg(F.count("*").alias("n"), F.count_if(F.col("difference") == "S0C7_ABEND").alias("a"))
-    bad = bad.agg(F.count("*").alias("mismatches"), F.coalesce(F.sum("n"), F.lit(0)).alias("details"), F.coalesce(F.sum("a"), F.lit(0)).alias("s0c7_abends"))
+    found = outcome.select("p_here", "e_here", F.size("found").alias("n"), F.size(F.filter("found", lambda d: d["difference"] == "S0C7_ABEND")).alias("a"))
+    sums = found.agg(
+        F.count_if("p_here").alias("p"), F.count_if("e_here").alias("e"), F.count_if(F.col("n") > 0).alias("mismatches"), F.coalesce(F.sum("n"), F.lit(0)).alias("details"), F.coalesce(F.sum("a"), F.lit(0)).alias("s0c7_abends"),
+    )
     total = F.greatest("p", "e")
-    return counts.crossJoin(bad).select(
+    return sums.select(
         total.alias("total_records"), (total - F.col("mismatches")).alias("matches"), "mismatches", "s0c7_abends", (F.col("p") != F.col("e")).alias("record_count_mismatch"), (F.col("details") > DETAILS).alias("details_capped"), verdict(F.col("mismatches")).alias("verdict")
     )
 
@@ -81,9 +92,9 @@ def verdict(mismatches: Column) -> Column:
     return F.when(mismatches == 0, "ZERO DRIFT CONFIRMED").otherwise(F.concat(F.lit("DRIFT DETECTED: "), mismatches.cast("string"), F.lit(" RECORDS")))
 
 
-def details(differences: DataFrame, n: int = DETAILS) -> DataFrame:
+def details(found: DataFrame, n: int = DETAILS) -> DataFrame:
     """The first ``n`` differences in record order: the report's log."""
-    return differences.orderBy("record", "field").limit(n)
+    return found.orderBy("record", "field").limit(n)
 
 
 #: Diagnoses and what to do about them.
@@ -107,35 +118,33 @@ FIXES = {
 }
 
 
-def diagnose(differences: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
-    """With ``magnitude``, ``likely_cause`` and ``suggested_fix``; ``types`` are layout types by field. The order of the tests matters."""
+def diagnose(found: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
+    """With ``magnitude`` (a text), ``likely_cause`` and ``suggested_fix``; ``types`` are layout types by field. The order of the tests matters."""
     causes = list(FIXES)
-    a, b = _number(F.col("produced_value")), _number(F.col("expected_value"))
-    m = F.abs(a - b)
+    given = found.withColumn("__a", exact.canonical(F.col("produced_value"))).withColumn("__b", exact.canonical(F.col("expected_value")))
+    a, b, m = F.col("__a"), F.col("__b"), F.col("__m")
+    given = given.withColumn("__m", F.when(a.isNotNull() & b.isNotNull(), exact.difference(a, b)))
     kinds = dict(types or {})
     packed = F.col("field").isin([f for f, t in kinds.items() if t == "comp3"]) if any(t == "comp3" for t in kinds.values()) else F.lit(False)
     d = F.col("difference")
-    whole = m == F.floor(m)
-    powers = [10**n for n in range(1, 16)]
+    zero = (a == "0") | (b == "0")
     cause = (
         F.when(d == "S0C7_ABEND", causes[0]).when(d == "EXECUTION_ERROR", causes[1]).when(d == "MISSING_VALUE", causes[2])
         .when((d == "STRING_MISMATCH") & F.col("expected_value").isin("None", ""), causes[3]).when(d == "STRING_MISMATCH", causes[4])
-        .when(packed & (m == F.abs(a) + F.abs(b)), causes[5]).when(packed & (m < 0.01), causes[6]).when(packed & m.isNotNull(), causes[7])
-        .when(m == 0, causes[8]).when((a != 0) & (b != 0) & (a == -b), causes[9]).when(m < F.lit("0.015").cast(NUMBER), causes[10]).when(m > 100, causes[11])
-        .when(whole & m.cast("bigint").isin(powers), causes[12]).when(whole, causes[13]).when(m.isNotNull(), causes[14]).otherwise(causes[15])
+        .when(packed & (zero | (a.startswith("-") != b.startswith("-"))), causes[5]).when(packed & exact.below(m, "0.01"), causes[6]).when(packed & m.isNotNull(), causes[7])
+        .when(m == "0", causes[8]).when(~zero & (a == exact.negated(b)), causes[9]).when(exact.below(m, "0.015"), causes[10]).when(exact.above(m, 100), causes[11])
+        .when(m.rlike("^10{1,15}$"), causes[12]).when(~m.contains("."), causes[13]).when(m.isNotNull(), causes[14]).otherwise(causes[15])
     )
     fix = F.create_map(*(F.lit(x) for item in FIXES.items() for x in item))
-    return differences.withColumn("magnitude", m).withColumn("likely_cause", cause).withColumn("suggested_fix", F.element_at(fix, F.col("likely_cause")))
+    out = given.withColumn("magnitude", m).withColumn("likely_cause", cause).drop("__a", "__b", "__m")
+    return out.withColumn("suggested_fix", F.element_at(fix, F.col("likely_cause")))
 
 
-def events(produced: DataFrame, expected: DataFrame, differences: DataFrame) -> DataFrame:
+def events(outcome: DataFrame) -> DataFrame:
     """The feed of a run: a row for each record (``match``, ``drift``, ``error`` or ``length_mismatch``) and one ``complete``."""
-    bad = differences.groupBy(F.col("record").alias("_rec")).agg(
-        F.when(F.max(F.col("field") == "_record"), "length_mismatch").when(F.max(F.col("difference").isin("S0C7_ABEND", "EXECUTION_ERROR")), "error").otherwise("drift").alias("k"),
-        F.array_join(F.array_sort(F.collect_set("field")), ",").alias("message"),
-    )
-    every = produced.select("_rec").union(expected.select("_rec")).distinct().join(bad, "_rec", "left")
-    feed = every.select(F.col("_rec").alias("record"), F.coalesce("k", F.lit("match")).alias("event"), F.coalesce("message", F.lit("")).alias("message"))
+    has = lambda test: F.exists("found", test)
+    event = F.when(~(F.col("p_here") & F.col("e_here")), "length_mismatch").when(has(lambda d: d["difference"].isin("S0C7_ABEND", "EXECUTION_ERROR")), "error").when(F.size("found") > 0, "drift").otherwise("match")
+    feed = outcome.select("record", event.alias("event"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda d: d["field"]))), ",").alias("message"))
     return feed.union(feed.agg(F.lit(None).cast("bigint"), F.lit("complete"), F.concat(F.count("*").cast("string"), F.lit(" records, "), F.count_if(F.col("event") != "match").cast("string"), F.lit(" different"))))
 
 

@@ -2,78 +2,58 @@
 
 from __future__ import annotations
 
-LOAN = """
+FREIGHT = """
        IDENTIFICATION DIVISION.
-       PROGRAM-ID. LOANDAY.
+       PROGRAM-ID. FREIGHT.
        DATA DIVISION.
        WORKING-STORAGE SECTION.
-       01 ACCOUNT.
-          05 BALANCE      PIC S9(9)V99 COMP-3.
-          05 YEAR-RATE    PIC S9(3)V9(6) COMP-3.
-          05 YEAR-DAYS    PIC 9(3) VALUE 365.
-          05 ACCRUED      PIC S9(9)V99 COMP-3 VALUE 0.
-          05 LATE-RATE    PIC S9(1)V9(4) COMP-3.
-       01 RESULTS.
-          05 DAY-RATE     PIC S9(1)V9(8) COMP-3.
-          05 DAY-INTEREST PIC S9(9)V99 COMP-3.
-          05 SCRATCH      PIC S9(11)V9(4) COMP-3.
-       01 LATE.
-          05 LATE-DAYS    PIC 9(3).
-          05 LATE-FEE     PIC S9(7)V99 COMP-3.
-          05 FREE-DAYS    PIC 9(2) VALUE 15.
-          05 FEE-CAP      PIC S9(1)V99 VALUE 0.05.
-       01 FLAGS.
-          05 TIER         PIC X(1).
-             88 PREFERRED VALUE 'Y'.
-          05 REBATE       PIC S9(1)V9(4) COMP-3.
+       01 CARGO-VALUE    PIC 9(8)V99.
+       01 WEIGHT-KG      PIC 9(5).
+       01 ZONE-NO        PIC 9(2).
+       01 SERVICE        PIC X(2).
+          88 HURRIED     VALUE 'EX' 'UR'.
+       01 ZONE-RATE      PIC 9(3)V99      COMP-3.
+       01 KILO-COST      PIC 9(3)V9(5)    COMP-3.
+       01 RAW-PALLETS    PIC 9(4)V9(3).
+       01 PALLETS        PIC 9(4)         COMP.
+       01 FREIGHT        PIC S9(7)V99     COMP-3.
+       01 PREMIUM        PIC S9(4)V99.
+       01 EXTRA          PIC S9(6)V99.
+       01 TOTAL-DUE      PIC S9(8)V99     COMP-3.
        PROCEDURE DIVISION.
-       RUN-ALL.
-           PERFORM SET-UP
-           PERFORM RATE-OF-DAY
-           PERFORM INTEREST-OF-DAY
-           PERFORM FEE
-           ADD LATE-FEE TO ACCRUED
+       BILL.
+           EVALUATE TRUE
+              WHEN ZONE-NO < 3 MOVE 41.75 TO ZONE-RATE
+              WHEN ZONE-NO < 9 MOVE 58.20 TO ZONE-RATE
+              WHEN OTHER
+                 COMPUTE ZONE-RATE = 60 + ZONE-NO * 1.35
+           END-EVALUATE.
+           DIVIDE ZONE-RATE BY 7 GIVING KILO-COST.
+           MULTIPLY WEIGHT-KG BY KILO-COST GIVING FREIGHT.
+           DIVIDE WEIGHT-KG BY 450 GIVING RAW-PALLETS.
+           COMPUTE PALLETS = FUNCTION INTEGER(RAW-PALLETS) + 1.
+           PERFORM INSURE.
+           IF HURRIED PERFORM HURRY ELSE MOVE ZERO TO EXTRA.
+           ADD FREIGHT PREMIUM EXTRA GIVING TOTAL-DUE.
+           IF CARGO-VALUE > 20000 AND NOT HURRIED
+              SUBTRACT 12.50 FROM TOTAL-DUE.
            STOP RUN.
-       SET-UP.
-           INITIALIZE RESULTS
-           INITIALIZE LATE
-           MOVE 0.0025 TO LATE-RATE
-           IF PREFERRED
-              MOVE 0.0015 TO REBATE
-           ELSE
-              MOVE 0 TO REBATE
-           END-IF.
-       RATE-OF-DAY.
-           COMPUTE DAY-RATE = YEAR-RATE / YEAR-DAYS
-           IF PREFERRED
-              SUBTRACT REBATE FROM DAY-RATE
-              IF DAY-RATE < 0
-                 MOVE 0 TO DAY-RATE
-              END-IF
-           END-IF.
-       INTEREST-OF-DAY.
-           COMPUTE SCRATCH = BALANCE * DAY-RATE
-           COMPUTE DAY-INTEREST =
-              FUNCTION INTEGER(SCRATCH * 100) / 100
-           ADD DAY-INTEREST TO ACCRUED.
-       FEE.
-           IF LATE-DAYS > FREE-DAYS
-              COMPUTE LATE-FEE = BALANCE * LATE-RATE *
-                 (LATE-DAYS - FREE-DAYS)
-              COMPUTE SCRATCH = BALANCE * FEE-CAP
-              IF LATE-FEE > SCRATCH
-                 MOVE SCRATCH TO LATE-FEE
-              END-IF
-              IF PREFERRED
-                 COMPUTE LATE-FEE = LATE-FEE * 0.5
-              END-IF
-           ELSE
-              MOVE 0 TO LATE-FEE
-           END-IF.
+       INSURE.
+           COMPUTE PREMIUM ROUNDED = CARGO-VALUE * 0.0035.
+           IF PREMIUM > 180 MOVE 180 TO PREMIUM.
+       HURRY.
+           COMPUTE EXTRA = FREIGHT * 0.185 + PALLETS * 4.25.
+           IF EXTRA > 950 MOVE 950 TO EXTRA.
 """
 
-#: The same, with the declared values of the fee's terms kept.
-LOAN_WITH_FEE = LOAN.replace("           INITIALIZE LATE\n", "           MOVE 0 TO LATE-FEE\n")
+#: The same with a smaller premium field and a size error handler instead of the cap.
+FREIGHT_SIZED = FREIGHT.replace("PREMIUM        PIC S9(4)V99", "PREMIUM        PIC S9(3)V99").replace(
+    """CARGO-VALUE * 0.0035.
+           IF PREMIUM > 180 MOVE 180 TO PREMIUM.""",
+    """CARGO-VALUE * 0.0035
+              ON SIZE ERROR MOVE 500 TO PREMIUM
+           END-COMPUTE.""",
+)
 
 TIERS = """
        IDENTIFICATION DIVISION.

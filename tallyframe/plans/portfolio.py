@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions import exact
 from tallyframe.plans.lang import ENDS, VERBS
 
 #: Statement kinds that count as construct categories.
@@ -315,13 +316,14 @@ def trace_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     both = side(a, "a").join(side(b, "b"), ["trace", "idx"], "full_outer")
     odd = both.where(F.col("a_here").isNull() | F.col("b_here").isNull() | (F.col("a_new_value") != F.col("b_new_value")))
     first = odd.groupBy("trace").agg(F.min_by(F.struct("idx", "a_here", "b_here", "a_verb", "a_variable", "a_new_value", "b_new_value"), "idx").alias("d")).select("trace", "d.*")
-    number = lambda c: F.when(F.col(c).rlike(r"^-?\d+(\.\d+)?$"), F.col(c)).try_cast("decimal(38,10)")
-    x, y = number("a_new_value"), number("b_new_value")
-    m = F.abs(x - y)
+    first = first.withColumn("x", exact.canonical(F.col("a_new_value"))).withColumn("y", exact.canonical(F.col("b_new_value")))
+    first = first.withColumn("m", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), exact.difference(F.col("x"), F.col("y"))))
+    x, y, m = F.col("x"), F.col("y"), F.col("m")
+    small = (m != "0") & exact.below(m, "0.01")
     why = (
-        F.when(F.col("a_here").isNull() | F.col("b_here").isNull(), "Trace length mismatch").when((x != 0) & (x == -y), "Sign reversal")
-        .when((m > 0) & (m < F.lit("0.01").cast("decimal(10,4)")) & (F.col("a_verb") == "DIVIDE"), "Rounding divergence: TRUNC mode").when((m > 0) & (m < F.lit("0.01").cast("decimal(10,4)")), "Rounding divergence: ROUNDED")
-        .when(m > 100, "Picture overflow").when(m == F.floor(m), "Decimal truncation").when((F.col("a_verb") == "MOVE") & (F.length("a_new_value") != F.length("b_new_value")), "Picture length mismatch").otherwise("Value divergence")
+        F.when(F.col("a_here").isNull() | F.col("b_here").isNull(), "Trace length mismatch").when((x != "0") & (x == exact.negated(y)), "Sign reversal")
+        .when(small & (F.col("a_verb") == "DIVIDE"), "Rounding divergence: TRUNC mode").when(small, "Rounding divergence: ROUNDED")
+        .when(exact.above(m, 100), "Picture overflow").when(~m.contains("."), "Decimal truncation").when((F.col("a_verb") == "MOVE") & (F.length("a_new_value") != F.length("b_new_value")), "Picture length mismatch").otherwise("Value divergence")
     )
     return first.select("trace", F.col("idx").alias("divergence_index"), F.col("idx").alias("matching_events"), F.col("a_variable").alias("variable"), why.alias("diagnosis"))
 

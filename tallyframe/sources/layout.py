@@ -32,6 +32,11 @@ class Field:
     implied: bool = False  # plain digits are scaled by ``decimals`` too
     edited: bool = False
 
+    @property
+    def scale(self) -> int:
+        """Decimals of the column: the declared ones, or up to 10 while 38 digits hold the field."""
+        return min(37, max(self.decimals, min(10, 38 - (2 * self.length - 1 if self.type == "comp3" else self.length)), 0))
+
     @property
     def pic(self) -> Pic:
         digits = 2 * self.length - 1 if self.type == "comp3" else self.length
@@ -65,7 +70,7 @@ class Layout:
         def kind(f: Field) -> T.DataType:
             if f.type == "string" or f.edited:
                 return T.StringType()
-            return T.DoubleType() if f.type in ("comp1", "comp2") else T.DecimalType(38, 10)
+            return T.DoubleType() if f.type in ("comp1", "comp2") else T.DecimalType(38, f.scale)
 
         return T.StructType([T.StructField(f.name, kind(f), True, {"start": f.start, "length": f.length, "type": f.type, "decimals": f.decimals}) for f in self.fields])
 
@@ -75,7 +80,7 @@ def _value(f: Field, raw: Column, codepage: str | None) -> tuple[Column, Column
     text = ebcdic.decode(raw, codepage) if codepage and codepage != "ascii" else F.decode(raw, "ISO-8859-1")
     if f.type == "string" or f.edited:
         return F.rtrim(text), None
-    wide = "decimal(38,10)"
+    wide = f"decimal(38,{f.scale})"
     if f.type == "comp3":
         value = codecs.comp3_decode(raw, f.decimals).cast(wide)
         return value, F.when(value.isNull() & (F.octet_length(raw) == f.length), codecs.ABEND)
@@ -86,7 +91,7 @@ def _value(f: Field, raw: Column, codepage: str | None) -> tuple[Column, Column
     if f.implied:
         plain = F.trim(text)
         text = F.when(plain.rlike(r"^\d+$"), F.concat(F.left(plain, F.length(plain) - 1), F.translate(F.right(plain, F.lit(1)), "0123456789", codecs.POSITIVE))).otherwise(text)
-    found = codecs.validated(text, f.pic)
+    found = codecs.validated(text, f.pic, f.scale)
     return found["value"], found["abend"]
 
 

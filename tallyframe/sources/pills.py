@@ -55,11 +55,10 @@ def run_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), n("clean"), n("abend"), n("error"))
 
 
-def demo_loans(spark: SparkSession, n: int = 100) -> DataFrame:
-    """Loan records for demonstrations, from the row number alone."""
+def demo_shipments(spark: SparkSession, n: int = 100) -> DataFrame:
+    """Shipment records for demonstrations, from the row number alone."""
     i = F.col("id")
-    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**9))
     return spark.range(n).select(
-        i.alias("_rec"), F.format_string("ACC%07d", i).alias("ACCOUNT-NUM"), (h("p") % 99999999 / 100).cast("decimal(11,2)").alias("PRINCIPAL-BAL"), (h("r") % 150000 / 1000000).cast("decimal(9,6)").alias("ANNUAL-RATE"),
-        (h("d") % 90).cast("decimal(3,0)").alias("DAYS-OVERDUE"), F.when(h("v") % 5 == 0, "Y").otherwise("N").alias("VIP-FLAG"),
+        i.alias("_rec"), F.format_string("S%07d", i).alias("SHIP-NO"), (i * 7919 % 9_999_991 * F.lit(1).cast("decimal(1,0)") / 100).cast("decimal(10,2)").alias("CARGO-VALUE"), (i * 389 % 20_000).cast("decimal(5,0)").alias("WEIGHT-KG"),
+        (i * 13 % 20).cast("decimal(2,0)").alias("ZONE-NO"), F.element_at(F.array(*map(F.lit, ("ST", "EX", "UR", "ST", "ST"))), (i % 5 + 1).cast("int")).alias("SERVICE"),
     )

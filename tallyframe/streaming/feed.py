@@ -26,8 +26,7 @@ def compare_stream(stream: DataFrame, expected: DataFrame, fields: Sequence[str]
 
     def batch(df: DataFrame, number: int) -> None:
         wanted = expected.join(df.select("_rec"), "_rec", "left_semi")
-        found = diff.compare(df, wanted, fields)
-        diff.events(df, wanted, found).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        diff.events(diff.outcomes(df, wanted, fields)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

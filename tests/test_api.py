@@ -8,31 +8,36 @@ from tallyframe import api
 from tallyframe.plans import analysis, catalog, fixtures, lang, portfolio, vault
 from tallyframe.sources.layout import Field, Layout
 
-GIVEN = Layout("loan", (Field("ACCT", 0, 10), Field("BALANCE", 10, 12, "decimal", 2), Field("YEAR-RATE", 22, 10, "decimal", 6), Field("LATE-DAYS", 32, 3, "integer"), Field("TIER", 35, 1)), 0, input_mapping={})
-WANTED = Layout("out", (Field("ACCRUED", 0, 40, "decimal", 2), Field("DAY-RATE", 40, 40, "decimal", 8), Field("LATE-FEE", 80, 40, "decimal", 2)), 0)
+GIVEN = Layout("shipment", (Field("SHIP-NO", 0, 8), Field("CARGO-VALUE", 8, 12, "decimal", 2), Field("WEIGHT-KG", 20, 5, "integer"), Field("ZONE-NO", 25, 2, "integer"), Field("SERVICE", 27, 2)), 0, input_mapping={})
+WANTED = Layout("bill", (Field("FREIGHT", 0, 40, "decimal", 2), Field("KILO-COST", 40, 40, "decimal", 5), Field("TOTAL-DUE", 80, 40, "decimal", 2)), 0)
 
 
-def loan_files(folder, drift=()):
+def shipment_files(folder, drift=()):
+    """Inputs, and bills computed apart from the engine."""
     rows, out = [], []
+    cut = lambda x, n: Decimal(int(x * 10**n)) / 10**n
     for i in range(100):
-        balance, rate, vip = Decimal(43011206 + i * 1117) / 100, Decimal(4667 + i * 31) / 10**6, i % 5 == 0
-        rows.append(f"{'A' + str(i):<10}{balance:>12.2f}{rate:>10.6f}{i % 90:>3d}{'Y' if vip else 'N'}")
-        day = max(Decimal(0), Decimal(int(rate * 10**8 / 365)) / 10**8 - (Decimal("0.0015") if vip else 0))
-        temp = Decimal(int(balance * day * 10**4)) / 10**4
-        accrued = Decimal(int(temp * 100)) / 100 + (Decimal("0.01") if i in drift else 0)
-        out.append(f"{accrued:>40.2f}{day:>40.8f}{Decimal(0):>40.2f}")
+        value, weight, zone, service = Decimal(310412 + i * 93731) / 100, i * 211 % 20000, i % 20, ("ST", "EX", "UR", "AB")[i % 4]
+        rows.append(f"{'S' + str(i):<8}{value:>12.2f}{weight:>5d}{zone:>2d}{service}")
+        rate = Decimal("41.75") if zone < 3 else Decimal("58.20") if zone < 9 else 60 + zone * Decimal("1.35")
+        kilo = cut(rate / 7, 5)
+        freight, hurried = cut(weight * kilo, 2), service in ("EX", "UR")
+        premium = min(Decimal(int(value * 35 / 100 + Decimal("0.5"))) / 100, Decimal(180))
+        extra = min(cut(freight * Decimal("0.185") + (weight // 450 + 1) * Decimal("4.25"), 2), Decimal(950)) if hurried else 0
+        total = freight + premium + extra - (Decimal("12.50") if value > 20000 and not hurried else 0) + (Decimal("0.01") if i in drift else 0)
+        out.append(f"{freight:>40.2f}{kilo:>40.5f}{total:>40.2f}")
     (folder / "in.dat").write_text("\n".join(rows))
     (folder / "out.dat").write_text("\n".join(out))
 
 
-def test_loans_verify(spark, tmp_path):
-    program = fixtures.LOAN.replace("       01 ACCOUNT.\n", "       01 ACCOUNT.\n          05 ACCT PIC X(10).\n")
+def test_shipments_verify(spark, tmp_path):
+    program = fixtures.FREIGHT.replace("       01 CARGO-VALUE ", "       01 SHIP-NO PIC X(8).\n       01 CARGO-VALUE ")
     for drift in ((), (10, 25, 50, 75, 90)):
-        loan_files(tmp_path, drift)
+        shipment_files(tmp_path, drift)
         found = api.verify(spark, program, GIVEN, str(tmp_path / "in.dat"), str(tmp_path / "out.dat"), WANTED)
         t = found["totals"].first()
         assert (t.total_records, t.mismatches, t.record_count_mismatch) == (100, len(drift), False)
-        assert [(r.record, r.field, r.difference, r.likely_cause) for r in found["diagnosis"].orderBy("record").collect()] == [(i, "ACCRUED", "0.01", "Rounding divergence below a cent") for i in drift]
+        assert [(r.record, r.field, r.difference, r.likely_cause) for r in found["diagnosis"].orderBy("record").collect()] == [(i, "TOTAL-DUE", "0.01", "Rounding divergence below a cent") for i in drift]
         assert found["produced"].first()._route == "native"
 
 
@@ -41,7 +46,7 @@ def test_roles_and_layout():
     assert dict(analysis.classified(p)) == {"QTY": "input", "LEFTQ": "output", "STEP-N": "input output", "SCORE": "input output"}
     given, out = analysis.layout(p)
     assert [f.name for f in given.fields] == ["QTY", "STEP-N", "SCORE"] and out.record_length == 120
-    assert "roles" in api.analyze(fixtures.LOAN) and api.analyze("       PROCEDURE DIVISION.\n       X1.\n           MOVE.")["errors"]
+    assert "roles" in api.analyze(fixtures.FREIGHT) and api.analyze("       PROCEDURE DIVISION.\n       X1.\n           MOVE.")["errors"]
 
 
 def test_trace():

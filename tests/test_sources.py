@@ -97,8 +97,8 @@ def test_compare_rules(spark):
     e = spark.createDataFrame([(0, "1.5", "1000", None), (1, "y", "2", None), (2, "5", "1", None), (3, None, None, None), (5, "1", "1", None)], schema).drop("_error")
     got = {(r.record, r.field): r.difference for r in diff.compare(p, e, ["A", "E"], ["E"]).collect()}
     assert got == {(1, "A"): "STRING_MISMATCH", (1, "E"): "MISSING_VALUE", (2, "_execution_error"): "EXECUTION_ERROR", (4, "_record"): "Record missing from expected", (5, "_record"): "Record missing from produced"}
-    d = diff.compare(p, e, ["A", "E"], ["E"])
-    assert "DRIFT DETECTED: 4 RECORDS" in diff.report(diff.totals(p, e, d), d)
+    both = diff.outcomes(p, e, ["A", "E"], ["E"])
+    assert "DRIFT DETECTED: 4 RECORDS" in diff.report(diff.totals(both), diff.differences(both))
 
 
 def test_stream(spark, tmp_path):
