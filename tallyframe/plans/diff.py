@@ -19,10 +19,10 @@ DETAILS, ABENDS = 10_000, 100
 NUMBERS = "NUMBERS"
 
 
-def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edited: Sequence[str] = ()) -> DataFrame:
-    """One row for each record: ``record``, ``p_here``, ``e_here`` and ``found``, its differences.
+def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edited: Sequence[str] = (), keys: Sequence[str] = ("_rec",)) -> DataFrame:
+    """One row for each record: ``record``, ``p_here``, ``e_here`` and ``found``, its differences (and other ``keys`` than ``_rec`` first).
 
-    Both sides have a dense ``_rec``; they are joined by it (a full outer equi-join), so a missing record is
+    Both sides have a dense ``_rec`` (or one within the other keys); they are joined by it (a full outer equi-join), so a missing record is
     one difference of field ``_record``. ``_abends`` and ``_error`` of the produced side, and ``_abends`` of the
     expected one, replace the record's fields. Per field: both null agree, one null is
     MISSING_VALUE, edited fields compare as numbers (0 without digits), numbers as numbers, all else as trimmed texts."""
@@ -31,9 +31,9 @@ def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], ed
         abends = F.col("_abends") if "_abends" in df.columns else F.array().cast("array<struct<field:string,message:string,invalid_value:string>>")
         error = F.col("_error") if "_error" in df.columns else F.lit(None).cast("string")
         values = F.struct(*(F.col(f).cast("string").alias(f"v{k}") for k, f in enumerate(fields)))
-        return df.select("_rec", values.alias(f"{name}_values"), F.transform(abends, lambda a: F.struct(a["field"].alias("field"), a["invalid_value"].alias("value"))).alias(f"{name}_abends"), error.alias(f"{name}_error"), F.lit(True).alias(f"{name}_here"))
+        return df.select(*keys, values.alias(f"{name}_values"), F.transform(abends, lambda a: F.struct(a["field"].alias("field"), a["invalid_value"].alias("value"))).alias(f"{name}_abends"), error.alias(f"{name}_error"), F.lit(True).alias(f"{name}_here"))
 
-    both = side(produced, "p").join(side(expected, "e"), "_rec", "full_outer")
+    both = side(produced, "p").join(side(expected, "e"), list(keys), "full_outer")
     none = F.lit(None).cast("string")
     row = lambda field, p, e, d, a=none, b=none: F.struct(field.alias("field"), p.alias("produced_value"), e.alias("expected_value"), d.alias("difference"), a.alias("a"), b.alias("b"))
 
@@ -61,7 +61,7 @@ def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], ed
         .when(F.col("p_error").isNotNull(), F.array(row(F.lit("_execution_error"), F.col("p_error"), F.lit("N/A"), F.lit("EXECUTION_ERROR"))))
         .otherwise(per_field)
     )
-    return both.select(F.col("_rec").alias("record"), F.coalesce("p_here", F.lit(False)).alias("p_here"), F.coalesce("e_here", F.lit(False)).alias("e_here"), found.alias("found"))
+    return both.select(*(k for k in keys if k != "_rec"), F.col("_rec").alias("record"), F.coalesce("p_here", F.lit(False)).alias("p_here"), F.coalesce("e_here", F.lit(False)).alias("e_here"), found.alias("found"))
 
 
 def differences(outcome: DataFrame) -> DataFrame:

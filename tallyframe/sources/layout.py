@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -95,8 +96,8 @@ def _value(f: Field, raw: Column, codepage: str | None) -> tuple[Column, Column
     return found["value"], found["abend"]
 
 
-def decoded(records: DataFrame, layout: Layout, raw: str = "raw", number: str = "_rec") -> DataFrame:
-    """Rows of ``number`` and ``raw`` (bytes) as the layout's fields, with ``_abends`` (structs of field, message, invalid value) and
+def decoded(records: DataFrame, layout: Layout, raw: str = "raw", number: str = "_rec", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``number`` and ``raw`` (bytes) as the layout's fields, after the columns to ``keep``, with ``_abends`` (structs of field, message, invalid value) and
     ``_warnings`` for records that end inside a field."""
     columns, abends, warnings = [], [], []
     for f in layout.fields:
@@ -107,7 +108,7 @@ def decoded(records: DataFrame, layout: Layout, raw: str = "raw", number: str =
             abends.append(F.when(abend.isNotNull(), F.struct(F.lit(f.name).alias("field"), abend.alias("message"), F.decode(part, "ISO-8859-1").alias("invalid_value"))))
         warnings.append(F.when(F.octet_length(raw) < f.start + f.length, F.lit(f"{f.name}: record is truncated")))
     none = F.array().cast("array<struct<field:string,message:string,invalid_value:string>>")
-    return records.select(number, *columns, (F.array_compact(F.array(*abends)) if abends else none).alias("_abends"), F.array_compact(F.array(*warnings)).alias("_warnings"))
+    return records.select(*keep, number, *columns, (F.array_compact(F.array(*abends)) if abends else none).alias("_abends"), F.array_compact(F.array(*warnings)).alias("_warnings"))
 
 
 def encoded(df: DataFrame, layout: Layout, number: str = "_rec") -> DataFrame:

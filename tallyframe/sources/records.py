@@ -1,7 +1,13 @@
-"""Record files: a Python data source for fixed-length records, text lines, and dense record numbers."""
+"""Record files: a Python data source for fixed-length records, text lines, arriving files, and dense record numbers.
+
+Fixed-length records may have a separator (line feed, carriage return, or both) behind each. Whether they do is a property of a file: all
+of up to ``PROBES`` places between records, spread over it, must have one and the size must fit; else there are none if the size fits without, and
+a data byte that looks like a line end stays data. A file whose separators vary is read in one task, in pieces. The option ``separator`` (none, lf, crlf) decides
+where the data leave doubts."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,11 +17,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tallyframe.sources.layout import Layout, decoded, detect_codepage
 
-SPLIT = 32 << 20
+SPLIT, PIECE = 32 << 20, 4 << 20
+PROBES = 1000
+#: Bytes of separators by their option.
+SEPARATORS = {"none": 0, "lf": 1, "crlf": 2}
+#: Files up to this size are hashed as one value; larger ones are read in pieces.
+ONE_VALUE = 512 << 20
 SCHEMA = "file string, offset bigint, raw binary"
 
 
@@ -32,92 +43,85 @@ class Written(WriterCommitMessage):
     path: str
 
 
+def _local(path: str) -> str:
+    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
+    path = _local(path)
     if os.path.isdir(path):
         return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_")))
     return [path]
 
 
-def stride_of(path: str, length: int) -> int:
-    """Bytes from one record to the next if one separator follows every record; 0 if they vary."""
+def stride_of(path: str, length: int, separator: str = "auto") -> int:
+    """Bytes from one record to the next; 0 if separators vary."""
+    if separator != "auto":
+        return length + SEPARATORS[separator]
     size = os.path.getsize(path)
     with open(path, "rb") as f:
-        head = f.read(length + 2)
-    sep = 2 if head[length : length + 2] == b"\r\n" else 1 if head[length : length + 1] in (b"\n", b"\r") else 0
-    if size % (length + sep) in (0, length):
-        return length + sep
-    return 0
-
-
-def split_records(data: bytes, length: int, at: int = 0) -> Iterator[tuple[int, bytes]]:
-    """Records with an optional line end behind each."""
-    end = len(data)
-    while at < end:
-        yield at, data[at : at + length]
-        at += length
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-        elif data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+        for marks in ((b"\r\n",), (b"\n", b"\r")):
+            stride = length + len(marks[0])
+            if size % stride not in (0, length) or size <= length:
+                continue
+            n = size // stride
+            for k in np.unique(np.linspace(0, n - 1, min(n, PROBES)).astype(np.int64)).tolist():
+                f.seek(k * stride + length)
+                if f.read(len(marks[0])) not in marks:
+                    break
+            else:
+                return stride
+    return length if size % length == 0 else 0
+
+
+def spans_of(path: str, length: int, separator: str = "auto") -> list[Span]:
+    """A file in parts of whole records."""
+    size, stride = os.path.getsize(path), stride_of(path, length, separator)
+    step = max(1, SPLIT // stride) * stride if stride else size
+    return [Span(path, a, min(size, a + step), stride) for a in range(0, size, max(1, step))]
+
+
+def read_span(span: Span, length: int) -> Iterator[pa.RecordBatch]:
+    """Its records, a piece of the file at a time."""
+    with open(span.path, "rb") as f:
+        f.seek(span.start)
+        at, rest = span.start, b""
+        while at < span.end or rest:
+            data = f.read(min(PIECE // span.stride * span.stride or span.stride if span.stride else PIECE, span.end - at))
+            begun = at - len(rest)
+            at += len(data)
+            data = rest + data
+            if span.stride:
+                rows, rest = [(begun + k, data[k : k + length]) for k in range(0, len(data), span.stride)], b""
+            else:
+                rows, used = [], 0
+                while used < len(data) and (used + length + 2 <= len(data) or at >= span.end):
+                    rows.append((begun + used, data[used : used + length]))
+                    used += length
+                    used += 2 if data[used : used + 2] == b"\r\n" else data[used : used + 1] in (b"\n", b"\r")
+                rest = data[used:]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([span.path] * len(rows)), pa.array([o for o, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.binary())], names=["file", "offset", "raw"])
 
 
 class FixedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.length = options["path"], int(options["recordLength"])
+        self.path, self.length, self.separator = options["path"], int(options["recordLength"]), options.get("separator", "auto")
 
     def partitions(self) -> list[Span]:
-        out = []
-        for path in _files(self.path):
-            size, stride = os.path.getsize(path), stride_of(path, self.length)
-            step = max(1, SPLIT // stride) * stride if stride else size
-            out += [Span(path, a, min(size, a + step), stride) for a in range(0, size, max(1, step))]
-        return out
+        return [span for path in _files(self.path) for span in spans_of(path, self.length, self.separator)]
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        with open(span.path, "rb") as f:
-            f.seek(span.start)
-            data = f.read(span.end - span.start)
-        rows = [(span.start + at, r) for at, r in split_records(data, self.length)]
-        for a in range(0, len(rows), 10_000):
-            some = rows[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([span.path] * len(some)), pa.array([o for o, _ in some], pa.int64()), pa.array([r for _, r in some], pa.binary())], names=["file", "offset", "raw"])
-
-
-class FixedStream(SimpleDataSourceStreamReader):
-    """Files as they arrive, whole, in the order of their names."""
-
-    def __init__(self, options: dict):
-        self.path, self.length = options["path"], int(options["recordLength"])
-
-    def initialOffset(self) -> dict:
-        return {"after": ""}
-
-    def read(self, start: dict):
-        new = [f for f in _files(self.path) if f > start["after"]]
-        return iter(self._rows(new)), {"after": new[-1] if new else start["after"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._rows([f for f in _files(self.path) if start["after"] < f <= end["after"]]))
-
-    def _rows(self, files: list[str]) -> list[tuple]:
-        out = []
-        for path in files:
-            with open(path, "rb") as f:
-                out += [(path, at, r) for at, r in split_records(f.read(), self.length)]
-        return out
+        yield from read_span(span, self.length)
 
 
 class FixedWriter(DataSourceWriter):
-    """A file for each partition, named when its task commits, so a repeated task leaves no half file."""
+    """A file for each partition, named when the job commits, so a repeated task leaves no half file; what an overwrite replaces goes then, too."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"].removeprefix("file://")
+        self.path, self.overwrite = _local(options["path"]), overwrite
         self.separator = options.get("separator", "").encode().decode("unicode_escape").encode("latin-1")
         os.makedirs(self.path, exist_ok=True)
-        if overwrite:
-            for f in _files(self.path):
-                os.remove(f)
 
     def write(self, rows: Iterator) -> Written:
         context = TaskContext.get()
@@ -128,6 +132,8 @@ class FixedWriter(DataSourceWriter):
         return Written(path)
 
     def commit(self, messages: list) -> None:
+        for f in _files(self.path) if self.overwrite else []:
+            os.remove(f)
         for m in messages:
             if m:
                 folder, name = os.path.split(m.path)
@@ -152,9 +158,6 @@ class FixedWidth(DataSource):
     def reader(self, schema) -> FixedReader:
         return FixedReader(self.options)
 
-    def simpleStreamReader(self, schema) -> FixedStream:
-        return FixedStream(self.options)
-
     def writer(self, schema, overwrite: bool) -> FixedWriter:
         return FixedWriter(self.options, overwrite)
 
@@ -163,15 +166,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FixedWidth)
 
 
-def read_fixed(spark: SparkSession, path: str, record_length: int) -> DataFrame:
+def read_fixed(spark: SparkSession, path: str, record_length: int, separator: str = "auto") -> DataFrame:
     register(spark)
-    return spark.read.format("fixedwidth").option("recordLength", record_length).load(path)
+    return spark.read.format("fixedwidth").option("recordLength", record_length).option("separator", separator).load(path)
+
+
+def arriving(spark: SparkSession, path: str, record_length: int, separator: str = "auto") -> DataFrame:
+    """A stream of ``file``, ``offset`` and ``raw`` of the files that come into a folder. Spark's file source remembers which it has seen, whatever their names;
+    only their names cross the driver, executors read them in parts."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path).select("path")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [x for p in b.column(0).to_pylist() for x in spans_of(_local(p), record_length, separator)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.path for x in spans], pa.string()), *(pa.array([getattr(x, n) for x in spans], pa.int64()) for n in ("start", "end", "stride"))], names=["path", "start", "end", "stride"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.to_pylist():
+                yield from read_span(Span(**x), record_length)
+
+    return files.mapInArrow(cut, "path string, start bigint, end bigint, stride bigint").repartition("path", "start").mapInArrow(read, SCHEMA)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Line records; ``offset`` orders them within their file's split order."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.encode(F.rtrim("value", F.lit("\r\n")), "ISO-8859-1").alias("raw"))
-    return lines.select("file", F.monotonically_increasing_id().alias("offset"), "raw")
+    """Line records: ``file``, ``block`` (where its split begins) and ``raw``; a split's rows come in order."""
+    at = F.col("_metadata")
+    return spark.read.text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.encode(F.rtrim("value", F.lit("\r\n")), "ISO-8859-1").alias("raw"))
 
 
 def without_blanks(records: DataFrame, codepage: str | None = None) -> DataFrame:
@@ -206,8 +227,26 @@ def positions(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """``raw`` and its dense number ``_rec`` in file and offset order; splits must be in order, as both readers' are."""
-    return positions(records.select("raw"), "_rec")
+    """``raw`` and its dense number ``_rec``, in the order of files' names and of places in a file. Spark packs splits of line files by size, not by name, so
+    those are counted by file and split, and each split's rows are numbered from its base; spans of fixed-length files are partitions in order."""
+    if "block" not in records.columns:
+        return positions(records.select("raw"), "_rec")
+    base, at = {}, 0
+    for file, block, n in sorted(map(tuple, records.groupBy("file", "block").count().collect())):  # a row for each split of the scan
+        base[file, block] = at
+        at += n
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for b in batches:
+            files, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = np.empty(b.num_rows, dtype=np.int64)
+            for i, key in enumerate(zip(files, blocks, strict=True)):
+                k = seen.get(key, 0)
+                out[i], seen[key] = base[key] + k, k + 1
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out)], names=["raw", "_rec"])
+
+    return records.select("file", "block", "raw").mapInArrow(number, "raw binary, _rec bigint")
 
 
 def scan(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
@@ -226,7 +265,21 @@ def write_fixed(records: DataFrame, path: str, separator: str = "") -> None:
     ordered.write.format("fixedwidth").option("separator", separator).mode("append").save(path)
 
 
-def upload_digest(spark: SparkSession, path: str, most: int = 50 << 30) -> DataFrame:
-    """``path``, ``length``, ``sha256`` and ``accepted`` (not over the size cap) of uploaded files."""
+def upload_digest(spark: SparkSession, path: str, most: int = 50 << 30, one_value: int = ONE_VALUE) -> DataFrame:
+    """``path``, ``length``, ``sha256`` and ``accepted`` (not over the size cap) of uploaded files. Files above ``one_value`` bytes are read in pieces, where they lie."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), (F.col("length") <= most).alias("accepted"))
+    small = files.where(F.col("length") <= one_value).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in b.column(0).to_pylist():
+                h = hashlib.sha256()
+                with open(_local(p), "rb") as f:
+                    while data := f.read(PIECE):
+                        h.update(data)
+                found.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+    large = files.where(F.col("length") > one_value).select("path", "length").mapInArrow(digest, "path string, length bigint, sha256 string")
+    return small.unionByName(large).withColumn("accepted", F.col("length") <= most)

@@ -10,23 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.plans import diff
 from tallyframe.sources.layout import Layout, decoded
-from tallyframe.sources.records import register
+from tallyframe.sources import records
 
 
-def arriving(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """A stream of a folder's record files, decoded; ``_rec`` is the byte offset in ``_file``."""
-    register(spark)
-    raw = spark.readStream.format("fixedwidth").option("recordLength", layout.record_length).load(path)
-    return decoded(raw.withColumnRenamed("offset", "_rec"), layout)
+def arriving(spark: SparkSession, path: str, layout: Layout, separator: str = "auto") -> DataFrame:
+    """A stream of a folder's record files, decoded; ``_rec`` is the byte offset in ``_file``, a file's name."""
+    raw = records.arriving(spark, path, layout.record_length, separator)
+    named = raw.withColumn("_file", F.regexp_extract("file", "([^/]+)$", 1)).withColumnRenamed("offset", "_rec")
+    return decoded(named, layout, number="_rec", keep=("_file",))
 
 
 def compare_stream(stream: DataFrame, expected: DataFrame, fields: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch against the expected records of its numbers; the events of a batch are appended to ``out``
+    """Each micro-batch against the expected records of its numbers (and files, if ``expected`` has ``_file``); the events of a batch are appended to ``out``
     as Parquet under the batch's id, so a repeated batch replaces its own rows."""
+    keys = ("_file", "_rec") if "_file" in expected.columns else ("_rec",)
 
     def batch(df: DataFrame, number: int) -> None:
-        wanted = expected.join(df.select("_rec"), "_rec", "left_semi")
-        diff.events(diff.outcomes(df, wanted, fields)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        wanted = expected.join(df.select(*keys), list(keys), "left_semi")
+        diff.events(diff.outcomes(df, wanted, fields, keys=keys)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -112,3 +112,68 @@ def test_stream(spark, tmp_path):
     stream = feed.arriving(spark, str(src), TEXT)
     feed.compare_stream(stream, expected, ["ID"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert {x.event: x["count"] for x in feed.totals(spark, str(tmp_path / "out")).collect()} == {"match": 24, "drift": 1}
+
+
+def test_data_bytes_that_look_like_line_ends(spark, tmp_path):
+    (tmp_path / "a.dat").write_bytes(b"ABCDEFGH\nJKLMNOP")
+    (tmp_path / "b.dat").write_bytes(b"1234\n\n567\n\r890\n")
+    got = [bytes(r.raw) for r in records.read_fixed(spark, str(tmp_path / "a.dat"), 4).orderBy("offset").collect()]
+    assert got == [b"ABCD", b"EFGH", b"\nJKL", b"MNOP"]
+    assert [bytes(r.raw) for r in records.read_fixed(spark, str(tmp_path / "b.dat"), 4).orderBy("offset").collect()] == [b"1234", b"\n567", b"\r890"]
+    (tmp_path / "c.dat").write_bytes(b"AB\nCD\nEF\n")
+    assert [bytes(r.raw) for r in records.read_fixed(spark, str(tmp_path / "c.dat"), 3, "none").orderBy("offset").collect()] == [b"AB\n", b"CD\n", b"EF\n"]
+    assert [records.stride_of(str(tmp_path / "c.dat"), n) for n in (2, 3, 9, 4)] == [3, 3, 9, 0]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packed_records_of_any_bytes(spark, tmp_path, seed, monkeypatch):
+    monkeypatch.setattr(records, "SPLIT", 128)
+    monkeypatch.setattr(records, "PIECE", 50)
+    r = random.Random(seed)
+    rows = [bytes(r.choice(b"\n\r\x00\x40\xf1Z") for _ in range(7)) for _ in range(r.randint(30, 90))]
+    for name, separator in (("n.dat", b""), ("l.dat", b"\n"), ("w.dat", b"\r\n")):
+        (tmp_path / name).write_bytes(separator.join(rows) + separator)
+        assert [bytes(x.raw) for x in records.numbered(records.read_fixed(spark, str(tmp_path / name), 7)).orderBy("_rec").collect()] == rows
+    varying = b"".join(x.replace(b"\n", b"!").replace(b"\r", b"?") + r.choice([b"", b"\n", b"\r\n"]) for x in rows)
+    (tmp_path / "v.dat").write_bytes(varying + b"end")
+    assert [bytes(x.raw) for x in records.read_fixed(spark, str(tmp_path / "v.dat"), 7).orderBy("offset").collect()] == [*(x.replace(b"\n", b"!").replace(b"\r", b"?") for x in rows), b"end"]
+
+
+def test_line_files_are_numbered_by_name_and_place(spark, tmp_path):
+    a, b = [f"a{i:05d}" for i in range(10)], [f"b{i:05d}" for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(a))
+    (tmp_path / "b.txt").write_text("\n".join([*b[:40], "", *b[40:]]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    try:
+        got = records.scan(spark, str(tmp_path), L.Layout("t", (L.Field("X", 0, 6),))).orderBy("_rec").collect()
+        assert [(r._rec, r.X) for r in got] == list(enumerate(a + b))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stream_sees_late_names(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    line = lambda i: f"{i:04d}abcdef{'1.00':>8}"
+    expected = spark.createDataFrame([(f"{f}.dat", 18 * i, str(10 * k + i)) for k, f in enumerate("abc") for i in range(4)], "_file string, _rec bigint, ID string")
+
+    def run() -> dict:
+        feed.compare_stream(feed.arriving(spark, str(src), TEXT), expected, ["ID"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        return {x.event: x["count"] for x in feed.totals(spark, str(tmp_path / "out")).collect()}
+
+    (src / "b.dat").write_text("".join(line(10 + i) for i in range(4)))
+    assert run() == {"match": 4}
+    (src / "a.dat").write_text("".join(line(i) for i in range(4)))  # an earlier name, later
+    assert run() == {"match": 8}
+    (src / "c.dat").write_text("".join(line(21 + i) for i in range(4)))
+    assert run() == {"match": 8, "drift": 4}
+
+
+def test_digests_in_pieces(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "s.bin").write_bytes(b"abc")
+    (tmp_path / "l.bin").write_bytes(b"x" * 10_000_000)
+    got = {r.length: (r.sha256, r.accepted) for r in records.upload_digest(spark, str(tmp_path), most=1000, one_value=100).collect()}
+    assert got == {3: (hashlib.sha256(b"abc").hexdigest(), True), 10_000_000: (hashlib.sha256(b"x" * 10_000_000).hexdigest(), False)}
