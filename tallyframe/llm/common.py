@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local run (tests) gets a new one; on a cluster
+    there is none to guess, and that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,13 +33,40 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables made inside ``scratch`` blocks, innermost last.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: cuts the
-    lineage, survives the loss of an executor, and is computed once however often it is read."""
+    lineage, survives the loss of an executor, and is computed once however often it is read. It stays until the ``scratch`` block around
+    it ends, or ``drop``."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["scratch"] = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` inside go when the block ends: what is made from them must be written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for t in tables:
+        if path := t.__dict__.pop("scratch", None):
+            remove(t.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,6 +75,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys at most whose rows are looked up where they are.
+HOT = 10_000
+
+
+def join_known(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The inner join of ``left`` (read twice) with ``right``, a written table of one row for each key and ``n``, the rows of ``left`` that have it. Keys of at
+    least one in ``HOT`` rows, so at most ``HOT`` keys, are sent to all executors; the others' rows are shuffled. So no key's rows meet in one task."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * HOT >= total
+    values = [c for c in right.columns if c not in (key, n)]
+    some = left.join(F.broadcast(right.where(often).select(key, *values, F.lit(True).alias("__often"))), key, "left")
+    seldom = some.where(F.col("__often").isNull()).select(*left.columns).join(right.where(~often).select(key, *values), key)
+    return some.where(F.col("__often")).select(key, *(c for c in left.columns if c != key), *values).unionByName(seldom)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -21,16 +21,18 @@ def roots(links: DataFrame) -> DataFrame:
     edges = written(links.select(*ordered(F.col("a"), F.col("b"))).where("hi <> lo").distinct(), "links")
     found = links.sparkSession.createDataFrame([], "node bigint, root bigint")
     while not edges.isEmpty():
-        hooks = written(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "hooks")
-        while True:
+        hooks = written(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"), F.lit(True).alias("moved")), "hooks")
+        while not hooks.where("moved").isEmpty():
             above = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = written(hooks.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "jumps")
-            hooks = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
+            drop(hooks)
+            hooks = jumped
         up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        found = written(found.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(hooks), "roots")
-        of = lambda end: hooks.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        grown = written(found.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(hooks.select("node", "root")), "roots")
+        of = lambda end: hooks.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))  # noqa: B023, E731
         renamed = edges.join(of("hi"), "hi", "left").join(of("lo"), "lo", "left")
-        edges = written(renamed.select(*ordered(F.coalesce("hi_root", "hi"), F.coalesce("lo_root", "lo"))).where("hi <> lo").distinct(), "links")
+        fewer = written(renamed.select(*ordered(F.coalesce("hi_root", "hi"), F.coalesce("lo_root", "lo"))).where("hi <> lo").distinct(), "links")
+        drop(hooks, found, edges)
+        found, edges = grown, fewer
+    drop(edges)
     return found

@@ -14,7 +14,7 @@ choice is a cut-off hash per source, a table as small as the sources.
 
 Results for odd input: a null source is a source, the last in order; null texts have size 0; a
 source of size 0 has target 0; repeated ids and rows share a hash and are taken or left
-together; an empty table gives an empty one; other columns pass through ``mix`` and are neither
+together; rows without an id are known by their text; an empty table gives an empty one; other columns pass through ``mix`` and are neither
 read nor returned by ``taken``; names beginning with ``__mix_`` are reserved.
 """
 
@@ -34,9 +34,9 @@ DIGITS = 3
 SMALL = 10_000
 
 
-def hash_of(id_col: str | Column, seed: str = SEED) -> Column:
-    """32 hex digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))))
+def hash_of(id_: Column, text: Column, seed: str = SEED) -> Column:
+    """32 hex digits, of the id; of the text where there is no id, so rows without one aren't taken or left all together."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))))
 
 
 def targets(sizes: DataFrame, cap: int = CAP, weights: Sequence[int] = WEIGHTS) -> DataFrame:
@@ -77,6 +77,7 @@ def plan(docs: DataFrame, cap: int = CAP, weights: Sequence[int] = WEIGHTS) -> D
         upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("p")))
         cross = upto.join(_small(at), same(F.col("source"), F.col("s"))).where(F.col("upto") >= F.col("rest"))
         cross = cross.groupBy("source").agg(F.min_by(F.struct("p", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest")), "p").alias("c")).select(F.col("source").alias("s"), "c.*")
+        cross = written(cross, "cross")
         open_ = written(open_.join(_small(cross.withColumnRenamed("rest", "new_rest")), same(F.col("source"), F.col("s")), "left").select("source", "source_size", "weight", "target", "whole", F.coalesce("new_rest", F.lit(0.0)).alias("rest"), F.coalesce("p", "prefix").alias("prefix")), "targets")
     # Within the last prefix: take up to the hash at which the sum comes nearest to the rest (ties: the smaller sum).
     at = open_.where("rest > 0").select(F.col("source").alias("s"), "rest", "prefix")
@@ -84,7 +85,7 @@ def plan(docs: DataFrame, cap: int = CAP, weights: Sequence[int] = WEIGHTS) -> D
     sums = last.groupBy("source", "hash", "rest").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("hash")))
     near = sums.groupBy("source", "rest").agg(F.min_by(F.struct("hash", "upto"), F.struct(F.abs(F.col("upto") - F.col("rest")), "hash")).alias("c"))
     cut = F.when(F.abs(F.col("c.upto") - F.col("rest")) < F.col("rest"), F.col("c.hash"))
-    near = near.select(F.col("source").alias("s"), cut.alias("found"))
+    near = written(near.select(F.col("source").alias("s"), cut.alias("found")), "near")
     out = open_.join(_small(near), same(F.col("source"), F.col("s")), "left")
     # nothing nearer inside the prefix: all smaller prefixes, nothing of this one
     return written(out.select("source", "source_size", "weight", "target", "whole", F.coalesce("found", F.when(F.col("prefix") != "", F.col("prefix"))).alias("cut")), "mix")
@@ -97,7 +98,7 @@ def _small(sources: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """A written table of ``id``, ``source``, ``size`` and ``hash``: the texts are read once."""
-    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash_of(id_col, seed).alias("hash")), "sizes")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col), seed).alias("hash")), "sizes")
 
 
 def _repetitions(has_words: Column, hash_: Column, whole: Column, cut: Column) -> Column:
@@ -117,7 +118,7 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, weights: Sequence[int] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """``docs``, each row as often as the mix takes it."""
     by_source = plan(sized(docs, id_col, text_col, source_col, seed), cap, weights).select(F.col("source").alias("__mix_source"), "whole", "cut")
-    reps = _repetitions(docs[text_col].rlike(WORD), hash_of(docs[id_col], seed), F.col("__mix_whole"), F.col("__mix_cut"))
+    reps = _repetitions(docs[text_col].rlike(WORD), hash_of(docs[id_col], docs[text_col], seed), F.col("__mix_whole"), F.col("__mix_cut"))
     small = _small(by_source.withColumnsRenamed({"whole": "__mix_whole", "cut": "__mix_cut"}))
     out = docs.join(small, docs[source_col].cast("string").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_n", reps).where("__mix_n > 0")
     return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("__mix_k")).drop("__mix_k")

@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_by_ids, table, version, written
+from .common import arrow_map, join_known, split_by_ids, table, version, written
 
 #: The base kinds, in their order, their patterns and least lengths.
 BASE = (
@@ -43,8 +43,6 @@ KINDS = [*(k for k, *_ in BASE), *MORE]
 LIVE_OWNERS, LIVE_REPOSITORIES = 2, 4
 #: Bits of entropy per character from which a mixed token counts as random.
 ENTROPY = 3.5
-#: Values at most whose counts all executors hold: each has that part of all candidates.
-HOT = 10_000
 
 _ASSIGN, _ACCESS, _HEX = (re.compile(p if k != "hex" else "[0-9a-f]{24,}") for k, p, _, _ in BASE)
 
@@ -143,14 +141,9 @@ def judged(scanned: DataFrame) -> DataFrame:
     """``row`` and ``spans`` (array of start, kind, end, live) of the rows that have candidates; spans are the base
     ones and those live-looking ones of the additional kinds. The counts of values that many candidates have go to all executors,
     the others are joined, so no value's candidates meet in one task."""
-    counts = written(ownership(scanned), "ownership")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = F.col("n") * HOT >= total  # at most HOT values
+    known = ownership(scanned).select("value", "n", ((F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)).alias("live"))
     each = scanned.select("row", F.explode("found").alias("s")).select("row", "s.*")
-    known = counts.select("value", "n", ((F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)).alias("live"))
-    some = each.join(F.broadcast(known.where(often).drop("n")), "value", "left")
-    seldom = some.where(F.col("live").isNull()).drop("live").join(known.where(~often).drop("n"), "value")
-    every = some.where(F.col("live").isNotNull()).unionByName(seldom).select("row", "start", "kind", "end", "live")
+    every = join_known(each, written(known, "ownership"), "value").select("row", "start", "kind", "end", "live")
     return every.where(F.col("live") | (F.col("kind") < len(BASE))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
 
 

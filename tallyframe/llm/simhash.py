@@ -11,11 +11,12 @@ distance, or once the group is known to be in the searcher's own component. So a
 block returns a forest, not all pairs: no link between components is lost and a
 group of many near copies costs about as much as its size.
 
-Fingerprints are first made distinct, so exact copies cost one. Keys with more
+Fingerprints are first made distinct, so exact copies cost one; joins by fingerprint and by component look up hot ones where their rows are. Keys with more
 rows than a few partitions should hold are split into chunks that meet pairwise.
 
 Results for odd input: a null or empty text has fingerprint zero and is linked
-like any other; repeated rows and repeated ids give a row each; an empty table
+like any other; repeated rows and repeated ids give a row each; rows without an id have no say in which id is the smallest, and a component of
+such rows only has none; ids are integers; an empty table
 gives an empty one; other columns are neither read nor returned.
 """
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_by_ids, table, version, written
+from .common import arrow_map, join_known, split_by_ids, table, version, written
 from .components import roots
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -265,12 +266,12 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, most: int | Non
 
 
 def members(fps: DataFrame, distance: int, first: F.Column) -> DataFrame:
-    """``fp`` (each once), ``least``: the smallest ``first`` of its component's rows."""
-    distinct = written(fps.groupBy("fp").agg(F.min(first).alias("least")), "distinct")
+    """A written table of ``fp`` (each once), ``n`` (its rows) and ``least``: the smallest ``first`` of its component's rows."""
+    distinct = written(fps.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")), "distinct")
     up = roots(links(distinct.select("fp"), distinct.count(), distance))
-    member = distinct.join(up.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = member.groupBy("root").agg(F.min("least").alias("of_component"))
-    return member.join(of_root, "root").select("fp", F.col("of_component").alias("least"))
+    member = written(distinct.join(up.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "members")
+    of_root = written(member.groupBy("root").agg(F.min("least").alias("of_component"), F.count("*").alias("rows")), "components")
+    return written(join_known(member, of_root, "root", "rows").select("fp", "n", F.col("of_component").alias("least")), "least")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach) for every row."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     of_fp = members(fps, distance, F.col("id"))
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    return join_known(fps, of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -288,7 +289,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.withColumn("__simhash_key", version(F.col(id_col).cast("long"), F.col(text_col)))
     fps = written(fingerprints(keyed, id_col, text_col, "__simhash_key"), "fingerprints")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    found = fps.join(members(fps, distance, first), "fp").select(F.col("key").alias("__simhash_id"), (F.col("key") == F.col("least.key")).alias("keep"))
+    found = join_known(fps, members(fps, distance, first), "fp").select(F.col("key").alias("__simhash_id"), (F.col("key") == F.col("least.key")).alias("keep"))
     doubtful = found.groupBy("__simhash_id").agg(F.count("*").alias("__simhash_n"), F.bool_or("keep").alias("__simhash_keep"))
     doubtful = written(doubtful.where("__simhash_n > 1 OR NOT __simhash_keep"), "doubtful")
     some, unique = split_by_ids(keyed, "__simhash_key", doubtful.select("__simhash_id"))
