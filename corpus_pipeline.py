@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, mixing, secrets, simhash, toxicity
-from tallyframe.llm.common import remove, scratch_path, table
+from tallyframe.llm.common import remove, scratch, scratch_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,15 +58,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's scratch tables go once its result is written; those of the last one, which is read as it is, stay."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = scratch_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            if before:
-                remove(spark, before)  # its successor is written
-            before = path
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)  # its successor is written
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
