@@ -1,19 +1,19 @@
 """Token-ID output in training order: fixed-stride binary shards.
 
-Texts become byte-level token ids of 8 bits (valid UTF-8 has no bytes xFE and xFF: xFF ends a
-text, xFE is padding), packed in the order of the input's partitions into sequences
-of ``length`` ids; only the last sequence of a partition is padded. A keyed Feistel network
+Sequences of ``length`` ids are packed in the order of the input's partitions; only the last one of a partition is padded. Ids are a
+column of lists (a tokenizer's, in 1, 2 or 4 bytes each, little-endian) or, without one, a text's own UTF-8 bytes. The two highest values of
+the width are marks (END ends a text, PADDING fills up); valid UTF-8 has neither byte, and a list with an id as high fails the run. A keyed Feistel network
 over the next even power of two, walked until it lands below the number of sequences,
 permutes them: every sequence has a global slot, known from its number alone and back. A
 slot's shard is ``slot // shard``; each shard is written by one task, in slot order, as
 records of one stride (slot, number of ids, ids, a line feed), so a reader seeks to any
-slot and goes on from there.
+slot and goes on from there. Shards grow with the corpus, so that there are never more than ``SHARDS``.
 
 The shuffle carries compressed records and is dealt by shard number; the slots are dense, so all shards
 but the last are equally large whatever the texts are. The input must give the same partitions each time it is read (a
 file scan does); a checksum of every partition's ids and lengths fails the run otherwise.
 
-Results for odd input: a null or empty text is one end mark; repeated rows each have their
+Results for odd input: a null or empty text or list is one end mark; repeated rows, and rows without an id, each have their
 place; an empty table makes no shard and an empty index; other columns are neither read nor
 returned.
 """
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, table, written
 
-END, PADDING = 0xFF, 0xFE
-LENGTH, SHARD, KEY = 2048, 16_384, "order-1"
+LENGTH, KEY = 2048, "order-1"
+#: Slots of a shard at least, and shards at most: a reduce task each, of a size that a scheduler holds for any number of map tasks.
+SHARD, SHARDS = 16_384, 20_000
 HEAD, HEAD_SIZE = "<qi", 12
 ROUNDS = 6
 
@@ -88,17 +89,31 @@ class Layout:
     length: int
     shard: int
     key: str
+    width: int = 1
 
     @property
     def stride(self) -> int:
-        return HEAD_SIZE + self.length + 1
+        return HEAD_SIZE + self.length * self.width + 1
+
+    @property
+    def end(self) -> int:
+        """The id that ends a text."""
+        return (1 << 8 * self.width) - 1
+
+    @property
+    def padding(self) -> int:
+        return self.end - 1
+
+    def numbers(self, ids: bytes) -> np.ndarray:
+        """A record's ids as integers."""
+        return np.frombuffer(ids, dtype=f"<u{self.width}").astype(np.int64)
 
     @property
     def permutation(self) -> Permutation:
         return Permutation(self.sequences, self.key)
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, n_ids: F.Column) -> DataFrame:
     """A written table of ``id``, ``part``, ``start`` (the text's first id in its partition), ``n`` (ids with the end mark)
     and ``check`` (of the partition up to here)."""
 
@@ -114,51 +129,70 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part)), pa.array(starts), pa.array(n), pa.array(checks, pa.int64())], names=["id", "part", "start", "n", "check"])
 
-    lengths = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("n"))
+    lengths = docs.select(F.col(id_col).alias("id"), (F.coalesce(n_ids, F.lit(0)) + 1).cast("long").alias("n"))
     kind = docs.schema[id_col].dataType.simpleString()
     return written(lengths.mapInArrow(run, f"id {kind}, part bigint, start bigint, n bigint, check bigint"), "places")
 
 
-def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, shard: int = SHARD, key: str = KEY) -> tuple[Layout, DataFrame]:
-    """Write the shards and return their layout and the index: for every row ``id_col``, ``n_tokens``, ``first_sequence``,
+def _raw(column: pa.Array, layout: Layout) -> Iterator[bytes]:
+    """Each row's ids as bytes."""
+    if not pa.types.is_list(column.type):
+        for x in column:
+            yield x.as_py() or b""
+        return
+    for x in column:
+        ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0)
+        if len(ids) and not (0 <= ids.min() and ids.max() < layout.padding):  # a null is no number either
+            raise ValueError(f"an id outside 0 to {layout.padding - 1}")
+        yield ids.astype(f"<u{layout.width}").tobytes()
+
+
+def write(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, shard: int | None = None, key: str = KEY, ids_col: str | None = None, width: int = 1
+) -> tuple[Layout, DataFrame]:
+    """Write the shards (of the lists of ``ids_col`` in ``width`` bytes an id, or the bytes of ``text_col``) and return their layout and the index: for every row ``id_col``, ``n_tokens``, ``first_sequence``,
     ``n_sequences``, ``slot``, ``shard``, ``byte_offset`` and ``position`` (of the text's first id: its record, where it begins in the shard, and
     the id's place in the record)."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
-    places = _placed(docs, id_col, text_col)
+    if width not in (1, 2, 4) or (width > 1 and not ids_col):
+        raise ValueError("ids have 1, 2 or 4 bytes, those of texts 1")
+    n_ids = F.size(F.when(F.col(ids_col).isNotNull(), F.col(ids_col))) if ids_col else F.octet_length(text_col)
+    places = _placed(docs, id_col, F.when(n_ids >= 0, n_ids))
     # One row for each partition of the input, the unit of the scheduler's own tables.
     ends = sorted(map(tuple, places.groupBy("part").agg(F.max_by(F.struct("start", "n", "check"), "start").alias("e")).select("part", F.col("e.start") + F.col("e.n"), "e.check").collect()))
     base, total = {}, 0
     for part, n, check in ends:
         base[part] = (total, n, check)
         total += -(-n // length)
-    layout = Layout(path, total, length, shard, key)
+    shard = shard or max(SHARD, -(-total // SHARDS))
+    layout = Layout(path, total, length, shard, key, width)
     bases = spark.sparkContext.broadcast(base)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, n, expected = bases.value.get(TaskContext.get().partitionId(), (0, 0, 0))
         order, press = layout.permutation, zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         held, check, seen = bytearray(), 0, 0
+        size, end, fill = length * width, layout.end.to_bytes(width, "little"), layout.padding.to_bytes(width, "little") * length
 
         def cut(last: bool) -> pa.RecordBatch:
             nonlocal number, held
-            k = -(-len(held) // length) if last else len(held) // length
+            k = -(-len(held) // size) if last else len(held) // size
             slots = order.slots(np.arange(number, number + k))
             packed = []
             for i, slot in enumerate(slots.tolist()):
-                ids = bytes(held[i * length : (i + 1) * length])
-                packed.append(press(struct.pack(HEAD, slot, len(ids)) + ids.ljust(length, bytes([PADDING]))))
-            del held[: k * length]
+                ids = bytes(held[i * size : (i + 1) * size])
+                packed.append(press(struct.pack(HEAD, slot, len(ids) // width) + ids + fill[len(ids) :]))
+            del held[: k * size]
             number += k
             return pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard).astype(np.int32)), pa.array(packed, pa.binary())], names=["slot", "shard", "record"])
 
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                raw = raw or b""
-                check = zlib.crc32(b"%d," % (len(raw) + 1), check)
-                seen += len(raw) + 1
+            for raw in _raw(batch.column(0), layout):
+                check = zlib.crc32(b"%d," % (len(raw) // width + 1), check)
+                seen += len(raw) // width + 1
                 held += raw
-                held.append(END)
+                held += end
                 if len(held) >= 4_000_000:
                     yield cut(False)
         if (seen, check) != (n, expected):
@@ -173,7 +207,8 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 yield pa.RecordBatch.from_arrays([pa.array([expand(x.as_py()) for x in batch.column(0).slice(a, 1024)], pa.binary())], names=["record"])
 
     if total:
-        cut_up = docs.select(F.col(text_col).cast("binary")).mapInArrow(records, "slot bigint, shard int, record binary")
+        column = F.col(ids_col).cast("array<bigint>") if ids_col else F.col(text_col).cast("binary")
+        cut_up = docs.select(column).mapInArrow(records, "slot bigint, shard int, record binary")
         dealt = cut_up.repartitionById(-(-total // shard), F.col("shard")).sortWithinPartitions("slot").select("record")
         dealt.mapInArrow(opened, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path)
 
@@ -204,7 +239,7 @@ def shard_files(spark: SparkSession, layout: Layout) -> dict[int, str]:
 
 
 def read(spark: SparkSession, layout: Layout, slot: int, n: int) -> Iterator[tuple[int, bytes]]:
-    """``(slot, ids)`` of ``n`` slots from ``slot`` on: a seek in each shard, then a sequential read."""
+    """``(slot, ids)`` (as bytes) of ``n`` slots from ``slot`` on: a seek in each shard, then a sequential read."""
     files, jvm = shard_files(spark, layout), spark.sparkContext._jvm
     end = min(slot + n, layout.sequences)
     while slot < end:
@@ -220,7 +255,7 @@ def read(spark: SparkSession, layout: Layout, slot: int, n: int) -> Iterator[tup
                 for i in range(some):
                     own, size = struct.unpack_from(HEAD, data, i * layout.stride)
                     at = i * layout.stride + HEAD_SIZE
-                    yield own, data[at : at + size]
+                    yield own, data[at : at + size * layout.width]
                 count -= some
                 slot += some
         finally:
