@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, remembered, table
 
 #: Merged matches that a worker remembers; longer matches are merged each time.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Bytes of a match up to which new matches are merged together, and how many at a time.
-TOGETHER, ROWS = 64, 8_192
+TOGETHER, ROWS = 64, 4_096
+#: Characters of the texts that are split at once.
+SPLIT_CHARS = 600_000
 #: The key of no pair.
 NONE = 1 << 62
 
@@ -96,9 +100,15 @@ class Pairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.n = max(ranks.values()) + 1
-        found = {ranks[t[:i]] * self.n + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.keys = np.array(sorted(found), dtype=np.int64)
-        self.ranks = np.array([found[k] for k in self.keys.tolist()], dtype=np.int64)
+        keys, values = array("q"), array("q")
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                left, right = ranks.get(t[:i]), ranks.get(t[i:])
+                if left is not None and right is not None:
+                    keys.append(left * self.n + right)
+                    values.append(r)
+        by = np.argsort(np.frombuffer(keys, dtype=np.int64))
+        self.keys, self.ranks = (np.frombuffer(x, dtype=np.int64)[by] for x in (keys, values))
 
     def leaf(self, left: np.ndarray, right: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
         """``rank * size + at`` of each pair, ``NONE`` where there is none (an id is below 0)."""
@@ -109,8 +119,8 @@ class Pairs:
         return np.where(self.keys[i] == key, self.ranks[i] * size + at, NONE)
 
 
-def merge_together(pieces: list[bytes], pairs: Pairs, byte_ids: np.ndarray, size: int, ints: list[int]) -> list[list[int]]:
-    """Token ids of matches of at most ``size`` (a power of 2) bytes; ``ints`` has an object for each id."""
+def merge_together(pieces: list[bytes], pairs: Pairs, byte_ids: np.ndarray, size: int) -> list[bytes]:
+    """Token ids (4 bytes each) of matches of at most ``size`` (a power of 2) bytes."""
     m = len(pieces)
     part = np.full((m, size + 1), -1, dtype=np.int64)
     lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=m)
@@ -146,19 +156,23 @@ def merge_together(pieces: list[bytes], pairs: Pairs, byte_ids: np.ndarray, size
                 k = k >> 1
         row = row[tree[row, 1] != NONE]
     live = part >= 0
-    flat, ends = list(map(ints.__getitem__, part[live].tolist())), np.cumsum(live.sum(1)).tolist()
+    flat, ends = part[live].astype(np.int32).tobytes(), (4 * np.cumsum(live.sum(1))).tolist()
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class _Pieces(dict):
-    """Match to token ids; forgets everything when full."""
+    """Match to token ids, 4 bytes each; forgets everything when full."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode(), self.ranks)
+    def __missing__(self, piece: str) -> bytes:
+        ids = packed(merge(piece.encode(), self.ranks))
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -175,7 +189,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.ranks)
         self.pairs = Pairs(self.ranks)
-        self.ints = list(range(self.pairs.n))  # one object for each id
+        self.decimal = list(map(str, range(self.pairs.n)))
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
 
     def learn(self, pieces: set[str]) -> None:
@@ -187,24 +201,27 @@ class Codec:
             if len(piece) <= CACHE_CHARS and piece not in self.pieces:
                 raw = piece.encode()
                 if raw in self.ranks:
-                    self.pieces[piece] = [self.ranks[raw]]
+                    self.pieces[piece] = packed([self.ranks[raw]])
                 elif len(raw) <= TOGETHER:
                     by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
         for size, group in by_size.items():
             for a in range(0, len(group), ROWS):
                 some = group[a : a + ROWS]
-                self.pieces.update(zip([x for x, _ in some], merge_together([x for _, x in some], self.pairs, self.byte_ids, size, self.ints), strict=True))
+                self.pieces.update(zip([x for x, _ in some], merge_together([x for _, x in some], self.pairs, self.byte_ids, size), strict=True))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return self.ids(self.split(text)).tolist()
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, words)), dtype=np.int32)
 
-    def encode_all(self, texts: list[str], chars: int = 1_500_000):
+    def encode_all(self, texts: list[str], chars: int = SPLIT_CHARS) -> Iterator[np.ndarray]:
         """Token ids of each text in turn; texts are split ahead until they have ``chars`` characters."""
         for some in in_blocks(texts, chars):
             split = [self.split(t) for t in some]
             self.learn(set(chain.from_iterable(split)))
             for words in split:
-                yield list(chain.from_iterable(map(self.pieces.__getitem__, words)))
+                yield self.ids(words)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -276,9 +293,9 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         codec = codec_of(data.value, pat)
         out: dict = {id_col: b["i"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "lossless": []}
         for text, ids in zip(b["t"], codec.encode_all([t or "" for t in b["t"]]), strict=True):
-            back = codec.decode(ids)
+            back = codec.decode(ids.tolist())
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
             out["lossless"].append(back == (text or "").encode())
         return out

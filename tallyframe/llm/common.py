@@ -95,7 +95,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that are Python values at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -118,6 +118,7 @@ def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict
             for part in slices(batch):
                 out = rows({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
