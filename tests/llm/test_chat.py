@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from tallyframe.llm import chat
 
@@ -29,3 +32,19 @@ def test_same_as_sql(spark):
     conversations = frame(spark).toArrow()  # noqa: F841
     want = duckdb.sql(chat.OP7_SQL).fetchall()
     assert sorted(map(str, map(tuple, chat.rotate(frame(spark)).collect()))) == sorted(map(str, want))
+
+
+def test_parts_and_heads_same_as_sql(spark):
+    """Null and repeated turns beyond a part, system turns repeated in later segments, long texts."""
+    r = random.Random(2)
+    rows = [(1, None, "ann", "same", 0)] * 5000 + [(None, 7, r.choice(["a", "b", "system"]), r.choice("xyz"), 0) for _ in range(4500)]
+    rows += [(2, 0, "system", "rules", 0), (2, 0, "system", "more <|end|>", 0)] + [(2, i, "ab"[i % 2], f"t{i}", 0) for i in range(1, 1600)]
+    rows += [(3, 600, "system", "late", 0), (3, 1, "a", "early", 0), (3, 1200, "b", "w" * 300_000, 0), (4, None, "system", "first", 0), (4, 3, "a", "x", 0)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part int").repartition(7)
+    conversations = df.toArrow()  # noqa: F841
+    got = chat.rotate(df).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duckdb.sql(chat.OP7_SQL).fetchall()))
+    assert max(x.n_turns for x in got) == chat.MOST and sorted(x.n_turns for x in got if x.conv_id == 1) == [904, 2048, 2048]
+    heads = {(x.conv_id, x.segment): x.rendered.startswith("<|start|>system\n") for x in got if x.perspective == "a"}
+    assert heads[2, 0] and heads[2, 3] and heads[4, 0] and not heads[3, 0] and heads[3, 1] and not heads[3, 2]
+    assert df.where(F.col("conv_id") == 9).transform(chat.rotate).collect() == []
