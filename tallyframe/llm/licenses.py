@@ -2,8 +2,8 @@
 
 Passages (sentences and lines of the whole text that mention a licence at all) are compared with
 template vectors: weights are counts times inverse document frequency over all passages
-of the corpus, counted for all words. A template is compared with windows of its own length in the
-passage, so words before and after it don't matter; short forms and SPDX identifiers count as
+of the corpus, counted for all words. A template is compared with the window of its own length in the
+passage that shares most with it, so words before and after it don't matter; short forms and SPDX identifiers count as
 they are, with score 1. The best passage decides a file's own licence; of equal scores the longer
 template, and ``proprietary`` last. A licence file (by its name) speaks for its directory: a file
 without an own licence takes that of the nearest directory above it that has one. Each distinct
@@ -40,6 +40,18 @@ TEMPLATES = (
     ("CC-BY-4.0", "licensed under cc by 4.0"),
     ("CC-BY-SA-4.0", "licensed under cc by sa 4.0"),
     ("CC-BY-NC-4.0", "licensed under cc by nc 4.0"),
+    ("MIT", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("MIT", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("Apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("BSD-3-Clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("BSD-2-Clause", "licensed under the simplified bsd 2 clause license"),
+    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("AGPL-3.0", "licensed under the gnu affero general public license version 3"),
+    ("AGPL-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("EPL-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
+    ("Zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("BSL-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("CC0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved"),
 )
@@ -48,6 +60,13 @@ FORMS = (
     *(("MIT", x) for x in ("mit license", "mit licence", "mit licensed", "licensed under mit", "license mit")),
     *(("Apache-2.0", x) for x in ("apache license version 2.0", "apache license v2.0", "apache license 2.0", "apache 2.0 license", "license apache 2.0")),
     *(("BSD-3-Clause", x) for x in ("bsd 3 clause", "3 clause bsd")),
+    *(("BSD-2-Clause", x) for x in ("bsd 2 clause", "2 clause bsd", "simplified bsd license")),
+    *(("ISC", x) for x in ("isc license", "isc licence")),
+    *(("AGPL-3.0", x) for x in ("affero general public license version 3", "affero general public license v3", "agplv3", "agpl v3", "agpl 3.0")),
+    *(("EPL-2.0", x) for x in ("eclipse public license 2.0", "eclipse public license v2.0", "eclipse public license v 2.0", "epl 2.0")),
+    *(("Zlib", x) for x in ("zlib license", "zlib licence")),
+    *(("BSL-1.0", x) for x in ("boost software license version 1.0", "boost software license 1.0")),
+    *(("CC0-1.0", x) for x in ("cc0 1.0", "cc0 license")),
     *(("GPL-3.0", x) for x in ("gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gplv3", "gpl v3", "gpl 3.0")),
     *(("LGPL-3.0", x) for x in ("lesser general public license version 3", "lesser general public license v3", "gnu lgpl version 3", "lgplv3", "lgpl v3", "lgpl 3.0")),
     *(("MPL-2.0", x) for x in ("mozilla public license version 2.0", "mozilla public license v 2.0", "mozilla public license v2.0", "mozilla public license 2.0", "mpl 2.0")),
@@ -59,7 +78,7 @@ FORMS = (
 SPDX = r"(?i)spdx-license-identifier:\s*\(?([a-z0-9.-]*[a-z0-9])"
 LATER = r"-(only|or-later)$"
 #: What a passage mentions, and the names of licence files.
-MENTION = r"(?i)licen[sc]e|copyright|rights\s+reserved|permission\s+is\s+hereby|redistribution\s+and\s+use|free\s+software|public\s+domain|\bcc[ -]by\b|\bl?gpl[ -]?v?3|\bmpl[ -]2"
+MENTION = r"(?i)licen[sc]e|copyright|rights\s+reserved|permission\s+(?:is|to)\s|redistribution\s+and\s+use|names?\s+of\s+(?:the|its)\s|accompanying\s+materials|without\s+warranty|as\s+is\W?\s+basis|\bcc0\b|free\s+software|public\s+domain|\bcc[ -]by\b|\b[al]?gpl[ -]?v?3|\bepl[ -]2|\bmpl[ -]2"
 FILES = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 WORDS = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Cosine from which a passage has a template's licence.
@@ -121,18 +140,24 @@ def _map(values: dict[str, float]) -> Column:
 
 
 def _cosine(unit: dict[str, float], length: int) -> Column:
-    """The best cosine of a template and the windows of its length that begin with a word of it, or of the last window."""
-    own, v = _map(unit), F.col("vector")
+    """The cosine of a template and the window of its length that shares most of its weight, each word once (the first of such). Windows begin with a
+    word of the template, or are the last one. A window costs as many steps as it has words, the cosine of the chosen one their square."""
+    own, shares, v = _map(unit), _map({w: u * u for w, u in unit.items()}), F.col("vector")
+    template = F.array(*map(F.lit, unit))
     last = F.greatest(F.size(v) - length, F.lit(0))
-    starts = F.transform(F.filter(v, lambda t: F.try_element_at(own, t["w"]).isNotNull()), lambda t: F.least(t["at"], last) + 1)
+    starts = F.array_distinct(F.transform(F.filter(v, lambda t: F.try_element_at(own, t["w"]).isNotNull()), lambda t: F.least(t["at"], last) + 1))
+
+    def shared(start: Column) -> Column:
+        words = F.array_intersect(F.slice("words", start, F.lit(length)), template)
+        return F.struct(F.round(F.aggregate(words, F.lit(0.0), lambda a, w: a + F.try_element_at(shares, w)), 9).alias("shared"), (-start).alias("at"))
 
     def cosine(window: Column) -> Column:
         dot = F.aggregate(window, F.lit(0.0), lambda a, t: a + t["x"] * F.coalesce(F.try_element_at(own, t["w"]), F.lit(0.0)))
         square = F.aggregate(window, F.lit(0.0), lambda a, t: a + t["x"] * t["x"] * F.size(F.filter(window, lambda o: o["w"] == t["w"])))
         return dot / F.sqrt(square)
 
-    windows = F.transform(F.array_distinct(starts), lambda s: F.slice(v, s, F.lit(length)))
-    return F.coalesce(F.array_max(F.transform(windows, cosine)), F.lit(0.0))
+    best = F.array_max(F.transform(starts, shared))
+    return F.coalesce(F.get(F.transform(F.array(best), lambda b: cosine(F.slice(v, -b["at"], F.lit(length)))), F.lit(0)), F.lit(0.0))
 
 
 def _rank(name: str, length: int) -> int:
@@ -148,8 +173,9 @@ def matched(found: DataFrame, n: int, df: DataFrame) -> DataFrame:
     scores = [entry(F.round(_cosine(u, len(text.split())), 6), name, len(text.split()), k) for k, ((name, text), u) in enumerate(zip(TEMPLATES, unit, strict=True))]
     scores += [F.when(F.col("joined").contains(f" {text} "), entry(F.lit(1.0), name, len(text.split()), len(TEMPLATES))) for name, text in FORMS]
     scores += [F.when(F.col("spdx") == name.lower(), entry(F.lit(1.0), name, 100, len(TEMPLATES))) for name in sorted({name for name, _ in TEMPLATES} - {"proprietary"})]
-    best = weighed(found, n, df).withColumn("joined", joined).withColumn("best", F.array_max(F.array(*scores)))
-    return best.drop("vector", "joined", "spdx").select("*", "best.license", "best.score", "best.rank").drop("best")
+    each = weighed(found, n, df).withColumn("joined", joined).withColumn("words", F.transform("vector", lambda t: t["w"]))
+    best = each.withColumn("best", F.array_max(F.array(*scores)))
+    return best.drop("vector", "words", "joined", "spdx").select("*", "best.license", "best.score", "best.rank").drop("best")
 
 
 def directory(path: Column) -> Column:

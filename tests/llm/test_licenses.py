@@ -73,7 +73,8 @@ def test_sentences_with_extra_words_at_two_sizes(spark):
         ("Copyright (c) 2021 Acme Corp, all rights reserved", "proprietary"),
         ("SPDX-License-Identifier: MIT", "MIT"),
         ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
-        ("SPDX-License-Identifier: ISC", None),
+        ("SPDX-License-Identifier: ISC", "ISC"),
+        ("SPDX-License-Identifier: WTFPL", None),
         ("SPDX-License-Identifier: MIT-0", None),
         ("Unless told otherwise, this work is licensed under the terms of the GNU General Public License, version 3, by us all", "GPL-3.0"),
         ("Copyright 2020 Acme, all rights reserved, released under the MIT License", "MIT"),
@@ -99,3 +100,24 @@ def test_all_words_are_counted(spark, monkeypatch):
         got = {r.passage: [(x.w, round(x.x, 9)) for x in r.vector] for r in licenses.weighed(found, 3, df).collect()}
         idf = lambda k: round(math.log(4 / (1 + k)) + 1, 9)
         assert got[0] == [("licensed", idf(1)), ("to", idf(1)), ("an", idf(2)), ("angler", idf(2))] and got[2] == [("license", idf(2))]
+
+
+def test_whole_texts_and_long_passages(spark):
+    """Licence texts as they stand in files, wrapped and with other names, and a line of a million characters."""
+    mit = """Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal.
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice appears."
+    agpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by others."
+    epl = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at its place."
+    zlib = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to terms."
+    cc0 = "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"
+    long = "word the of license use " * 40_000 + "released under the MIT License"
+    said = [(mit, "MIT"), (isc, "ISC"), (agpl, "AGPL-3.0"), (epl, "EPL-2.0"), (zlib, "Zlib"), (cc0, "CC0-1.0"), (long, "MIT"), ("under the 2-clause BSD licence", "BSD-2-Clause"), (mit, "MIT")]
+    rows = [(i, f"f{i}", t) for i, (t, _) in enumerate(said)] + [(None, None, isc), (None, "x/LICENSE", zlib), (50, "x/y.py", "plain")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert [by_id[i].own_license for i in range(len(said))] == [name for _, name in said]
+    assert sorted(r.own_license for r in got if r.doc_id is None) == ["ISC", "Zlib"] and (by_id[50].license, by_id[50].license_from) == ("Zlib", "x")
