@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,24 +78,31 @@ def binary_encode(x: Column, pic: Pic) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def float_decode(raw: pd.Series) -> pd.Series:
-    """IEEE big-endian, 4 or 8 bytes (no native expression reads float bits)."""
-    import struct
+    """IEEE big-endian, 4 or 8 bytes (no native expression reads float bits); null of other lengths."""
+    out, sizes = np.full(len(raw), np.nan), raw.str.len().to_numpy()
+    null = np.ones(len(raw), dtype=bool)
+    for n in (4, 8):
+        rows = np.flatnonzero(sizes == n)
+        out[rows] = np.frombuffer(b"".join(raw.iloc[rows]), dtype=f">f{n}")
+        null[rows] = False
+    return pd.Series(out, dtype=object).mask(null, None)
 
-    return raw.map(lambda b: None if b is None or len(b) not in (4, 8) else struct.unpack(">f" if len(b) == 4 else ">d", b)[0])
+
+def _bits(x: pd.Series, n: int) -> pd.Series:
+    """Big-endian bytes of each number; null of null and of what is no number."""
+    values = x.to_numpy(dtype=np.float64, na_value=np.nan)
+    raw = values.astype(f">f{n}").tobytes()
+    return pd.Series([None if none else raw[n * i : n * i + n] for i, none in enumerate(np.isnan(values).tolist())], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def float_encode(x: pd.Series) -> pd.Series:
-    import struct
-
-    return x.map(lambda v: None if v is None or v != v else struct.pack(">d", v))
+    return _bits(x, 8)
 
 
 @F.pandas_udf(T.BinaryType())
 def single_encode(x: pd.Series) -> pd.Series:
-    import struct
-
-    return x.map(lambda v: None if v is None or v != v else struct.pack(">f", v))
+    return _bits(x, 4)
 
 
 def validated(text: Column, pic: Pic, scale: int = 10) -> Column:

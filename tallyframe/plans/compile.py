@@ -543,21 +543,55 @@ def over_arrow(program: Program, df: DataFrame, inputs: Mapping[str, str], outpu
 
 
 def execute_io(program: Program, files: Mapping[str, DataFrame], output: str, schema: T.StructType | str) -> DataFrame:
-    """A program that reads and writes files itself: its storage lives across records, so one task runs it over the
-    inputs in ``_rec`` order. ``schema`` has the output record's fields as strings."""
-    inputs = {f: [r.asDict() for r in df.orderBy("_rec").drop("_rec").toLocalIterator()] for f, df in files.items()}
+    """A program that reads and writes files itself: its storage lives across records, so one ordered task runs it over the
+    inputs, sorted by file and ``_rec`` on the way there; nothing passes the driver. ``schema`` has the output record's fields as strings."""
     spark = next(iter(files.values())).sparkSession
-    names = spark.createDataFrame([], schema).columns
+    names, opened = spark.createDataFrame([], schema).columns, list(files)
+    fields = sorted({c for df in files.values() for c in df.columns if c != "_rec"})
+    given = None
+    for f, df in files.items():
+        one = df.select(F.lit(f).alias("_file"), "_rec", *(F.col(f"`{c}`").cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields))
+        given = one if given is None else given.unionByName(one)
 
-    def run(_):
+    def run(batches):
         import pandas as pd
 
         m = interp.Machine(program)
-        m.files = {f: [dict(r) for r in rows] for f, rows in inputs.items()}
+        m.files = {f: [] for f in opened}
+        for b in batches:
+            for row in b.to_dict("records"):
+                m.files[row.pop("_file")].append({k: v for k, v in row.items() if k != "_rec"})
         m.run()
         rows = [[m.written_text(r, n) for n in names] for r in m.written.get(output, [])]
         yield pd.DataFrame(rows, columns=names).astype(object) if rows else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
 
-    return spark.range(1).coalesce(1).mapInPandas(run, schema)
+    return given.repartition(1).sortWithinPartitions("_file", "_rec").mapInPandas(run, schema)
+
+
+def traced(program: Program, df: DataFrame, inputs: Mapping[str, str]) -> DataFrame:
+    """The state changes of every record's run: ``_rec``, ``idx``, ``line``, ``verb``, ``variable``, ``old_value``, ``new_value`` and, in a last row where it failed, ``error``."""
+    import pyarrow as pa
 
+    names = ("line", "verb", "variable", "old_value", "new_value")
 
+    def run(batches):
+        machine = interp.Machine(program, trace=True)
+        for b in batches:
+            out: dict = {k: [] for k in ("_rec", "idx", *names, "error")}
+            for row in b.to_pylist():
+                error = None
+                try:
+                    interp.run_record(machine, {var: row[col] for col, var in inputs.items()})
+                except interp.ERRORS as e:
+                    error = f"{type(e).__name__}: {e}"[:200]
+                events = [*machine.events, *([{"error": error}] if error else [])]
+                for k, e in enumerate(events):
+                    out["_rec"].append(row["_rec"])
+                    out["idx"].append(k)
+                    for n in (*names, "error"):
+                        out[n].append(e.get(n))
+            kinds = {"_rec": pa.int64(), "idx": pa.int32(), "line": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], names=list(out))
+
+    schema = "_rec bigint, idx int, line int, verb string, variable string, old_value string, new_value string, error string"
+    return df.select(F.col("_rec").cast("long").alias("_rec"), *inputs).mapInArrow(run, schema)

@@ -1192,24 +1192,21 @@ TABLES = {
 
 
 def portfolio(spark, sources, library: Mapping[str, str] | None = None, name_col: str = "name", source_col: str = "source") -> Callable:
-    """A function from table name to DataFrame over a DataFrame of sources: each program is parsed in a Python map, its facts are
-    rows. A table is cached when it is first used: analytics read it several times."""
-    library = dict(library or {})
-    made: dict = {}
-
-    def table(which: str):
-        if which not in made:
-            made[which] = parsed(which).cache()
-        return made[which]
+    """A function from table name to DataFrame over a DataFrame of sources. Each program is parsed once, in a Python map, into a row with a list of
+    facts for each table; the rows are cached, as analytics read several tables."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
 
-    def parsed(which: str):
-        def rows(batches):
-            import pandas as pd
-
-            for b in batches:
-                out = [r for n, s in zip(b[name_col], b[source_col], strict=True) for r in facts(n, s or "", library)[which]]
-                yield pd.DataFrame(out, columns=[x.strip().split()[0] for x in TABLES[which].split(",")])
+    library = dict(library or {})
+    schema = StructType([StructField(name, ArrayType(_parse_datatype_string(columns))) for name, columns in TABLES.items()])
+    arrow, names = to_arrow_schema(schema), {k: [x.strip().split()[0] for x in v.split(",")] for k, v in TABLES.items()}
 
-        return sources.select(name_col, source_col).mapInPandas(rows, TABLES[which])
+    def rows(batches):
+        for b in batches:
+            found = [facts(n, s or "", library) for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([[dict(zip(names[f.name], r, strict=True)) for r in x[f.name]] for x in found], f.type) for f in arrow], schema=arrow)
 
-    return table
+    parsed = sources.select(name_col, source_col).mapInArrow(rows, schema).cache()
+    return lambda which: parsed.select(F.inline(which))

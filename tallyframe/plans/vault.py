@@ -71,6 +71,48 @@ def without(log: DataFrame, user: str, number: int) -> DataFrame:
     return log.where(~((F.col("username") == user) & (F.col("id") == number)))
 
 
+def save_reports(reports: DataFrame, path: str) -> None:
+    """Append reports (``id``, ``username``, ``report`` and any other columns)."""
+    reports.write.mode("append").parquet(path)
+
+
+def saved_reports(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def newest(log: DataFrame, n: int = 100) -> DataFrame:
+    """The newest ``n`` records of each user. Spark keeps the first ``n`` of a window on the map side already (a limit on the rank), so no
+    user's log is gathered whole."""
+    rank = F.row_number().over(Window.partitionBy("username").orderBy(F.col("id").desc()))
+    return log.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
+def export(log: DataFrame, user: str) -> DataFrame:
+    """A user's records as JSON lines, oldest first."""
+    return log.where(F.col("username") == user).orderBy("id").select(F.to_json(F.struct(*log.columns)).alias("value"))
+
+
+def signature(text: Column, key: Column) -> Column:
+    """A keyed signature (HMAC-SHA-256) of a text, in hex; the key is a text of at most 64 bytes."""
+    return F.sha2(F.concat(_padded(key, 0x5C), F.unhex(F.sha2(F.concat(_padded(key, 0x36), F.encode(text, "UTF-8")), 256))), 256)
+
+
+def _padded(key: Column, byte: int) -> Column:
+    """The key's block with every byte combined with ``byte`` by exclusive or."""
+    digits = "0123456789ABCDEF"
+    swap = lambda half: "".join(f"{int(c, 16) ^ half:X}" for c in digits)
+    block = F.rpad(F.hex(key), 128, "0")
+    high, low = F.regexp_replace(block, "(.).", "$1"), F.regexp_replace(block, ".(.)", "$1")
+    high, low = F.translate(high, digits, swap(byte >> 4)), F.translate(low, digits, swap(byte & 15))
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(F.substring(high, i, F.lit(1)), F.substring(low, i, F.lit(1))))
+    return F.unhex(F.array_join(pairs, ""))
+
+
+def signed(text: Column, mac: Column, key: Column) -> Column:
+    """Whether a signature is this text's."""
+    return signature(text, key) == mac
+
+
 def encrypted(text: Column, key: Column, iv: Column | None = None) -> Column:
     """AES-GCM; a fixed iv is for tests only."""
     return F.aes_encrypt(text, key, F.lit("GCM"), F.lit("DEFAULT"), iv) if iv is not None else F.aes_encrypt(text, key, F.lit("GCM"))
