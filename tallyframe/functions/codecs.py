@@ -23,11 +23,11 @@ def _digits(x: Column, pic: Pic) -> Column:
     return F.right(F.lpad(n.cast("string"), max(pic.digits, 1) + 38, "0"), F.lit(max(pic.digits, 1)))
 
 
-def comp3_decode(raw: Column, scale: int = 0) -> Column:
-    """Packed decimal: B and D are negative, other signs positive; null where a digit isn't one."""
+def comp3_decode(raw: Column, scale: int = 0, numproc: str = "NOPFD") -> Column:
+    """Packed decimal: B and D are negative, other signs positive; null where a digit isn't one and, with NUMPROC(PFD), where the sign isn't C, D or F."""
     h = F.hex(raw)
     body = F.substring(h, F.lit(1), F.length(h) - 1)
-    value = decimal_of(F.when(h.rlike("^[0-9]+[A-F]$"), body).cast("decimal(31,0)"), scale, 31)
+    value = decimal_of(F.when(h.rlike("^[0-9]+[CDF]$" if numproc == "PFD" else "^[0-9]+[A-F]$"), body).cast("decimal(31,0)"), scale, 31)
     return F.when(F.right(h, F.lit(1)).isin("B", "D"), -value).otherwise(value)
 
 

@@ -1118,12 +1118,46 @@ REVIEW = {
 }
 
 
+#: Functions that programs may use.
+FUNCTIONS = frozenset("INTEGER INTEGER-PART MAX MIN ABS MOD REM SUM SQRT EXP NUMVAL LENGTH UPPER-CASE LOWER-CASE TRIM REVERSE ORD CURRENT-DATE".split())
+
+
+def _functions(x):
+    """Names of the functions in a statement's expressions."""
+    if isinstance(x, dict):
+        x = [v for k, v in x.items() if k not in ("then", "else", "body", "whens", "other", "size_error", "not_size_error")]
+    if isinstance(x, tuple) and len(x) > 1 and x[0] == "fn":
+        yield x[1]
+    if isinstance(x, (tuple, list)):
+        for y in x:
+            yield from _functions(y)
+
+
 def review(program: Program) -> list[tuple[str, str, str]]:
-    """``(reason, recommendation, severity)`` of what isn't run."""
-    out = [REVIEW[s["kind"]] for _, s in program.every() if s["kind"] in REVIEW]
-    out += [("SORT without DUPLICATES", "order of equal keys is by input", "LOW") for _, s in program.every() if s["kind"] == "SORT" and not s["duplicates"] and s["using"]]
-    out += [(f"copybook {m}: {why}", "supply it", "HIGH") for m, why in program.copy_issues]
-    return out
+    """``(reason, recommendation, severity)`` of what isn't run, or not as it stands."""
+    groups = {x.name for top in program.items + program.linkage for x in _every(top) if x.children}
+    places, out = {x.name for x in program.paragraphs}, []
+    for _, s in program.every():
+        kind = s["kind"]
+        if kind in REVIEW:
+            out.append(REVIEW[kind])
+        if kind == "SORT" and not s["duplicates"] and s["using"]:
+            out.append(("SORT without DUPLICATES", "order of equal keys is by input", "LOW"))
+        if kind == "PERFORM" and s["first"] and not {s["first"], s["last"]} <= places:
+            out.append((f"PERFORM of {s['first']}, which isn't there", "check the paragraph's name and copybooks", "HIGH"))
+        if kind == "GO TO" and not set(s["names"]) <= places:
+            out.append(("GO TO a paragraph that isn't there", "check the paragraph's name and copybooks", "HIGH"))
+        if kind == "CORRESPONDING" and not {s["from"], s["to"]} <= groups:
+            out.append(("CORRESPONDING of what is no group", "check that a copybook defines the group", "MEDIUM"))
+        if kind == "INSPECT":
+            for a in s["actions"]:
+                ends = [a.get("find"), a.get("by")]
+                if a["do"] == "CONVERTING" and all(e and e[0] == "str" for e in ends) and len(ends[0][1]) != len(ends[1][1]):
+                    out.append(("INSPECT CONVERTING of unequal lengths", "give both texts one length", "MEDIUM"))
+        out += [(f"FUNCTION {f} isn't known", "compute it in another way", "MEDIUM") for f in sorted(set(_functions(s)) - FUNCTIONS)]
+    for top in program.items:
+        out += [(f"OCCURS DEPENDING of {x.name}", "tables have their greatest size", "LOW") for x in _every(top) if x.depending]
+    return out + [(f"copybook {m}: {why}", "supply it", "HIGH") for m, why in program.copy_issues]
 
 
 def facts(name: str, source: str, library: Mapping[str, str] | None = None) -> dict[str, list[tuple]]:

@@ -189,15 +189,23 @@ def taint(hosts: DataFrame, variables: DataFrame) -> DataFrame:
     return pick(hosts.where("clause = 'INTO'"), "tainted").union(pick(used, "used")).union(declared).union(moved.join(declared, ["program", "var"], "left_anti").select(*declared.columns))
 
 
+#: What a condition on a return code has, what it means and the branch it guards; the first holds.
+RETURN_CODES = (
+    (("NOT", "= 0"), "query failed", "error"), (("= 100",), "no matching rows", "not_found"), (("< 0",), "database exception", "severe"), (("= 0",), "query succeeded", "success"),
+    (("> 0",), "warning or not found", "warning"), ((), "return code check", "unknown"),
+)
+
+
 def sqlcode_branch(condition: Column) -> Column:
-    """Struct ``meaning``, ``branch`` of a condition on a return code; null of others. The first pattern holds."""
-    u = F.upper(condition)
-    s = lambda meaning, branch: F.struct(F.lit(meaning).alias("meaning"), F.lit(branch).alias("branch"))
-    ladder = (
-        F.when(u.contains("NOT") & u.contains("= 0"), s("query failed", "error")).when(u.contains("= 100"), s("no matching rows", "not_found")).when(u.contains("< 0"), s("database exception", "severe"))
-        .when(u.contains("= 0"), s("query succeeded", "success")).when(u.contains("> 0"), s("warning or not found", "warning")).otherwise(s("return code check", "unknown"))
-    )
-    return F.when(u.contains("SQLCODE") | u.contains("SQLSTATE"), ladder)
+    """Struct ``meaning``, ``branch`` of a condition on a return code; null of others."""
+    u, found = F.upper(condition), None
+    for texts, meaning, branch in reversed(RETURN_CODES):
+        told = F.struct(F.lit(meaning).alias("meaning"), F.lit(branch).alias("branch"))
+        test = F.lit(True)
+        for text in texts:
+            test = test & u.contains(text)
+        found = told if found is None else F.when(test, told).otherwise(found)
+    return F.when(u.contains("SQLCODE") | u.contains("SQLSTATE"), found)
 
 
 # Summaries ----------------------------------------------------------------------------------------------
@@ -257,15 +265,23 @@ def compiler_matrix(programs: DataFrame, variables: DataFrame, statements: DataF
     return out.withColumn("warnings", warnings).withColumn("recommendation", text)
 
 
+#: What makes a program yellow, and each count's points (most, by how much) of its complexity.
+YELLOW = {"odo": 0, "large_occurs": 0, "copy_issues": 0, "gotos": 10, "lines": 500}
+POINTS = {"lines": (20, "1/25"), "categories": (15, "1.5"), "copy_issues": (10, "2"), "exec": (20, "5"), "gotos": (10, "2"), "redefines": (10, "3"), "comp3": (10, "1"), "performs": (5, "1/4")}
+
+
 def heatmap(summary: DataFrame) -> DataFrame:
     """``summary(program, lines, alters, exec_sql, exec_cics, odo, large_occurs, copy_issues, gotos, categories, redefines, comp3, performs)`` with ``status``,
-    ``predicted``, ``complexity`` and ``risk_factors``."""
+    ``predicted``, ``complexity`` and ``risk_factors``. OCCURS DEPENDING and ALTER stand in the same list as EXEC blocks, but only EXEC ones score."""
     c = F.col
-    red = (c("alters") + c("exec_sql") + c("exec_cics")) > 0
-    yellow = (c("odo") > 0) | (c("large_occurs") > 0) | (c("copy_issues") > 0) | (c("gotos") > 10) | (c("lines") > 500)
-    capped = lambda cap, x: F.least(F.lit(cap).cast("decimal(10,4)"), x.cast("decimal(10,4)"))
-    # OCCURS DEPENDING and ALTER stand in the same list as EXEC blocks, but only EXEC ones score
-    score = capped(20, c("lines") / 25) + capped(15, c("categories") * 1.5) + capped(10, c("copy_issues") * 2) + capped(20, (c("exec_sql") + c("exec_cics")) * 5) + capped(10, c("gotos") * 2) + capped(10, c("redefines") * 3) + capped(10, c("comp3")) + capped(5, c("performs") / 4)
+    red, yellow, score = (c("alters") + c("exec_sql") + c("exec_cics")) > 0, F.lit(False), F.lit(0).cast("decimal(10,4)")
+    for name, most in YELLOW.items():
+        yellow = yellow | (c(name) > most)
+    for name, (most, each) in POINTS.items():
+        n = c("exec_sql") + c("exec_cics") if name == "exec" else c(name)
+        times, _, by = each.partition("/")
+        points = n * F.lit(float(times)) / F.lit(float(by or 1))
+        score = score + F.least(F.lit(most).cast("decimal(10,4)"), points.cast("decimal(10,4)"))
     factor = lambda test, *parts: F.when(test, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
     n = lambda x: c(x).cast("string")
     factors = F.array_compact(F.array(
@@ -283,9 +299,19 @@ def heatmap_summary(heat: DataFrame) -> DataFrame:
     return out.withColumn("predicted", F.when(share.isNull(), "N/A").when(share >= 90, text(5, 0)).when(share >= 70, text(10, 5)).otherwise(text(15, 10)))
 
 
+#: Base points below so many lines, and the points of a branch and of a nesting level up to a limit.
+LINES = ((1, 1), (50, 2), (200, 4), (500, 6))
+LONG, BRANCH, NESTED = 8, ("0.05", 20), ("0.10", 10)
+
+
 def simple_complexity(lines: Column, branches: Column, nesting: Column) -> Column:
-    base = F.when(lines <= 0, 1).when(lines < 50, 2).when(lines < 200, 4).when(lines < 500, 6).otherwise(8)
-    score = base.cast("decimal(6,2)") + F.least(branches, F.lit(20)).cast("decimal(6,2)") * F.lit("0.05").cast("decimal(3,2)") + F.least(nesting, F.lit(10)).cast("decimal(6,2)") * F.lit("0.10").cast("decimal(3,2)")
+    """From 1 to 10."""
+    base = F.lit(LONG)
+    for below, points in reversed(LINES):
+        base = F.when(lines < below, points).otherwise(base)
+    score = base.cast("decimal(6,2)")
+    for n, (each, most) in ((branches, BRANCH), (nesting, NESTED)):
+        score = score + F.least(n, F.lit(most)).cast("decimal(6,2)") * F.lit(each).cast("decimal(3,2)")
     return F.greatest(F.lit(1).cast("decimal(4,2)"), F.least(F.lit(10).cast("decimal(4,2)"), score.cast("decimal(6,2)"))).cast("decimal(4,2)")
 
 

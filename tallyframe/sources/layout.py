@@ -53,6 +53,7 @@ class Layout:
     constants: dict = field(default_factory=dict, hash=False)
     input_mapping: dict = field(default_factory=dict, hash=False)
     output_fields: tuple[str, ...] = ()
+    numproc: str = "NOPFD"  # PFD: packed signs other than C, D and F are an abend
 
     @classmethod
     def of_json(cls, text: str | dict) -> Layout:
@@ -64,7 +65,7 @@ class Layout:
         for f in fields:
             if f.type not in TYPES:
                 raise LayoutError(f"field {f.name}: unknown type {f.type}")
-        return cls(d.get("name", "layout"), fields, int(d.get("record_length") or 0), d.get("codepage"), d.get("constants") or {}, d.get("input_mapping") or {}, tuple(d.get("output_fields") or ()))
+        return cls(d.get("name", "layout"), fields, int(d.get("record_length") or 0), d.get("codepage"), d.get("constants") or {}, d.get("input_mapping") or {}, tuple(d.get("output_fields") or ()), str(d.get("numproc") or "NOPFD").upper())
 
     @property
     def schema(self) -> T.StructType:
@@ -76,14 +77,14 @@ class Layout:
         return T.StructType([T.StructField(f.name, kind(f), True, {"start": f.start, "length": f.length, "type": f.type, "decimals": f.decimals}) for f in self.fields])
 
 
-def _value(f: Field, raw: Column, codepage: str | None) -> tuple[Column, Column | None]:
+def _value(f: Field, raw: Column, codepage: str | None, numproc: str = "NOPFD") -> tuple[Column, Column | None]:
     """A field's value and its abend, from its bytes."""
     text = ebcdic.decode(raw, codepage) if codepage and codepage != "ascii" else F.decode(raw, "ISO-8859-1")
     if f.type == "string" or f.edited:
         return F.rtrim(text), None
     wide = f"decimal(38,{f.scale})"
     if f.type == "comp3":
-        value = codecs.comp3_decode(raw, f.decimals).cast(wide)
+        value = codecs.comp3_decode(raw, f.decimals, numproc).cast(wide)
         return value, F.when(value.isNull() & (F.octet_length(raw) == f.length), codecs.ABEND)
     if f.type in ("comp", "binary"):
         return codecs.binary_decode(raw, f.length, f.decimals).cast(wide), None
@@ -102,7 +103,7 @@ def decoded(records: DataFrame, layout: Layout, raw: str = "raw", number: str =
     columns, abends, warnings = [], [], []
     for f in layout.fields:
         part = F.substring(F.col(raw), f.start + 1, f.length)
-        value, abend = _value(f, part, layout.codepage)
+        value, abend = _value(f, part, layout.codepage, layout.numproc)
         columns.append(value.alias(f.name))
         if abend is not None:
             abends.append(F.when(abend.isNotNull(), F.struct(F.lit(f.name).alias("field"), abend.alias("message"), F.decode(part, "ISO-8859-1").alias("invalid_value"))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -254,7 +254,7 @@ def scan(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     records = read_fixed(spark, path, layout.record_length) if layout.record_length else read_lines(spark, path)
     if layout.codepage == "auto":
         first = records.select("raw").first()
-        layout = Layout(layout.name, layout.fields, layout.record_length, detect_codepage(bytes(first.raw) if first else b"", layout.fields))
+        layout = replace(layout, codepage=detect_codepage(bytes(first.raw) if first else b"", layout.fields))
     return decoded(numbered(without_blanks(records, layout.codepage)), layout)
 
 
