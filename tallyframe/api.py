@@ -118,11 +118,20 @@ def parse_jcl(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def main(args: list[str]) -> int:
-    """``python -m tallyframe.api analyze FILE | layout FILE | batch FOLDER | verify FILE LAYOUT INPUT EXPECTED LAYOUT | chain FOLDER | version``.
-    ``verify`` ends with 0 without drift, 1 with drift, 2 on an error."""
+    """``python -m tallyframe.api analyze FILE | layout FILE | batch FOLDER | dependency FOLDER | verify FILE LAYOUT INPUT EXPECTED LAYOUT | chain FOLDER |
+    export FOLDER USER TARGET | signature FILE KEYFILE HEX | health | version``. ``verify`` ends with 0 without drift, 1 with drift, 2 on an error; ``chain`` and
+    ``signature`` with 1 if something was changed."""
     if not args or args[0] == "version":
         print(VERSION)
         return 0
+    if args[0] == "signature":
+        import hashlib
+        import hmac
+
+        own = hmac.new(Path(args[2]).read_bytes().strip(), Path(args[1]).read_bytes(), hashlib.sha256).hexdigest()
+        same = hmac.compare_digest(own, args[3].strip().lower())
+        print("valid" if same else "not valid")
+        return int(not same)
     if args[0] in ("analyze", "layout"):
         source = Path(args[1]).read_text("latin-1")
         if args[0] == "analyze":
@@ -138,6 +147,18 @@ def main(args: list[str]) -> int:
             for name in ("verdict", "heatmap", "order"):
                 out[name].show(100, False)
             return 0
+        if args[0] == "dependency":
+            programs = lang.portfolio(spark, load_programs(spark, args[1]))("programs")
+            calls = portfolio.calls(programs)
+            for found in (portfolio.called_by(calls), portfolio.unresolved(calls, programs), portfolio.call_cycles(calls), portfolio.topological(calls, programs)):
+                found.show(1000, False)
+            return 0
+        if args[0] == "export":
+            vault.export(spark.read.parquet(args[1]), args[2]).write.text(args[3])
+            return 0
+        if args[0] == "health":
+            print(json.dumps({"version": VERSION, "spark": spark.version, "master": spark.sparkContext.master, "rows": spark.range(1000).count()}))
+            return 0
         if args[0] == "chain":
             log = spark.read.parquet(args[1])
             row = vault.summary(vault.verify(log, [c for c in sorted(log.columns) if c != "record_hash"])).first()

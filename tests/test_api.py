@@ -88,3 +88,48 @@ def test_recursion_and_topology(spark):
     assert {r.program for r in portfolio.call_cycles(calls).collect()} == {"B", "C"}
     assert {r.program: r.depth for r in portfolio.topological(calls, programs).collect()} == {"E": 0, "A": -1, "B": -1, "C": -1, "D": -1}
     assert {r.program for r in portfolio.call_roots(calls, programs).collect()} == {"D", "E"}
+
+
+def test_signatures_and_export(spark, tmp_path):
+    import hashlib
+    import hmac
+    import json
+
+    key, texts = "k" * 20, ["", "a report", "é\n" * 50]
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "id bigint, username string, report string")
+    got = [r[0] for r in df.orderBy("id").select(vault.signature(F.col("report"), F.lit(key))).collect()]
+    assert got == [hmac.new(key.encode(), t.encode(), hashlib.sha256).hexdigest() for t in texts]
+    lines = [json.loads(r.value) for r in vault.export(df, "u").collect()]
+    assert [(x["id"], x["report"]) for x in lines] == list(enumerate(texts)) and vault.export(df, "v").isEmpty()
+    vault.save_reports(df, str(tmp_path / "r"))
+    vault.save_reports(df.withColumn("username", F.lit("v")), str(tmp_path / "r"))
+    assert sorted((r.username, r.id) for r in vault.newest(vault.saved_reports(spark, str(tmp_path / "r")), 2).collect()) == [("u", 1), ("u", 2), ("v", 1), ("v", 2)]
+    (tmp_path / "key").write_text(key)
+    (tmp_path / "text").write_text(texts[1])
+    assert api.main(["signature", str(tmp_path / "text"), str(tmp_path / "key"), got[1]]) == 0 and api.main(["signature", str(tmp_path / "text"), str(tmp_path / "key"), got[0]]) == 1
+
+
+def test_review_flags():
+    text = "       PROGRAM-ID. FLAGS.\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       01 N PIC 9(3).\n       01 X PIC X(3).\n       PROCEDURE DIVISION.\n       P1.\n           PERFORM NOWHERE.\n           INSPECT X CONVERTING 'AB' TO 'X'.\n           COMPUTE N = FUNCTION RANDOM(1).\n"
+    reasons = [reason for _, reason, *_ in lang.facts("f", text)["issues"]]
+    assert sorted(reasons) == ["FUNCTION RANDOM isn't known", "INSPECT CONVERTING of unequal lengths", "PERFORM of NOWHERE, which isn't there"]
+    assert lang.facts("t", fixtures.TIERS)["issues"] == [] and lang.facts("f", fixtures.FREIGHT)["issues"] == []
+
+
+def test_traces_of_many_records(spark):
+    from tallyframe.plans import compile as compiler
+
+    rows = spark.createDataFrame([(1, "15"), (2, "3"), (3, "x")], "_rec bigint, q string")
+    out = compiler.traced(lang.parse_program(fixtures.TIERS), rows, {"q": "QTY"}).collect()
+    one = [r for r in out if r._rec == 1]
+    want = api.trace(fixtures.TIERS, {"QTY": "15"})
+    assert [(r.idx, r.verb, r.variable, r.new_value) for r in sorted(one, key=lambda r: r.idx)] == [(i, e["verb"], e["variable"], e["new_value"]) for i, e in enumerate(want)]
+    assert [r.error is not None for r in out if r._rec == 3] == [True] and sum(r._rec == 2 for r in out) == 2
+
+
+def test_other_routes_of_the_flagship(spark):
+    from tallyframe.plans import compile as compiler
+
+    rows = spark.createDataFrame([(i, f"{i * 7919}.{i % 100:02d}", str(i * 37 % 20000), str(i % 20), ("ST", "EX", "UR")[i % 3]) for i in range(60)], "_rec bigint, value string, weight string, zone string, service string")
+    results = [sorted(map(tuple, compiler.execute(lang.parse_program(p), rows, catalog.FREIGHT_IN, catalog.FREIGHT_OUT, route)[0].collect())) for p in (fixtures.FREIGHT, fixtures.FREIGHT_SIZED) for route in ("native", "columns", "arrow")]
+    assert results[0] == results[1] == results[2] and results[3] == results[4] == results[5]

@@ -177,3 +177,12 @@ def test_digests_in_pieces(spark, tmp_path):
     (tmp_path / "l.bin").write_bytes(b"x" * 10_000_000)
     got = {r.length: (r.sha256, r.accepted) for r in records.upload_digest(spark, str(tmp_path), most=1000, one_value=100).collect()}
     assert got == {3: (hashlib.sha256(b"abc").hexdigest(), True), 10_000_000: (hashlib.sha256(b"x" * 10_000_000).hexdigest(), False)}
+
+
+def test_numproc(spark):
+    fields = (L.Field("P", 0, 2, "comp3", 0, True),)
+    raw = spark.createDataFrame([(i, bytes.fromhex("012" + sign)) for i, sign in enumerate("ABCDEF")], "_rec bigint, raw binary")
+    free = L.decoded(raw, L.Layout("f", fields, 2)).orderBy("_rec").collect()
+    assert [int(r.P) for r in free] == [12, -12, 12, -12, 12, 12]
+    strict = L.decoded(raw, L.Layout.of_json({"fields": [{"name": "P", "start": 0, "length": 2, "type": "comp3"}], "numproc": "pfd"})).orderBy("_rec").collect()
+    assert [r.P is None for r in strict] == [True, True, False, False, True, False] and [len(r._abends) for r in strict] == [1, 1, 0, 0, 1, 0]
