@@ -186,7 +186,7 @@ def parse(data: bytes, at: int = 0) -> dict:
         elif marker == 0xDA:
             if not found["frame"]:
                 raise NotBaseline("scan before frame")
-            found["scan"] = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             end = at
             while True:
                 end = data.find(b"\xff", end)
@@ -196,8 +196,15 @@ def parse(data: bytes, at: int = 0) -> dict:
                     end += 2
                     continue
                 break
-            found["coded"] = data[at:end]
-            found["end"] = end + 2 if data[end + 1] == 0xD9 else end
+            if "scan" not in found and any(i == found["frame"][2][0][0] for i, _, _ in scan):  # the luminance's, with the tables of its time
+                found |= {"scan": scan, "coded": data[at:end], "huff": dict(found["huff"]), "quant": dict(found["quant"]), "interval_then": found["interval"]}
+                later = {k: dict(found[k]) for k in ("huff", "quant")}
+            if data[end + 1] not in (0xD8, 0xD9):  # another scan, or tables for it
+                at = end
+                continue
+            if "scan" not in found:
+                raise NotBaseline("no scan of the first component")
+            found |= later | {"interval": found.pop("interval_then"), "end": end + 2 if data[end + 1] == 0xD9 else end}
             return found
 
 
@@ -340,7 +347,7 @@ def thumbnails(medias: list[bytes | None]) -> list[tuple[list[np.ndarray], dict]
     for k, media in enumerate(medias):
         try:
             at, own = 0, []
-            while at < len(media or b"") or not own:
+            while not own or (media or b"")[at : at + 2] == b"\xff\xd8":  # what follows an image's end and begins none is padding
                 own.append(image := parse(media or b"", at))
                 at = image["end"]
             images.append(own)
@@ -425,11 +432,13 @@ def read_media(medias: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     def rows(b: dict) -> dict:
         out: dict = {k: [] for k in ("width", "height", "thumbnail", "thumbnail_hash", "n_bytes", "error")} | {id_col: b["i"]}
         for found in thumbnails(b["t"]):
+            if not isinstance(found, str) and len({t.shape[1] for t in found[0]}) > 1:
+                found = "images of several widths"
             if isinstance(found, str):
                 values = [None] * 5 + [found]
             else:
                 thumbs, image = found
-                thumb = thumbs[0] if len(thumbs) == 1 else np.concatenate([t for t in thumbs if t.shape[1] == thumbs[0].shape[1]])
+                thumb = thumbs[0] if len(thumbs) == 1 else np.concatenate(thumbs)
                 note = image["comment"].partition(b"bytes=")[2]
                 values = [image["frame"][0], image["frame"][1] if len(thumbs) == 1 else 8 * len(thumb), thumb.tobytes(), thumbnail_hash(thumb), int(note) if note.isdigit() else None, None]
             for k, v in zip(("width", "height", "thumbnail", "thumbnail_hash", "n_bytes", "error"), values, strict=True):
@@ -451,6 +460,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 raise ValueError(found)
             thumbs, image = found
             payload = b"".join(t.tobytes() for t in thumbs)
+            if len(payload) != max(1, -(-int(image["comment"].partition(b"bytes=")[2]) // 64)) * 64:
+                raise ValueError("an image of the payload is missing")
             whole = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
             out["n_bytes"].append(int(image["comment"].partition(b"bytes=")[2]))
             out["payload_bytes"].append(len(payload))

@@ -73,6 +73,25 @@ def test_general_images(interval, components):
     assert thumbs[0].ravel().tolist() == [idct_dc_only(d[0], 16) for d in dcs]
 
 
+def test_scans_of_their_own_and_padding():
+    """Each component in a scan of its own, with tables between; bytes behind the end; another image of another width."""
+    r = random.Random(7)
+    dcs = [[r.randint(-64, 63)] for _ in range(12)]
+    one = small_image(dcs, 0)
+    at = one.index(b"\xff\xc0")
+    frame = media._segment(0xC0, b"\x08\0\x11\0\x1a\x03" + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3)))
+    head, scan = one[:at] + frame + one[at + 2 + int.from_bytes(one[at + 2 : at + 4], "big") : one.index(b"\xff\xda")], one[one.index(b"\xff\xda") : -2]
+    tables = one[one.index(b"\xff\xc4") : one.index(b"\xff\xda")]
+    other = scan.replace(b"\xff\xda\0\x08\x01\x01", b"\xff\xda\0\x08\x01\x02", 1)
+    for body in (scan + tables + other, other + tables + scan, other + scan + other):
+        for tail in (b"", b"\0\0", b"x"):
+            [(thumbs, image)] = media.thumbnails([head + body + b"\xff\xd9" + tail])
+            assert thumbs[0].ravel().tolist() == [idct_dc_only(d[0], 16) for d in dcs] and image["frame"][:2] == (26, 17)
+    assert isinstance(media.thumbnails([head + other + b"\xff\xd9"])[0], str)
+    [(thumbs, _)] = media.thumbnails([media.store_all([b"abc"])[0] + one + b"\0"])
+    assert [t.shape[1] for t in thumbs] == [64, 4]
+
+
 def test_broken_media():
     good = media.store_all([b"abc"])[0]
     found = media.thumbnails([good, good[:-9], b"GIF89a", None, good])
@@ -91,4 +110,6 @@ def test_frame(spark):
     assert got[2] == got[3]
     read = {r.doc_id: r for r in media.read_media(media.store(docs)).collect()}
     assert bytes(read[1].thumbnail) == media.pad(b"hello") and (read[1].width, read[1].height, read[1].n_bytes) == (512, 8, 5)
+    wide = spark.createDataFrame([(7, bytearray(media.store_all([b"abc"])[0] + small_image([[1]] * 12, 0)))], "doc_id bigint, media binary")
+    assert media.read_media(wide).first().error == "images of several widths"
     assert media.digests(docs.limit(0)).collect() == []
