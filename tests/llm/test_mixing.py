@@ -75,3 +75,17 @@ def test_empty(spark):
     assert mixing.taken(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
     [row] = mixing.taken(docs.where("doc_id = 5").limit(1)).collect()
     assert row.taken == row.size == row.target
+
+
+def test_rows_without_ids_and_long_texts(spark):
+    """Rows without an id are taken each for itself; a text of many words; equal rows share their fate."""
+    rows = [(None, f"w{i} " * 20, "a") for i in range(400)] + [(None, "same text here", "a")] * 3 + [(i, "x " * 10, "b") for i in range(100)] + [(5000, "long " * 200_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.taken(docs).collect()
+    assert len(got) == len(rows)
+    own = [r for r in got if r.source_size == 400 * 20 + 9]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 40 and len({r.repetitions for r in own}) <= 2
+    assert len({r.repetitions for r in own if r.size == 3}) == 1
+    assert [r.size for r in got if r.doc_id == 5000] == [200_000]
+    mixed = mixing.mix(docs)
+    assert mixed.count() == sum(r.repetitions for r in got) and mixed.columns == docs.columns
