@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from tallyframe.functions.pic import parse
 from tallyframe.plans import compile as compiler
 from tallyframe.plans import fixtures, lang, portfolio, vault
 from tallyframe.plans.catalog import BAL, LAYOUT, C, balances, money, query, scaled, t
+from tallyframe.plans.scratch import folder
 from tallyframe.sources import layout as layouts
 from tallyframe.sources import records
 
@@ -218,16 +217,6 @@ def trace_events(spark, d):
 # Record files ------------------------------------------------------------------------------------------
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder for record files: below the shared checkpoint folder; a local run without one gets a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS record, c_custkey AS id, c_name AS name, {C.format('c_acctbal')} AS bal, {C.format('c_acctbal')} AS zon, {C.format('c_acctbal')} AS bin FROM customer")
 def fixed_file_scan(spark, d):
     """EBCDIC records with packed and binary fields through the ``fixedwidth`` source: written in order, read in parts and numbered."""

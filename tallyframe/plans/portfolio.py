@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import exact
 from tallyframe.plans.lang import ENDS, VERBS
+from tallyframe.plans.scratch import cut
 
 #: Statement kinds that count as construct categories.
 CATEGORIES = ("PERFORM", "COMPUTE", "IF", "EVALUATE", "MOVE", "ARITHMETIC", "STRING", "UNSTRING", "INSPECT", "SEARCH", "SORT", "CALL", "GO TO")
@@ -84,13 +85,13 @@ def perform_cycles(edges: DataFrame) -> DataFrame:
 
 
 def transitive(edges: DataFrame) -> DataFrame:
-    """``program``, ``src``, ``dst`` of all paths, by doubling: logarithmic rounds of path length. Meant for call graphs, whose
+    """``program``, ``src``, ``dst`` of all paths, by doubling: logarithmic rounds of path length, each a written table. Meant for call graphs, whose
     closure is bounded by the programs' sizes."""
-    paths = edges.select("program", "src", "dst").distinct().cache()
+    paths = cut(edges.select("program", "src", "dst").distinct(), "paths")
     n = paths.count()
     while True:
         right = paths.select("program", F.col("src").alias("dst"), F.col("dst").alias("far"))
-        paths = paths.union(paths.join(right, ["program", "dst"]).select("program", "src", F.col("far").alias("dst"))).distinct().cache()
+        paths = cut(paths.union(paths.join(right, ["program", "dst"]).select("program", "src", F.col("far").alias("dst"))).distinct(), "paths")
         m = paths.count()
         if m == n:
             return paths
@@ -131,17 +132,17 @@ def call_cycles(call: DataFrame) -> DataFrame:
 
 
 def topological(call: DataFrame, programs: DataFrame) -> DataFrame:
-    """``program``, ``depth`` (callees first; -1 on or above a cycle) and ``position`` by depth, then name."""
-    e = call.where("kind = 'STATIC'").join(programs.select(F.col("program").alias("target")), "target", "left_semi").select("program", "target").distinct().cache()
-    left, depth, out = programs.select("program").distinct().cache(), 0, None
+    """``program``, ``depth`` (callees first; -1 on or above a cycle) and ``position`` by depth, then name. A level of the graph is a written table."""
+    e = cut(call.where("kind = 'STATIC'").join(programs.select(F.col("program").alias("target")), "target", "left_semi").select("program", "target").distinct(), "calls")
+    left, depth, out = cut(programs.select("program").distinct(), "left"), 0, None
     while True:
         open_ = e.join(left.select(F.col("program").alias("target")), "target", "left_semi").select("program").distinct()
-        ready = left.join(open_, "program", "left_anti").cache()
+        ready = cut(left.join(open_, "program", "left_anti"), "level")
         if ready.isEmpty():
             break
         level = ready.select("program", F.lit(depth).alias("depth"))
         out = level if out is None else out.union(level)
-        left, depth = left.join(ready, "program", "left_anti").cache(), depth + 1
+        left, depth = cut(left.join(ready, "program", "left_anti"), "left"), depth + 1
     rest = left.select("program", F.lit(-1).alias("depth"))
     out = rest if out is None else out.union(rest)
     # A portfolio's programs: one row each, ranked over everything.
