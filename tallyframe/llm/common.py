@@ -105,13 +105,20 @@ def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]
         yield batch.slice(a, step)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow form of a schema in words (needs a session: not in tasks)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def arrow_map(df: DataFrame, schema, rows: Callable[[dict], dict | Iterable[dict]]) -> DataFrame:
     """``mapInArrow`` over slices of batches as Python columns: ``rows`` takes a dict of lists and
     returns a dict of lists with the names of ``schema`` (of any common length)."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
+    arrow = arrow_schema(schema) if isinstance(schema, str) else to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, media, mixing, quality, secrets, shards, simhash, toxicity
+from . import alignment, bpe, chat, divergence, licenses, media, mixing, packing, quality, secrets, shards, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_packing": packing.op13_packing,
 }
 ORACLES: dict[str, str] = {
     "op7_perspectives": chat.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
