@@ -19,6 +19,14 @@ DETAILS, ABENDS = 10_000, 100
 NUMBERS = "NUMBERS"
 
 
+def sided(df: DataFrame, fields: Sequence[str]) -> Column:
+    """One side's record as a struct: ``values`` (texts ``v0``, ``v1``, ... of the fields), ``abends`` and ``error``."""
+    abends = F.col("_abends") if "_abends" in df.columns else F.array().cast("array<struct<field:string,message:string,invalid_value:string>>")
+    error = F.col("_error") if "_error" in df.columns else F.lit(None).cast("string")
+    values = F.struct(*(F.col(f).cast("string").alias(f"v{k}") for k, f in enumerate(fields)))
+    return F.struct(values.alias("values"), F.transform(abends, lambda a: F.struct(a["field"].alias("field"), a["invalid_value"].alias("value"))).alias("abends"), error.alias("error"))
+
+
 def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], edited: Sequence[str] = (), keys: Sequence[str] = ("_rec",)) -> DataFrame:
     """One row for each record: ``record``, ``p_here``, ``e_here`` and ``found``, its differences (and other ``keys`` than ``_rec`` first).
 
@@ -26,14 +34,15 @@ def outcomes(produced: DataFrame, expected: DataFrame, fields: Sequence[str], ed
     one difference of field ``_record``. ``_abends`` and ``_error`` of the produced side, and ``_abends`` of the
     expected one, replace the record's fields. Per field: both null agree, one null is
     MISSING_VALUE, edited fields compare as numbers (0 without digits), numbers as numbers, all else as trimmed texts."""
+    left, right = produced.select(*keys, sided(produced, fields).alias("p")), expected.select(*keys, sided(expected, fields).alias("e"))
+    return judged(left.join(right, list(keys), "full_outer"), fields, edited, keys)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        abends = F.col("_abends") if "_abends" in df.columns else F.array().cast("array<struct<field:string,message:string,invalid_value:string>>")
-        error = F.col("_error") if "_error" in df.columns else F.lit(None).cast("string")
-        values = F.struct(*(F.col(f).cast("string").alias(f"v{k}") for k, f in enumerate(fields)))
-        return df.select(*keys, values.alias(f"{name}_values"), F.transform(abends, lambda a: F.struct(a["field"].alias("field"), a["invalid_value"].alias("value"))).alias(f"{name}_abends"), error.alias(f"{name}_error"), F.lit(True).alias(f"{name}_here"))
 
-    both = side(produced, "p").join(side(expected, "e"), list(keys), "full_outer")
+def judged(both: DataFrame, fields: Sequence[str], edited: Sequence[str] = (), keys: Sequence[str] = ("_rec",)) -> DataFrame:
+    """``outcomes`` of paired records: ``keys``, ``p`` and ``e`` (as ``sided`` makes them; null: that side is missing); no shuffle."""
+    parts = [F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "pe" for c in ("values", "abends", "error")]
+    here = [F.when(F.col(n).isNotNull(), F.lit(True)).alias(f"{n}_here") for n in "pe"]
+    both = both.select(*keys, *parts, *here)
     none = F.lit(None).cast("string")
     row = lambda field, p, e, d, a=none, b=none: F.struct(field.alias("field"), p.alias("produced_value"), e.alias("expected_value"), d.alias("difference"), a.alias("a"), b.alias("b"))
 
@@ -140,11 +149,20 @@ def diagnose(found: DataFrame, types: Mapping[str, str] | None = None) -> DataFr
     return out.withColumn("suggested_fix", F.element_at(fix, F.col("likely_cause")))
 
 
-def events(outcome: DataFrame) -> DataFrame:
-    """The feed of a run: a row for each record (``match``, ``drift``, ``error`` or ``length_mismatch``) and one ``complete``."""
+def event_of() -> Column:
+    """The event of an outcome: ``match``, ``drift``, ``error`` or ``length_mismatch``."""
     has = lambda test: F.exists("found", test)
-    event = F.when(~(F.col("p_here") & F.col("e_here")), "length_mismatch").when(has(lambda d: d["difference"].isin("S0C7_ABEND", "EXECUTION_ERROR")), "error").when(F.size("found") > 0, "drift").otherwise("match")
-    feed = outcome.select("record", event.alias("event"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda d: d["field"]))), ",").alias("message"))
+    return F.when(~(F.col("p_here") & F.col("e_here")), "length_mismatch").when(has(lambda d: d["difference"].isin("S0C7_ABEND", "EXECUTION_ERROR")), "error").when(F.size("found") > 0, "drift").otherwise("match")
+
+
+def message_of() -> Column:
+    """The fields that differ."""
+    return F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda d: d["field"]))), ",")
+
+
+def events(outcome: DataFrame) -> DataFrame:
+    """The feed of a run: a row for each record (``event_of``) and one ``complete``."""
+    feed = outcome.select("record", event_of().alias("event"), message_of().alias("message"))
     return feed.union(feed.agg(F.lit(None).cast("bigint"), F.lit("complete"), F.concat(F.count("*").cast("string"), F.lit(" records, "), F.count_if(F.col("event") != "match").cast("string"), F.lit(" different"))))
 
 
