@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tallyframe.plans import catalog_programs  # noqa: F401  adds its queries
+from tallyframe.plans import catalog_files, catalog_programs  # noqa: F401  add their queries
 from tallyframe.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

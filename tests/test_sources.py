@@ -4,6 +4,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.plans import diff
@@ -186,3 +187,71 @@ def test_numproc(spark):
     assert [int(r.P) for r in free] == [12, -12, 12, -12, 12, 12]
     strict = L.decoded(raw, L.Layout.of_json({"fields": [{"name": "P", "start": 0, "length": 2, "type": "comp3"}], "numproc": "pfd"})).orderBy("_rec").collect()
     assert [r.P is None for r in strict] == [True, True, False, False, True, False] and [len(r._abends) for r in strict] == [1, 1, 0, 0, 1, 0]
+
+
+def sequential(data: bytes, length: int) -> list[tuple[int, bytes]]:
+    out, at = [], 0
+    while at < len(data):
+        out.append((at, data[at : at + length]))
+        at += length
+        at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] in (b"\n", b"\r")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_varying_separators_are_split(spark, tmp_path, seed, monkeypatch):
+    r = random.Random(seed)
+    length = r.choice([1, 7, 30])
+    monkeypatch.setattr(records, "SPLIT", r.choice([40, 64, 200]))
+    monkeypatch.setattr(records, "PIECE", r.choice([50, 10_000]))
+    monkeypatch.setattr(records, "FAN", 4 * (length + 2))  # so runs of runs
+    files = {}
+    for name in "ab":
+        body = b"".join(bytes(r.choice(b"\n\rAZ0") for _ in range(length)) + r.choice([b"", b"", b"\n", b"\r", b"\r\n"]) for _ in range(r.randint(60, 300)))
+        files[name] = body + (b"end" if name == "a" else b"")
+        (tmp_path / name).write_bytes(files[name])
+    (tmp_path / "empty").write_bytes(b"")
+    splits = records.plan_splits(spark, str(tmp_path), length, "varying")
+    got = records.read_fixed(spark, str(tmp_path), length, "varying")
+    want = sorted((name, *x) for name, data in files.items() for x in sequential(data, length))
+    assert sorted((x.file[-1], x.offset, bytes(x.raw)) for x in got.collect()) == want
+    assert splits.count() > 10 or length == 1
+    assert [bytes(x.raw) for x in records.numbered(got).orderBy("_rec").collect()] == [raw for *_, raw in want]
+
+
+@pytest.mark.parametrize("strip", [1 << 20, 100])
+def test_exits_of_a_chunk(strip, monkeypatch):
+    monkeypatch.setattr(records, "STRIP", strip)
+    r = random.Random(5)
+    for length in (1, 3, 12):
+        data = bytes(r.choice(b"\n\rabc") for _ in range(700))
+        n = 600
+        for entry, got in enumerate(records.exits(data, length, n).tolist()):
+            at = entry
+            while at < n:
+                at += length
+                at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] in (b"\n", b"\r")
+            assert got == at - n
+
+
+def test_prefix_sums_of_many_splits(spark):
+    counts = spark.range(1_000_000, numPartitions=6).select((F.col("id") * 7919 % 1_000_003).alias("k"), (F.col("id") % 5).alias("n"))
+    got = records.prefix_sums(counts, ["k"], "n", "before")
+    wrong = got.withColumn("again", F.lag(F.col("before") + F.col("n"), 1, 0).over(Window.partitionBy(F.expr("k div 1000")).orderBy("k"))).where("again <> before AND k % 1000 > 20")
+    assert wrong.isEmpty()
+    last = got.orderBy(F.desc("k")).first()
+    assert last.before + last.n == 2_000_000 and got.count() == 1_000_000
+
+
+def test_numbers_beyond_a_leaf(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "LEAF", 5)
+    monkeypatch.setattr(records, "SPLIT", 30)
+    monkeypatch.setattr(records, "SPLITS", 20)
+    for name in "ab":
+        (tmp_path / name).write_bytes(b"".join(f"{name}{i:04d}".encode() for i in range(400)))
+    got = records.numbered(records.read_fixed(spark, str(tmp_path), 5)).orderBy("_rec").collect()
+    assert [(x._rec, bytes(x.raw)) for x in got] == [(i, f"{'ab'[i // 400]}{i % 400:04d}".encode()) for i in range(800)]
+    assert records.positions(spark.range(50, numPartitions=9), "at", 3).where("at <> id + 3").isEmpty()
+    records.register(spark)
+    source = spark.read.format("fixedwidth").option("recordLength", 5).load(str(tmp_path))
+    assert sorted(bytes(x.raw) for x in source.collect()) == sorted(bytes(x.raw) for x in got)
