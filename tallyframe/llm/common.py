@@ -79,14 +79,14 @@ def remove(spark: SparkSession, path: str) -> None:
 HOT = 10_000
 
 
-def join_known(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """The inner join of ``left`` (read twice) with ``right``, a written table of one row for each key and ``n``, the rows of ``left`` that have it. Keys of at
+def join_known(left: DataFrame, right: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """The join (``how``: inner or left) of ``left`` (read twice) with ``right``, a written table of one row for each key and ``n``, the rows of ``left`` that have it. Keys of at
     least one in ``HOT`` rows, so at most ``HOT`` keys, are sent to all executors; the others' rows are shuffled. So no key's rows meet in one task."""
     total = right.agg(F.sum(n)).first()[0] or 0
     often = F.col(n) * HOT >= total
     values = [c for c in right.columns if c not in (key, n)]
     some = left.join(F.broadcast(right.where(often).select(key, *values, F.lit(True).alias("__often"))), key, "left")
-    seldom = some.where(F.col("__often").isNull()).select(*left.columns).join(right.where(~often).select(key, *values), key)
+    seldom = some.where(F.col("__often").isNull()).select(*left.columns).join(right.where(~often).select(key, *values), key, how)
     return some.where(F.col("__often")).select(key, *(c for c in left.columns if c != key), *values).unionByName(seldom)
 
 
@@ -142,6 +142,12 @@ def remembered(key, make: Callable):
     return _held[key]
 
 
+def first_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row of each of ``keys``, with the ``text`` of the smallest hash, then smallest: tasks keep one row a key before anything is shuffled, so a key may
+    have any number of rows."""
+    return rows.groupBy(*keys).agg(F.min_by(text, F.struct(F.xxhash64(text), F.col(text))).alias(text))
+
+
 def held_out(id_col) -> F.Column:
     """Rows of the third on which models are measured and that they are never fitted on; rows without an id aren't in it."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_known, table, written
 
 #: Short forms and opening sentences by which licences are known.
 TEMPLATES = (
@@ -200,13 +200,16 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     named = written(rows.join(own, "row", "left").select("id", "path", "folder", F.when(F.col("b.score") >= least, F.col("b.license")).alias("own_license"), F.col("b.score").alias("own_score")), "owns")
     speaks = named.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILES))
     speaks = speaks.groupBy(F.col("folder").alias("above")).agg(F.min_by("own_license", F.struct(-F.col("own_score"), "path")).alias("inherited"))
-    folders = named.where(F.col("folder").isNotNull()).select("folder").distinct()
+    # a row for each directory, with its files' number: directories of many files are looked up where the files are
+    folders = written(named.where(F.col("folder").isNotNull()).groupBy("folder").agg(F.count("*").alias("n")), "folders")
     near = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).join(speaks, F.col("a.path") == F.col("above"))
-    near = near.groupBy("folder").agg(F.max_by(F.struct("inherited", "above"), "a.depth").alias("n")).select(F.col("folder").alias("f"), "n")
-    out = named.join(near, F.col("folder") == F.col("f"), "left")
+    near = near.groupBy("folder").agg(F.max_by(F.struct("inherited", "above"), "a.depth").alias("near"))
+    near = written(folders.join(near, "folder", "left"), "near")
+    none = F.lit(None).cast(near.schema["near"].dataType)
+    out = join_known(named.where(F.col("folder").isNotNull()), near, "folder").unionByName(named.where(F.col("folder").isNull()).withColumn("near", none))
     return out.select(
-        F.col("id").alias(id_col), "path", "own_license", "own_score", F.coalesce("own_license", "n.inherited").alias("license"),
-        F.when(F.col("own_license").isNotNull(), F.lit("own")).otherwise(F.col("n.above")).alias("license_from"),
+        F.col("id").alias(id_col), "path", "own_license", "own_score", F.coalesce("own_license", "near.inherited").alias("license"),
+        F.when(F.col("own_license").isNotNull(), F.lit("own")).otherwise(F.col("near.above")).alias("license_from"),
     )
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, table
+from .common import arrow_map, first_rows, held_out, table
 
 #: The base rules' least words, most percent of repeated words, window, and symbols.
 LEAST_WORDS, MOST_REPEATED, WINDOW, SYMBOLS = 20, 30, 8, "#*$%&|<>"
@@ -245,7 +245,7 @@ def content(text: str, model: dict, scores: Emissions | None = None) -> tuple[li
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> dict:
-    """Fit on at most ``fit_docs`` labelled rows outside the held-out third (chosen by a hash of the id, half of each label as far as there are), of
+    """Fit on at most ``fit_docs`` labelled rows outside the held-out third (chosen by a hash of the id, half of each label as far as there are; of rows that share an id the one whose text has the smallest hash), of
     at most ``fit_lines`` lines. The features are found where the texts are; the driver gets a number for each line."""
     rated = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("int").alias("y"))
     rows = []
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = rated.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_docs // 2)
         rows += chosen.collect()  # bounded by fit_docs
     ids = docs.sparkSession.createDataFrame(rows, "id " + docs.schema[id_col].dataType.simpleString() + ", y int")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t") != "").join(F.broadcast(ids), "id").select("y", "t")
+    texts = first_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t") != "").join(F.broadcast(ids), "id"), ["id", "y"], "t").select("y", "t")
     lines = arrow_map(texts, "y int, has array<int>", lambda b: {"y": b["y"], "has": [line_features(t)[0] for t in b["t"]]}).where(F.size("has") <= fit_lines)
     found = sorted((r.y, r.has) for r in lines.collect())
     return fit([has for _, has in found], [y for y, _ in found])

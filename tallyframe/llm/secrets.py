@@ -168,8 +168,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     docs = docs.withColumn("__version", version(F.col(id_col), F.col(text_col)))
     scanned = scan(docs, "__version", text_col, owner, repository)
     live = judged(scanned).select("row", F.filter("spans", lambda s: s["live"]).alias("__spans")).where(F.size("__spans") > 0)
-    by_id = written(scanned.select("row", F.col("id").alias("__id")).join(live, "row").dropDuplicates(["__id"]).select("__id", "__spans"), "live")
-    some, clean = split_by_ids(docs, "__version", by_id.select("__id"))  # only texts that may hold one meet the spans
+    by_id = written(scanned.select("row", F.col("id").alias("__version")).join(live, "row").groupBy("__version").agg(F.first("__spans").alias("__spans"), F.count("*").alias("n")), "live")
+    some, clean = split_by_ids(docs, "__version", by_id.select("__version"))  # only texts that may hold one meet the spans
 
     # Pieces of text between spans, from the last end to the next start; overlapping spans merge as the position only moves on.
     def piece(state, s):
@@ -180,8 +180,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     masked = F.aggregate("__spans", start, piece, lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    out = some.join(by_id, some["__version"] == by_id["__id"], "left")
-    out = out.select(*(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(masked).alias(c) if c == text_col else some[c] for c in columns))
+    out = join_known(some, by_id, "__version", how="left")
+    out = out.select(*(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(masked).alias(c) if c == text_col else F.col(c) for c in columns))
     return out.unionByName(clean.select(*columns))
 
 

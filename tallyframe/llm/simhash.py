@@ -293,7 +293,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doubtful = found.groupBy("__simhash_id").agg(F.count("*").alias("__simhash_n"), F.bool_or("keep").alias("__simhash_keep"))
     doubtful = written(doubtful.where("__simhash_n > 1 OR NOT __simhash_keep"), "doubtful")
     some, unique = split_by_ids(keyed, "__simhash_key", doubtful.select("__simhash_id"))
-    kept = some.join(doubtful, F.col("__simhash_key") == F.col("__simhash_id"), "left").where(F.coalesce("__simhash_keep", F.lit(True))).dropDuplicates(["__simhash_key"])
+    # rows of one key are equal but for other columns: tasks drop all but one before they are shuffled or joined
+    kept = some.dropDuplicates(["__simhash_key"]).join(doubtful, F.col("__simhash_key") == F.col("__simhash_id"), "left").where(F.coalesce("__simhash_keep", F.lit(True)))
     return kept.select(*docs.columns).unionByName(unique.select(*docs.columns))
 
 

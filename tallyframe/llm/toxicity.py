@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, held_out, remembered, table, written
+from .common import arrow_map, first_rows, held_out, remembered, table, written
 from .simhash import fingerprint
 
 #: Training rows at most, and the characters of the longest text among them: the bound of the fitted sample.
@@ -314,12 +314,12 @@ def without_copies(fps: np.ndarray, toxic: np.ndarray) -> list[int]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> dict:
     """Fit on at most ``fit_docs`` labelled rows outside the held-out third, of at most ``fit_chars`` characters,
-    chosen by a hash of the id. Near copies of one label count once. Texts stay on the executors; the driver gets their distinct words and,
+    chosen by a hash of the id; of rows that share an id the one whose text has the smallest hash. Near copies of one label count once. Texts stay on the executors; the driver gets their distinct words and,
     once terms are known, six numbers each."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(fit_docs)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # bounded by fit_docs
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= fit_chars).join(F.broadcast(ids), "id")
+    texts = first_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= fit_chars).join(F.broadcast(ids), "id"), ["id", "y"], "t")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def summary(b: dict) -> dict:

@@ -89,3 +89,23 @@ def test_rows_without_ids_and_long_texts(spark):
     assert [r.size for r in got if r.doc_id == 5000] == [200_000]
     mixed = mixing.mix(docs)
     assert mixed.count() == sum(r.repetitions for r in got) and mixed.columns == docs.columns
+
+
+@pytest.mark.parametrize("ids", ["one", "none", "mixed"])
+def test_copies_are_split_to_meet_targets(spark, ids):
+    """A source of copies of one text under one id (or none) meets its target within half a document, in query, SQL and mix."""
+    id_of = {"one": lambda i: 7, "none": lambda i: None, "mixed": lambda i: None if i % 2 else 7}[ids]
+    rows = [(id_of(i), "w " * 10, "a") for i in range(300)] + [(id_of(i), f"v{i % 3} " * 10, "b") for i in range(100)] + [(i, "z " * 5, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = mixing.taken(docs).collect()
+    sums: dict = {}
+    for r in got:
+        sums[r.target] = sums.get(r.target, 0) + r.taken
+        assert r.taken <= 3 * r.size
+    assert len(sums) == 3 and all(abs(n - t) <= 5 for t, n in sums.items())
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841
+    ordered = lambda found: sorted(found, key=repr)
+    assert ordered(map(tuple, got)) == ordered(map(tuple, duckdb.sql(mixing.OP10_SQL).fetchall()))
+    assert mixing.mix(docs).count() == sum(r.repetitions for r in got)

@@ -209,3 +209,16 @@ def test_automaton_is_bounded_and_ties_are_settled(monkeypatch):
         assert len(small.states) <= 50 + len(w) + 1
     tie = tox.Automaton([("abcde", False, 1.0, 1), ("abcdf", False, 2.0, 1)])
     assert tie.match("abcdx") == (2.0, 1, "abcdf")  # equally near: the heavier
+
+
+def test_fit_takes_one_row_of_a_repeated_id(spark):
+    """A labelled id may have any number of rows: the driver gets one."""
+    from tallyframe.llm.common import first_rows
+
+    docs = spark.createDataFrame([(1, f"text {i}", 1) for i in range(3000)] + [(2, "other", 0)] * 5, "id bigint, t string, y int")
+    got = first_rows(docs, ["id", "y"], "t").collect()
+    assert sorted(r.id for r in got) == [1, 2]
+    assert sorted(r.t for r in got) == sorted(r.t for r in first_rows(docs.repartition(7), ["id", "y"], "t").collect())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    many = spark.createDataFrame([(i % 40, ("you vile scumbag " if i % 2 else "a calm day ") + f"w{i}") for i in range(4000)], "doc_id bigint, text string")
+    assert tox.train(many, labels, fit_docs=10) == tox.train(many.repartition(3), labels, fit_docs=10)
