@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import exact
+from tallyframe.plans import graphs
 from tallyframe.plans.lang import ENDS, VERBS
 from tallyframe.plans.scratch import cut
+from tallyframe.sources.records import prefix_sums
 
 #: Statement kinds that count as construct categories.
 CATEGORIES = ("PERFORM", "COMPUTE", "IF", "EVALUATE", "MOVE", "ARITHMETIC", "STRING", "UNSTRING", "INSPECT", "SEARCH", "SORT", "CALL", "GO TO")
@@ -79,23 +81,10 @@ def dead_summary(dead: DataFrame) -> DataFrame:
 
 
 def perform_cycles(edges: DataFrame) -> DataFrame:
-    """Paragraphs on a cycle of PERFORM edges."""
-    performs = edges.where((F.col("kind") == "PERFORM") & F.col("src").isNotNull()).select("program", "src", "dst").distinct()
-    return transitive(performs).where("src = dst").select("program", F.col("src").alias("name"))
-
-
-def transitive(edges: DataFrame) -> DataFrame:
-    """``program``, ``src``, ``dst`` of all paths, by doubling: logarithmic rounds of path length, each a written table. Meant for call graphs, whose
-    closure is bounded by the programs' sizes."""
-    paths = cut(edges.select("program", "src", "dst").distinct(), "paths")
-    n = paths.count()
-    while True:
-        right = paths.select("program", F.col("src").alias("dst"), F.col("dst").alias("far"))
-        paths = cut(paths.union(paths.join(right, ["program", "dst"]).select("program", "src", F.col("far").alias("dst"))).distinct(), "paths")
-        m = paths.count()
-        if m == n:
-            return paths
-        n = m
+    """Paragraphs on a cycle of PERFORM edges: of all programs at once, a node is a program's paragraph."""
+    node = lambda c: F.struct("program", F.col(c).alias("name"))
+    performs = edges.where((F.col("kind") == "PERFORM") & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(node("src").alias("src"), node("dst").alias("dst"))
+    return graphs.components(performs).select("node.program", "node.name")
 
 
 # Calls --------------------------------------------------------------------------------------------------
@@ -127,26 +116,21 @@ def call_roots(call: DataFrame, programs: DataFrame) -> DataFrame:
 
 
 def call_cycles(call: DataFrame) -> DataFrame:
-    e = call.where("kind = 'STATIC'").select(F.lit("all").alias("program"), F.col("program").alias("src"), F.col("target").alias("dst"))
-    return transitive(e).where("src = dst").select(F.col("src").alias("program")).distinct()
+    """Programs on a cycle of static calls."""
+    return graphs.components(call.where("kind = 'STATIC'").select(F.col("program").alias("src"), F.col("target").alias("dst"))).select(F.col("node").alias("program"))
 
 
 def topological(call: DataFrame, programs: DataFrame) -> DataFrame:
     """``program``, ``depth`` (callees first; -1 on or above a cycle) and ``position`` by depth, then name. A level of the graph is a written table."""
-    e = cut(call.where("kind = 'STATIC'").join(programs.select(F.col("program").alias("target")), "target", "left_semi").select("program", "target").distinct(), "calls")
-    left, depth, out = cut(programs.select("program").distinct(), "left"), 0, None
-    while True:
-        open_ = e.join(left.select(F.col("program").alias("target")), "target", "left_semi").select("program").distinct()
-        ready = cut(left.join(open_, "program", "left_anti"), "level")
-        if ready.isEmpty():
-            break
-        level = ready.select("program", F.lit(depth).alias("depth"))
-        out = level if out is None else out.union(level)
-        left, depth = cut(left.join(ready, "program", "left_anti"), "left"), depth + 1
-    rest = left.select("program", F.lit(-1).alias("depth"))
-    out = rest if out is None else out.union(rest)
-    # A portfolio's programs: one row each, ranked over everything.
-    return out.withColumn("position", F.row_number().over(Window.orderBy(F.col("depth") < 0, "depth", "program")))
+    found = graphs.levels(call.where("kind = 'STATIC'").select(F.col("program").alias("src"), F.col("target").alias("dst")), programs.select(F.col("program").alias("node")))
+    ranked = cut(found.select(F.col("node").alias("program"), F.col("level").alias("depth"), (F.col("level") < 0).alias("last"), F.lit(1).cast("bigint").alias("one")), "ranked")
+    return prefix_sums(ranked, ["last", "depth", "program"], "one", "before").select("program", "depth", (F.col("before") + 1).cast("int").alias("position"))
+
+
+def call_order(call: DataFrame, programs: DataFrame) -> DataFrame:
+    """``program``, ``rank``, ``position``: callees before callers; programs on or below a cycle come first."""
+    found = graphs.callees_first(call.where("kind = 'STATIC'").select(F.col("program").alias("src"), F.col("target").alias("dst")), programs.select(F.col("program").alias("node")))
+    return found.withColumnRenamed("node", "program")
 
 
 def parameters(call: DataFrame, linkage: DataFrame) -> DataFrame:
