@@ -105,3 +105,113 @@ def cut(number: Column, ints: int, decs: int) -> Column:
     """A canonical number as a decimal of the last ``ints`` integer digits and the first ``decs`` decimals: cut, never rounded."""
     text = F.concat(F.when(number.startswith("-"), "-").otherwise(""), F.right(whole_of(number), F.lit(ints)), F.lit("."), F.left(fraction_of(number), F.lit(decs)), F.lit("0"))
     return text.try_cast(f"decimal({min(38, ints + decs)},{decs})")
+
+
+# Products and quotients: digits in limbs ----------------------------------------------------------------
+
+#: Digits of a limb; products of two limbs and sums of thousands of them fit 64 bits.
+LIMB = 7
+#: Digits of a divisor: a remainder and a next digit must fit the widest decimal.
+DIVISOR = 37
+
+
+def less(a: Column, b: Column) -> Column:
+    """Whether a < b, of canonical numbers."""
+    size = lambda x: F.struct(F.length(whole_of(x)), whole_of(x), fraction_of(x))
+    minus = lambda x: x.startswith("-")
+    return F.when(minus(a) != minus(b), minus(a)).when(minus(a), size(b) < size(a)).otherwise(size(a) < size(b))
+
+
+def minus(a: Column, b: Column) -> Column:
+    """a - b of canonical numbers, canonical."""
+    return _let(F.struct(difference(a, b).alias("size"), less(a, b).alias("less")), lambda x: F.when(x["less"], negated(x["size"])).otherwise(x["size"]))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return minus(a, negated(b))
+
+
+def _digits(number: Column) -> Column:
+    return F.concat(whole_of(number), fraction_of(number))
+
+
+def _signed(negative: Column, digits: Column, decs: Column) -> Column:
+    """The canonical number of ``digits`` of which the last ``decs`` are decimals."""
+
+    def placed(d: Column) -> Column:
+        padded = F.lpad(d, F.greatest(F.length(d), decs + 1), F.lit("0"))
+        return _let(padded, lambda p: _tidy(F.concat(F.when(negative, "-").otherwise(""), F.left(p, F.length(p) - decs), F.lit("."), F.right(p, decs))))
+
+    return _let(digits, placed)
+
+
+def product(a: Column, b: Column) -> Column:
+    """a * b of canonical numbers, canonical: the schoolbook product of limbs, then one pass of carries."""
+
+    def limbs(number: Column) -> Column:
+        def cut_up(d: Column) -> Column:
+            n = F.ceil(F.length(d) / LIMB).cast("int")
+            padded = F.lpad(d, n * LIMB, F.lit("0"))
+            return F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda k: F.substring(padded, k * LIMB + 1, F.lit(LIMB)).cast("bigint"))
+
+        return _let(_digits(number), cut_up)
+
+    def multiplied(x: Column) -> Column:
+        p, q = x["p"], x["q"]
+        n, m = F.size(p), F.size(q)
+
+        def column(k: Column) -> Column:
+            first, last = F.greatest(F.lit(0), k - m + 1), F.least(k, n - 1)
+            pairs = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda total, i: total + F.get(p, i) * F.get(q, k - i))
+
+        unit = F.lit(10**LIMB).cast("bigint")
+
+        def carried(state: Column, v: Column) -> Column:
+            return _let(v + state["carry"], lambda s: F.struct(F.concat(F.lpad((s % unit).cast("string"), LIMB, "0"), state["text"]).alias("text"), F.floor(s / unit).cast("bigint").alias("carry")))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("carry"))
+        sums = F.transform(F.sequence(F.lit(0), n + m - 1), column)  # the last one takes the last carry
+        return F.aggregate(sums, start, carried, lambda s: s["text"])
+
+    digits = _let(F.struct(limbs(a).alias("p"), limbs(b).alias("q")), multiplied)
+    return _signed(a.startswith("-") != b.startswith("-"), digits, F.length(fraction_of(a)) + F.length(fraction_of(b)))
+
+
+def quotient(a: Column, b: Column, scale: int) -> Column:
+    """a / b of canonical numbers toward zero at ``scale`` decimals, canonical; null for a division by zero. Long division, up to six digits a step; a
+    divisor of more than ``DIVISOR`` digits is an error."""
+
+    def divided(x: Column) -> Column:
+        shift = F.lit(scale) + F.length(fraction_of(b)) - F.length(fraction_of(a))
+        whole = _digits(a)
+        # further decimals of the dividend can't change a quotient that is cut
+        digits = F.when(shift >= 0, F.concat(whole, F.repeat(F.lit("0"), shift))).otherwise(F.left(whole, F.greatest(F.lit(0), F.length(whole) + shift)))
+        width = F.least(F.lit(6), F.lit(DIVISOR + 1) - F.length(x["divisor"]))
+        return _let(F.struct(digits.alias("digits"), width.alias("width"), x["divisor"].cast("decimal(38,0)").alias("by")), walked)
+
+    def walked(x: Column) -> Column:
+        n = F.ceil(F.length(x["digits"]) / x["width"]).cast("int")
+        padded = F.lpad(x["digits"], n * x["width"], F.lit("0"))
+        zero = F.lit(0).cast("decimal(38,0)")
+
+        def step(state: Column, k: Column) -> Column:
+            value = F.concat(state["rest"].cast("string"), F.substring(padded, k * x["width"] + 1, x["width"])).cast("decimal(38,0)")
+            return _let(value, lambda v: F.struct(F.concat(state["text"], F.lpad(((v - v % x["by"]) / x["by"]).cast("bigint").cast("string"), x["width"], F.lit("0"))).alias("text"), (v % x["by"]).cast("decimal(38,0)").alias("rest")))
+
+        start = F.struct(F.lit("").alias("text"), zero.alias("rest"))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), start, step, lambda s: s["text"])).otherwise("0")
+
+    divisor = F.regexp_replace(_digits(b), "^0+(?=.)", "")
+    text = _let(F.struct(divisor.alias("divisor")), divided)
+    told = F.when(F.length(divisor) > DIVISOR, F.raise_error(F.lit(f"a divisor of more than {DIVISOR} digits"))).otherwise(text)
+    return F.when(b != "0", _signed(a.startswith("-") != b.startswith("-"), told, F.lit(scale)))
+
+
+def narrowed(number: Column, ints: int, decs: int) -> Column:
+    """A canonical number as a decimal for a field of ``ints`` integer digits: its first ``decs`` decimals and last ``ints`` integer digits, with a one before them where
+    it has more, so it overflows as the number does."""
+    whole = whole_of(number)
+    low = F.when(F.length(whole) > ints, F.concat(F.lit("1"), F.right(whole, F.lit(ints)))).otherwise(whole)
+    text = F.concat(F.when(number.startswith("-"), "-").otherwise(""), low, F.lit("."), F.rpad(F.left(fraction_of(number), F.lit(decs)), max(decs, 1), "0"))
+    return text.cast(f"decimal({min(38, ints + 1 + decs)},{decs})")

@@ -37,7 +37,8 @@ def rounded(x: Column, scale: int) -> Column:
     return F.round(x, scale)
 
 
-def _kept_whole(pic: Pic, conf: CobolConf) -> bool:
+def kept_whole(pic: Pic, conf: CobolConf) -> bool:
+    """Whether a binary field keeps what its bytes hold, not its picture's digits."""
     return conf.trunc == "OPT" or pic.usage == "COMP-5" or (pic.usage == "COMP" and conf.trunc == "BIN")
 
 
@@ -48,7 +49,7 @@ def store(x: Column, pic: Pic, conf: CobolConf = DEFAULT) -> Column:
     t = truncated(x, pic.dec_digits)
     if not pic.signed:
         t = F.abs(t)
-    if _kept_whole(pic, conf):
+    if kept_whole(pic, conf):
         return t.cast(f"decimal({min(38, 20 + pic.dec_digits)},{pic.dec_digits})")
     t = t % dec(10**pic.int_digits)
     return t.cast(f"decimal({min(38, max(1, pic.digits))},{pic.dec_digits})")

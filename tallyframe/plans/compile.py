@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import codecs, edited, exact, predicates, strings
 from tallyframe.functions.pic import Pic
-from tallyframe.functions.store import dec, decimal_of, divided, rounded, size_error, store
+from tallyframe.functions.store import dec, decimal_of, divided, kept_whole, rounded, size_error, store
 from tallyframe.plans import interp
 from tallyframe.plans.columns import Columns, NotColumns
 from tallyframe.plans.lang import Program
@@ -136,14 +136,37 @@ class Compiler:
             return out
         raise NotNative(f"expression {k} {e[1] if len(e) > 1 else ''}")
 
-    def stored_value(self, e, scale: int) -> Column:
-        """An expression for a field of ``scale`` decimals: a quotient on top is truncated there; null for a division by zero."""
+    def stored_value(self, e, scale: int, pic: Pic) -> Column:
+        """An expression for the field ``pic``, with ``scale`` decimals: a quotient on top is truncated there; null for a division by zero. What needs more than 38 digits is
+        worked out in limbs and narrowed to what the field can show of it; binary fields that keep the whole value can't have that."""
+        try:
+            if e[0] == "bin" and e[1] == "/":
+                a, b = self.number(e[2]), self.number(e[3])
+                if a.ints + a.decs + max(0, scale + b.decs - a.decs) > 32 or b.ints + b.decs + max(0, a.decs - scale - b.decs) > 36:
+                    raise NotNative("a quotient above 38 digits")
+                return divided(a.col.cast(a.kind), a.decs, b.col.cast(b.kind), b.decs, scale)
+            return self.number(e).col
+        except NotNative as reason:
+            if "above 38 digits" not in str(reason) or kept_whole(pic, self.conf) or pic.kind == "float" or pic.int_digits + 1 + scale > 38:
+                raise
         if e[0] == "bin" and e[1] == "/":
-            a, b = self.number(e[2]), self.number(e[3])
-            if a.ints + a.decs + max(0, scale + b.decs - a.decs) > 36 or b.ints + b.decs + max(0, a.decs - scale - b.decs) > 36:
-                raise NotNative("a quotient above 38 digits")
-            return divided(a.col.cast(a.kind), a.decs, b.col.cast(b.kind), b.decs, scale)
-        return self.number(e).col
+            value = exact.quotient(self.wide(e[2]), self.wide(e[3], exact.DIVISOR), scale)
+        else:
+            value = self.wide(e)
+        return exact.narrowed(F.col(self._new("wide", value)), pic.int_digits, scale)
+
+    def wide(self, e, most: int = 0) -> Column:
+        """A sum or product of any number of digits, as a column of canonical texts; ``most``: an operand must have no more."""
+        if not most and e[0] == "bin" and e[1] in "+-*":
+            value = {"+": exact.plus, "-": exact.minus, "*": exact.product}[e[1]](self.wide(e[2]), self.wide(e[3]))
+        elif not most and e[0] == "neg":
+            value = exact.negated(self.wide(e[1]))
+        else:
+            n = self.number(e)
+            if most and n.ints + n.decs > most:
+                raise NotNative("a divisor of too many digits")
+            value = exact.canonical(n.col.cast("string"))
+        return F.col(self._new("wide", value))
 
     def text(self, e) -> Column:
         k = e[0]
@@ -303,7 +326,7 @@ class Compiler:
             self._under(~bad, s.get("not_size_error", []))
 
     def c_compute(self, s):
-        values = [(v, self.stored_value(s["value"], self.pic(v[1]).dec_digits + r), r) for v, r in s["targets"]]
+        values = [(v, self.stored_value(s["value"], self.pic(v[1]).dec_digits + r, self.pic(v[1])), r) for v, r in s["targets"]]
         self._handlers(s, [f for f in (self._finish(s, *x) for x in values) if f is not None])
 
     def c_arithmetic(self, s):
@@ -318,11 +341,11 @@ class Compiler:
                     e = ("bin", op, e, x)
             else:
                 e = ("bin", op, v, total if op in "+-" else values[0])
-            flags.append(self._finish(s, v, self.stored_value(e, self.pic(v[1]).dec_digits + r), r))
+            flags.append(self._finish(s, v, self.stored_value(e, self.pic(v[1]).dec_digits + r, self.pic(v[1])), r))
         if s.get("remainder"):
             pic = self.pic(s["targets"][0][0][1])
             a, b = self.number(values[0]), self.number(values[1])
-            q = self.stored_value(("bin", "/", *values), pic.dec_digits)
+            q = self.stored_value(("bin", "/", *values), pic.dec_digits, pic)
             target = self.pic(s["remainder"][1])
             if not self.guard_free(s):
                 raise NotNative("remainder")
