@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, filterfalse
 
 #: Parts that are remembered at once, and their characters.
 ENTRIES, CHARS = 500_000, 16_000_000
@@ -29,10 +29,9 @@ class Memo(dict):
     def learn(self, split: list[list[str]]) -> None:
         """Everything that these texts' parts need is there afterwards; what was there before may go, when the memo is full."""
         wanted = set(chain.from_iterable(split))
-        new = wanted.difference(self)
+        new = list(filterfalse(self.__contains__, wanted))
         if len(self) + len(new) > ENTRIES or self.chars > CHARS:
             self.clear()
-            self.chars, new = 0, wanted
-        new = list(new)
+            self.chars, new = 0, list(wanted)
         self.chars += sum(map(len, new))
         self.update(zip(new, self.make(new), strict=True))
