@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe.functions import ebcdic
 from tallyframe.plans.catalog import cents, query, t
 from tallyframe.plans.scratch import folder
 from tallyframe.sources import layout as layouts
@@ -40,3 +41,18 @@ def varying_file_scan(spark, d):
     path = folder(spark, "uneven")
     records.write_fixed(t(spark, d, "part").select(key.alias("_rec"), F.encode(raw, "US-ASCII").alias("raw")), path)
     return records.scan(spark, path, UNEVEN, "varying").select(F.col("_rec").alias("record"), F.col("KEY").cast("bigint").alias("key"), F.rtrim("NAME").alias("name"))
+
+
+PAGES = layouts.Layout("pages", (layouts.Field("KEY", 0, 8, "integer"), layouts.Field("NAME", 8, 30)), 38, codepage="auto")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey % 3, c_custkey) - 1 AS record, c_custkey AS key, '[' || c_name || ']' AS name FROM customer")
+def codepage_scan(spark, d):
+    """Files of three code pages in one scan: ASCII, cp037 and cp1047, told apart by their bytes."""
+    path, key = folder(spark, "pages"), F.col("c_custkey")
+    text = F.concat(F.lpad(key.cast("string"), 8, "0"), F.rpad(F.concat(F.lit("["), "c_name", F.lit("]")), 30, " "))
+    rows = t(spark, d, "customer").withColumn("text", text)
+    for k, raw in enumerate((F.encode("text", "ISO-8859-1"), ebcdic.encode(F.col("text"), "cp037"), ebcdic.encode(F.col("text"), "cp1047"))):
+        records.write_fixed(rows.where(key % 3 == k).select(key.alias("_rec"), raw.alias("raw")), f"{path}/{k}")
+    out = records.scan(spark, f"{path}/*", PAGES)
+    return out.select(F.col("_rec").alias("record"), F.col("KEY").cast("bigint").alias("key"), F.rtrim("NAME").alias("name"))

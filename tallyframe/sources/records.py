@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tallyframe.plans.scratch import cut
-from tallyframe.sources.layout import Layout, decoded, detect_codepage
+from tallyframe.sources.layout import Layout, decoded
 
 SPLIT, PIECE = 32 << 20, 4 << 20
 PROBES = 1000
@@ -347,9 +347,10 @@ def _based(placed: DataFrame, split: list[str], place: str, name: str, first: in
     return placed.join(small, split, "left").withColumn(name, n).drop("__n", "__base")
 
 
-def numbered(records: DataFrame) -> DataFrame:
-    """``raw`` and its dense number ``_rec``, in the order of files' names and of places in a file. Records know their split (``file`` and ``block``)
+def numbered(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``raw``, its dense number ``_rec`` and ``keep``, in the order of files' names and of places in a file. Records know their split (``file`` and ``block``)
     and come in order within it; splits are counted and summed up."""
+    given = records.select("file", "block", "raw", *keep)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
@@ -358,19 +359,37 @@ def numbered(records: DataFrame) -> DataFrame:
             for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 out[i] = k = seen.get(key, 0)
                 seen[key] = k + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=["file", "block", "raw", "__place"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "__place"])
 
-    placed = records.select("file", "block", "raw").mapInArrow(place, "file string, block bigint, raw binary, __place bigint")
-    return _based(placed, ["file", "block"], "__place", "_rec").select("raw", "_rec")
+    placed = given.mapInArrow(place, T.StructType([*given.schema.fields, T.StructField("__place", T.LongType())]))
+    return _based(placed, ["file", "block"], "__place", "_rec").select("raw", "_rec", *keep)
+
+
+def codepages(records: DataFrame, layout: Layout) -> DataFrame:
+    """``file`` and ``codepage`` (null: ASCII) of each file, by all its bytes in text fields, counted by class where the records are: EBCDIC if over 30 % are above x'7F';
+    then cp1047 if its square brackets (xAD, xBD) are more than those of cp037 (xBA, xBB)."""
+    own = F.decode(F.concat(F.lit(b""), *(F.substring("raw", f.start + 1, f.length) for f in layout.fields if f.type == "string")), "ISO-8859-1")
+    n = lambda chars: F.sum(F.length(F.regexp_replace("own", f"[^{chars}]", "")))
+    sums = records.select("file", own.alias("own")).groupBy("file").agg(F.sum(F.length("own")).alias("bytes"), n(r"\x80-\xFF").alias("high"), n(r"\xAD\xBD").alias("later"), n(r"\xBA\xBB").alias("earlier"))
+    page = F.when(F.col("high") > 0.3 * F.col("bytes"), F.when(F.col("later") > F.col("earlier"), "cp1047").otherwise("cp037"))
+    return sums.select("file", page.alias("codepage"))
 
 
 def scan(spark: SparkSession, path: str, layout: Layout, separator: str = "auto") -> DataFrame:
-    """A record file as the layout's columns: fixed-length if it has a record length, else lines."""
+    """A record file as the layout's columns: fixed-length if it has a record length, else lines. With the code page ``auto`` each file has its own (``codepages``)."""
     records = read_fixed(spark, path, layout.record_length, separator) if layout.record_length else read_lines(spark, path)
-    if layout.codepage == "auto":
-        first = records.select("raw").first()
-        layout = replace(layout, codepage=detect_codepage(bytes(first.raw) if first else b"", layout.fields))
-    return decoded(numbered(without_blanks(records, layout.codepage)), layout)
+    if layout.codepage != "auto":
+        return decoded(numbered(without_blanks(records, layout.codepage)), layout)
+    pages = cut(codepages(records, layout), "pages")
+    if pages.count() > 2 * SPLITS:
+        raise ValueError(f"more than {2 * SPLITS} files: name their code page, or scan them in parts")
+    space = F.when(F.col("codepage").isNull(), " ").otherwise("\x40")
+    kept = records.join(F.broadcast(pages), "file").where(F.trim(F.replace(F.decode("raw", "ISO-8859-1"), space, F.lit(" "))) != "")
+    known, out = numbered(kept, ("codepage",)), None
+    for (page,) in pages.select("codepage").distinct().collect() or [(None,)]:  # three at most
+        part = decoded(known.where(F.col("codepage").eqNullSafe(F.lit(page))).select("raw", "_rec"), replace(layout, codepage=page))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def write_fixed(records: DataFrame, path: str, separator: str = "") -> None:

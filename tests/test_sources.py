@@ -255,3 +255,22 @@ def test_numbers_beyond_a_leaf(spark, tmp_path, monkeypatch):
     records.register(spark)
     source = spark.read.format("fixedwidth").option("recordLength", 5).load(str(tmp_path))
     assert sorted(bytes(x.raw) for x in source.collect()) == sorted(bytes(x.raw) for x in got)
+
+
+def test_code_pages_by_file(spark, tmp_path):
+    """Files of several code pages in one folder; blank records are those of their own page; a file's first record decides nothing."""
+    lay = L.Layout("c", (L.Field("N", 0, 3, "integer"), L.Field("T", 3, 9)), 12, codepage="auto")
+    from tallyframe.functions import ebcdic
+
+    def encoded(text, page):
+        return text.encode("latin-1") if page is None else bytes(ebcdic.page(page).index(c) for c in text)
+
+    for name, page in (("a", None), ("b", "cp037"), ("c", "cp1047"), ("d", None)):
+        rows = [f"{i:03d}{'[x] ' + name + ('é' if i < 2 else 'abc'):<9}" for i in range(20)]
+        blank = encoded(" " * 12, page)
+        (tmp_path / name).write_bytes(blank + b"".join(encoded(r, page) for r in rows[:10]) + blank + b"".join(encoded(r, page) for r in rows[10:]))
+    (tmp_path / "e").write_bytes(b"@" * 12 + b"1234567890ab")  # no blanks in ASCII
+    got = records.scan(spark, str(tmp_path), lay).orderBy("_rec").collect()
+    want = [(20 * k + i, f"[x] {name}{'é' if i < 2 else 'abc'}") for k, name in enumerate("abcd") for i in range(20)] + [(80, "@" * 9), (81, "4567890ab")]
+    assert [(x._rec, x.T.rstrip()) for x in got] == want
+    assert records.scan(spark, str(tmp_path / "e"), L.Layout("n", (L.Field("N", 0, 12, "integer"),), 12, codepage="auto")).count() == 2
