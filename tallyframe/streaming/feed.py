@@ -137,7 +137,8 @@ def _feed(pairs: DataFrame, fields: Sequence[str], edited: Sequence[str]) -> Dat
 
 def verify_stream(produced: DataFrame, expected: DataFrame, fields: Sequence[str], out: str, checkpoint: str, wait: float = 3600, edited: Sequence[str] = (), block: int = BLOCK, every: str = "10 seconds", tick: float = TICK) -> StreamingQuery:
     """Run two streams against each other; the feed (``FEED``) is appended to ``out``, each event once, also over restarts from ``checkpoint``.
-    A record whose other side has not come ``wait`` seconds after it is a ``length_mismatch`` with its ``side``, and leaves the state. Blocks that wait are looked at every ``tick`` seconds at least, so another ``wait`` after a restart holds for them, too."""
+    A record whose other side has not come ``wait`` seconds after it is a ``length_mismatch`` with its ``side``, and leaves the state. Blocks that wait are looked at every ``tick`` seconds at least, so another ``wait`` after a restart holds for them, too. After a restart
+    Spark makes its first batch, and so looks at timers, when something new arrives."""
     feed = _feed(paired(produced, expected, fields, max(1, int(wait * 1000)), block, max(1, int(tick * 1000))), fields, edited)
     return feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
