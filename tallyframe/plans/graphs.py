@@ -15,7 +15,7 @@ from tallyframe.sources.records import prefix_sums
 TRIMS = 3
 
 
-class _Pile:
+class Pile:
     """Rows that rounds add, one table in the end."""
 
     def __init__(self, df: DataFrame, label: str):
@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     that have a colour, the ones from which its node can be reached are its component, and leave the graph."""
     every = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     own = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    found = _Pile(own.limit(0), "components")
+    found = Pile(own.limit(0), "components")
     left = cut(every.where("src <> dst"), "edges")
     while True:
         n = left.count()
@@ -81,7 +81,7 @@ def _backward(edges: DataFrame, colours: DataFrame) -> DataFrame:
     source, target = (colours.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst"))
     inside = cut(edges.join(source, "src").join(target, "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")), "inside")
     front = cut(colours.where("node = colour"), "front")
-    reached = _Pile(front, "reached")
+    reached = Pile(front, "reached")
     while not front.isEmpty():
         front = cut(inside.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour").distinct().join(reached.read().select("node"), "node", "left_anti"), "front")
         reached.add(front)
@@ -93,7 +93,7 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     (an edge to itself is one) or above one. Edges to or from other nodes don't count."""
     e = cut(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst").distinct(), "edges")
     left, level = cut(nodes.select("node").distinct(), "left"), 0
-    out = _Pile(left.select("node", F.lit(0).alias("level")).limit(0), "levels")
+    out = Pile(left.select("node", F.lit(0).alias("level")).limit(0), "levels")
     while True:
         ready = cut(left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti"), "ready")
         if ready.isEmpty():

@@ -14,7 +14,7 @@ from decimal import Decimal
 
 from tallyframe.conf import CobolConf, detect
 from tallyframe.functions.pic import PictureError, parse
-from tallyframe.sources.layout import Item
+from tallyframe.sources.layout import Item, LayoutError, place
 
 
 class SourceError(ValueError):
@@ -47,12 +47,30 @@ def cleaned(source: str) -> str:
     return "\n".join(re.sub(r"\*>.*$", "", x) for x in out)
 
 
+#: A COPY statement: member, library, REPLACING clause.
+COPY = re.compile(r"(?is)\bCOPY\s+([\w-]+|'[^']+'|\"[^\"]+\")(?:\s+(?:OF|IN)\s+([\w-]+))?(?:\s+REPLACING\s+(.*?))?\s*\.(?=\s|$)")
+
+
+def member_name(written: str) -> str:
+    return written.strip("'\"").upper()
+
+
+def replaced(text: str, clause: str | None) -> str:
+    """``text`` after the replacements of a REPLACING clause, in turn: whole words, pseudo-text, LEADING and TRAILING parts."""
+    for r in re.finditer(r"(?is)(LEADING\s+|TRAILING\s+)?(?:==(.*?)==|([\w:()-]+|'[^']*'|\"[^\"]*\"))\s+BY\s+(?:==(.*?)==|([\w:()-]+|'[^']*'|\"[^\"]*\"))", clause or ""):
+        side, old, new = (r[1] or "").strip().upper(), (r[2] if r[2] is not None else r[3]).strip(), (r[4] if r[4] is not None else r[5] or "").strip()
+        before = r"(?<![\w-])" if re.match(r"[\w-]", old) and side != "TRAILING" else ""
+        after = r"(?![\w-])" if re.search(r"[\w-]$", old) and side != "LEADING" else ""
+        text = re.sub(before + re.escape(old) + after, lambda _, new=new: new, text, flags=re.I)
+    return text
+
+
 def expand_copies(source: str, library: Mapping[str, str], depth: int = 10, seen: tuple[str, ...] = ()) -> tuple[str, list[tuple[str, str]]]:
-    """COPY members put in, with REPLACING (whole words, pseudo-text, LEADING and TRAILING parts); issues are ``(member, reason)``."""
+    """COPY members put in, with REPLACING; issues are ``(member, reason)``. A library that is a table is for ``copies.expand``."""
     issues: list[tuple[str, str]] = []
 
     def member(m: re.Match) -> str:
-        name = m[1].strip("'\"").upper()
+        name = member_name(m[1])
         if name in seen:
             issues.append((name, "cycle"))
             return ""
@@ -63,19 +81,11 @@ def expand_copies(source: str, library: Mapping[str, str], depth: int = 10, seen
         if text is None:
             issues.append((name, "not found"))
             return ""
-        text = cleaned(text)
-        for r in re.finditer(r"(?is)(LEADING\s+|TRAILING\s+)?(?:==(.*?)==|([\w:()-]+|'[^']*'|\"[^\"]*\"))\s+BY\s+(?:==(.*?)==|([\w:()-]+|'[^']*'|\"[^\"]*\"))", m[2] or ""):
-            side, old, new = (r[1] or "").strip().upper(), (r[2] if r[2] is not None else r[3]).strip(), (r[4] if r[4] is not None else r[5] or "").strip()
-            before = r"(?<![\w-])" if re.match(r"[\w-]", old) and side != "TRAILING" else ""
-            after = r"(?![\w-])" if re.search(r"[\w-]$", old) and side != "LEADING" else ""
-            pattern = before + re.escape(old) + after
-            text = re.sub(pattern, lambda _, new=new: new, text, flags=re.I)
-        text, more = expand_copies(text, library, depth - 1, (*seen, name))
+        text, more = expand_copies(replaced(cleaned(text), m[3]), library, depth - 1, (*seen, name))
         issues.extend(more)
         return text
 
-    out = re.sub(r"(?is)\bCOPY\s+([\w-]+|'[^']+'|\"[^\"]+\")(?:\s+(?:OF|IN)\s+[\w-]+)?(?:\s+REPLACING\s+(.*?))?\s*\.(?=\s|$)", member, source)
-    return out, issues
+    return COPY.sub(member, source), issues
 
 
 TOKEN = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|[XxZzNn]'[^']*'|\d+[A-Za-z-][\w-]*|[+-]?\d*\.\d+|\d+|[A-Za-z][\w-]*|\*\*|<=|>=|<>|[().,:=<>+\-*/;&]|\S""")
@@ -1162,7 +1172,7 @@ def review(program: Program) -> list[tuple[str, str, str]]:
 
 def facts(name: str, source: str, library: Mapping[str, str] | None = None) -> dict[str, list[tuple]]:
     """Rows for the portfolio tables; a source that can't be read gives one row in ``errors`` and no others."""
-    out: dict[str, list[tuple]] = {k: [] for k in ("programs", "statements", "variables", "edges", "paragraphs", "blocks", "linkage", "copies", "computes", "issues", "errors")}
+    out: dict[str, list[tuple]] = {k: [] for k in ("programs", "statements", "variables", "edges", "paragraphs", "blocks", "linkage", "copies", "computes", "issues", "errors", "storage", "moves")}
     try:
         p = parse_program(source, library)
     except (SourceError, PictureError, ValueError, RecursionError, IndexError, KeyError, AttributeError) as e:
@@ -1192,6 +1202,9 @@ def facts(name: str, source: str, library: Mapping[str, str] | None = None) -> d
             simple = lambda x: x[1] if x[0] == "var" else str(x[1]) if x[0] == "num" else None
             op, a, b = (e[1], simple(e[2]), simple(e[3])) if e[0] == "bin" else ("=", simple(e), None)
             out["computes"].append((p.name, k, s["targets"][0][0][1], op if a and (b or op == "=") and op != "**" else "?", a, b))
+        elif kind == "MOVE" and s["value"][0] == "var":
+            plain = lambda v: not v[2] and v[3] is None
+            out["moves"] += [(p.name, k, s["line"], s["value"][1], v[1], plain(s["value"]) and plain(v)) for v in s["targets"]]
     for item in p.items + p.linkage:
         for x in _every(item):
             if x.pic:
@@ -1200,6 +1213,27 @@ def facts(name: str, source: str, library: Mapping[str, str] | None = None) -> d
     out["linkage"] = [(p.name, k, n) for k, n in enumerate(p.using)]
     out["copies"] = [(p.name, m, why) for m, why in p.copy_issues]
     out["issues"] = [(p.name, *i) for i in p.issues]
+    try:
+        out["storage"] = [(p.name, k, *x) for k, x in enumerate([*_storage("WORKING", p.items), *_storage("LINKAGE", p.linkage)])]
+    except LayoutError as e:
+        out["issues"].append((p.name, str(e), "Define the redefined item before, on the same level.", "HIGH"))
+    return out
+
+
+def _storage(section: str, items: list[Item]) -> list[tuple]:
+    """``(region, name, offset, length, kind, leaf, redefines)`` of all items. A table of groups is one range of its region, and a region of its own (its first occurrence) for what is inside."""
+    out: list[tuple] = []
+
+    def add(item: Item, region: str, base: int) -> None:
+        table = bool(item.children) and item.occurs > 1
+        kind = ("number" if item.pic.is_number or item.pic.kind == "float" else "text") if item.pic else "group"
+        out.append((region, item.name, item.offset - base, item.length, kind, table or not item.children, item.redefines))
+        for c in item.children:
+            add(c, *((f"{region}/{item.name}@{item.offset - base}", item.offset) if table else (region, base)))
+
+    place(items)
+    for item in items:
+        add(item, section, 0)
     return out
 
 
@@ -1222,6 +1256,8 @@ TABLES = {
     "computes": "program string, seq int, target string, op string, left string, right string",
     "issues": "program string, reason string, recommendation string, severity string",
     "errors": "program string, error string",
+    "storage": "program string, seq int, region string, name string, offset int, length int, kind string, leaf boolean, redefines string",
+    "moves": "program string, seq int, line int, source string, target string, whole boolean",
 }
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tallyframe.plans import catalog_files, catalog_graphs, catalog_programs, catalog_rows, catalog_vault, catalog_wide  # noqa: F401  add their queries
+from tallyframe.plans import catalog_copies, catalog_files, catalog_graphs, catalog_programs, catalog_rows, catalog_vault, catalog_wide  # noqa: F401  add their queries
 from tallyframe.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
