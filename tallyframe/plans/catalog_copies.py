@@ -14,7 +14,7 @@ WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), m AS (SELECT CAST(p_partke
 w(c, depth, k, tag, around) AS (
   SELECT CAST(c_custkey AS BIGINT), 1, CAST(c_custkey % n + 1 AS BIGINT), 'S' || c_custkey || 'X', CAST([] AS BIGINT[]) FROM customer, n
   UNION ALL SELECT c, depth + 1, child, CASE WHEN depth % 2 = 1 THEN 'TAG' ELSE 'L' || w.k || 'X' END, list_append(around, w.k) FROM w JOIN m ON w.k = m.k WHERE child IS NOT NULL AND NOT list_contains(around, w.k) AND depth <= 10
-), r AS (SELECT w.*, CASE WHEN list_contains(around, k) THEN 'cycle' WHEN depth > 10 THEN 'too deep' WHEN k > n THEN 'not found' END AS reason FROM w, n)
+), r AS (SELECT w.*, CASE WHEN list_contains(around, k) THEN 'cycle' WHEN depth > 10 THEN 'too deep' WHEN k NOT IN (SELECT k FROM m) THEN 'not found' END AS reason FROM w)
 """
 
 
