@@ -23,6 +23,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -74,6 +75,8 @@ def deal(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadratic
 
 #: A part that is one word of letters whose normal form and lower case are single letters, and a mark that no contraction begins with: two tokenizer words.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Words that are remembered at once: a word and its ids take about 200 bytes.
+WORDS = 1_000_000
 #: Words of one library call.
 TOGETHER = 500
 
@@ -86,11 +89,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
+        self.special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)  # ids that end a word
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
         self.end = np.array([end], dtype="<u4").tobytes()
-        self.memo = Memo(self.make)
+        self.memo = Memo(self.make, WORDS)
         self.marks = dict(zip(".,;:!?", self.alone(list(".,;:!?")), strict=True)) | {"": b""}
 
     def alone(self, new: list[str]) -> list[bytes]:
@@ -112,17 +116,27 @@ class Encoder:
 
     def make(self, new: list[str]) -> list[bytes]:
         plain = [_PLAIN.fullmatch(x) for x in new]
-        words = self.joined(list({m[1].lower() for m in plain if m}))
+        stems = [m and m[1].lower() for m in plain]
+        words = self.joined(list(set(stems) - {None}))
         others = iter(self.alone([x for x, m in zip(new, plain, strict=True) if not m]))
-        return [words[m[1].lower()] + self.marks[m[2]] if m else next(others) for m in plain]
+        return [words[stem] + self.marks[m[2]] if m else next(others) for stem, m in zip(stems, plain, strict=True)]
+
+    def lowered(self, text: str) -> str:
+        """``text`` with A-Z in lower case, so that a word is remembered once; as it is where combining marks are, some of which make one character
+        with a small letter only, or where it would hold a special token."""
+        data = text.encode()
+        low = data.lower()
+        return text if b"\xcc" in data or b"\xcd" in data or any(x in low for x in self.special) else low.decode()
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids (4 bytes each, the last is the end id) of each text in turn."""
         for some in in_blocks(texts, SPLIT_CHARS):
-            split = [t.replace("\n", " ").split(" ") for t in some]
-            self.memo.learn(split)
-            for words in split:
-                yield b"".join([*map(self.memo.__getitem__, words), self.end])
+            split = [self.lowered(t).replace("\n", " ").split(" ") for t in some]
+            ids = self.memo.all(list(chain.from_iterable(split)))
+            at = 0
+            for n in map(len, split):
+                yield b"".join([*ids[at : at + n], self.end])
+                at += n
 
 
 class _Block:

@@ -22,16 +22,32 @@ def parts(text: str) -> list[str]:
 class Memo(dict):
     """Part to what ``make`` returns for it; ``make`` takes a list of new parts and returns a list."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable]):
+    def __init__(self, make: Callable[[list[str]], Iterable], entries: int = ENTRIES):
         super().__init__()
-        self.make, self.chars = make, 0
+        self.make, self.entries, self.chars = make, entries, 0
 
     def learn(self, split: list[list[str]]) -> None:
         """Everything that these texts' parts need is there afterwards; what was there before may go, when the memo is full."""
         wanted = set(chain.from_iterable(split))
         new = list(filterfalse(self.__contains__, wanted))
-        if len(self) + len(new) > ENTRIES or self.chars > CHARS:
+        if len(self) + len(new) > self.entries or self.chars > CHARS:
             self.clear()
             self.chars, new = 0, list(wanted)
         self.chars += sum(map(len, new))
         self.update(zip(new, self.make(new), strict=True))
+
+    def all(self, parts: list[str]) -> list:
+        """What there is for each of these parts, after new ones were made."""
+        out = list(map(self.get, parts))
+        places = [i for i, x in enumerate(out) if x is None]
+        if places:
+            new = list({parts[i] for i in places})
+            made = dict(zip(new, self.make(new), strict=True))
+            for i in places:
+                out[i] = made[parts[i]]
+            if len(self) + len(made) > self.entries or self.chars > CHARS:
+                self.clear()
+                self.chars = 0
+            self.chars += sum(map(len, made))
+            self.update(made)
+        return out

@@ -26,7 +26,7 @@ def encoder():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*"abÀéZ \n\t.,'!1²Σσ<|>\x1c\x85　́ﬁİ中", "<|endoftext|>", "'ll", "word. ", "Don't"]), max_size=20).map("".join))
+@given(st.lists(st.sampled_from([*"abÀéZ \n\t.,'!1²Σσ<|>\x1c\x85　́ﬁİ中", "<|endoftext|>", "<|ENDOFTEXT|>", "h\u0331", "H\u0331", "J\u030c", "I\u0307", "'LL", "'ll", "word. ", "Don't"]), max_size=20).map("".join))
 def test_ids_are_the_librarys(encoder, text):
     assert np.frombuffer(next(encoder.encode_all([text])), dtype="<u4").tolist() == ids_of(text)
 
@@ -37,6 +37,17 @@ def test_any_text(encoder):
         assert np.frombuffer(got, dtype="<u4").tolist() == ids_of(text)
 
 
+def test_small_memory(monkeypatch):
+    """Words are forgotten and learned again."""
+    monkeypatch.setattr(P, "WORDS", 7)
+    with open(PATH, "rb") as f:
+        small = P.Encoder(f.read(), P.END)
+    texts = [" ".join(random.Random(k).choices(["Ab", "ab", "cde,", "F.", "gh", "é", "##", "x1", "Yz!", "q"], k=40)) for k in range(30)]
+    for text in texts:
+        assert np.frombuffer(next(small.encode_all([text])), dtype="<u4").tolist() == ids_of(text)
+    assert len(small.memo) <= 7 + 10
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [2047], [5, 5, 5], [1500] * 7, [700, 650, 2000, 30, 1, 1] * 40])
 def test_dealt_rests_fill_every_sequence(lengths):
     pieces, costs = P.deal(lengths)
