@@ -324,7 +324,8 @@ def without_blanks(records: DataFrame, codepage: str | None = None) -> DataFrame
 
 def positions(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
     """``rows`` with the dense position of each, in the order of their partitions: partitions are counted and summed up,
-    then each row's number is its partition's base and its place there. No global sort, no single-partition window."""
+    then each row's number is its partition's base and its place there. No global sort, no single-partition window. The placed rows are a written table: a sort's bounds come
+    from a sample that another run draws anew, so rows counted in one run and numbered in another needn't lie in the same partitions."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, n = TaskContext.get().partitionId(), 0
@@ -333,7 +334,7 @@ def positions(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
             n += b.num_rows
 
     placed = rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("__part", T.LongType()), T.StructField("__place", T.LongType())]))
-    return _based(placed, ["__part"], "__place", name, first).drop("__part", "__place")
+    return _based(cut(placed, "placed"), ["__part"], "__place", name, first).drop("__part", "__place")
 
 
 def _based(placed: DataFrame, split: list[str], place: str, name: str, first: int = 0) -> DataFrame:

@@ -257,6 +257,21 @@ def test_numbers_beyond_a_leaf(spark, tmp_path, monkeypatch):
     assert sorted(bytes(x.raw) for x in source.collect()) == sorted(bytes(x.raw) for x in got)
 
 
+def test_positions_of_sampled_sort(spark):
+    """Range partitions' bounds are sampled, and differ from run to run: a sorted frame must be numbered by the partitions that were counted."""
+    size = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before, merged = spark.conf.get(size), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(size, "3")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 20_000, numPartitions=4).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("k"), "id").orderBy("k", "id")
+        out = records.positions(rows, "at", 1).toPandas().sort_values(["k", "id"])
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.set("spark.sql.adaptive.enabled", merged)
+    assert list(out["at"]) == list(range(1, 20_001))
+
+
 def test_code_pages_by_file(spark, tmp_path):
     """Files of several code pages in one folder; blank records are those of their own page; a file's first record decides nothing."""
     lay = L.Layout("c", (L.Field("N", 0, 3, "integer"), L.Field("T", 3, 9)), 12, codepage="auto")
