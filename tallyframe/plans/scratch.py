@@ -23,3 +23,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task whose work is Python's for each row (milliseconds a row).
+EACH = 2_000
+
+
+def spread(df: DataFrame, each: int | None = None) -> DataFrame:
+    """``df`` dealt evenly to tasks of ``each`` rows (``EACH``) at most: files are split by their bytes, so small rows with much work behind each would lie in few tasks, however many
+    there are. The rows are counted for it; streams and what one task does stay as they are."""
+    n = 1 if df.isStreaming else -(-df.count() // (each or EACH))
+    return df.repartition(n) if n > 1 else df

@@ -5,9 +5,10 @@ from decimal import Decimal
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.conf import CobolConf
-from tallyframe.plans import columns, interp
+from tallyframe.plans import columns, interp, lang, scratch
 from tallyframe.plans import compile as compiler
 from tallyframe.plans.lang import SourceError, parse_program
 
@@ -269,3 +270,12 @@ def test_file_program(spark):
     rows = spark.createDataFrame([(1, "aaa", "10"), (0, "bbb", "5"), (2, "ccc", "1")], "_rec bigint, K string, AMT string")
     out = compiler.execute_io(p, {"IN-F": rows}, "OUT-F", "`OK` string, `RUN-TOTAL` string")
     assert [tuple(r) for r in out.collect()] == [("bbb", "5"), ("aaa", "15"), ("ccc", "16")]
+
+
+def test_portfolio_is_spread(spark, monkeypatch):
+    """Sources of one partition are parsed in as many tasks as their number asks for."""
+    monkeypatch.setattr(scratch, "EACH", 5)
+    text = "       IDENTIFICATION DIVISION.\n       PROGRAM-ID. X{}.\n       PROCEDURE DIVISION.\n       MAIN-P.\n           STOP RUN.\n"
+    sources = spark.createDataFrame([(f"X{k}", text.format(k)) for k in range(20)], "name string, source string").coalesce(1)
+    found = lang.portfolio(spark, sources)("programs").groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("program").alias("x")).collect()
+    assert len(found) == 4 and sorted(x for r in found for x in r.x) == sorted(f"X{k}" for k in range(20))
