@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import rsa
 from tallyframe.plans import vault
 from tallyframe.plans.catalog import query, t
-from tallyframe.plans.scratch import folder
+from tallyframe.plans.scratch import folder, spread
 
 
 @query("""WITH RECURSIVE o AS (
@@ -34,4 +34,4 @@ def signature_states(spark, d):
     key, id_ = rsa.generate(1024), F.col("s_suppkey")
     hashed = t(spark, d, "supplier").select(id_.alias("id"), F.sha2("s_name", 256).alias("record_hash"), F.lit(None).cast("string").alias("chain_hash"))
     text = F.when(F.col("id") % 5 != 0, F.concat("record_hash", F.when(F.col("id") % 7 == 0, "!").otherwise("")))
-    return vault.signatures(hashed.withColumn("signature", rsa.signature(text, key)), key.public).select("id", F.col("signature_state").alias("state"), "record_hash")
+    return vault.signatures(spread(hashed).withColumn("signature", rsa.signature(text, key)), key.public).select("id", F.col("signature_state").alias("state"), "record_hash")

@@ -132,3 +132,13 @@ def test_audit_events(spark, tmp_path):
     vault.log_events(spark.createDataFrame([("v", "delete", "{}", "rq")], "username string, action string, details string, request_id string"), path)
     got = [(r.username, r.action, r.details, r.ip_address) for r in vault.audit(spark.read.parquet(path)).collect()]
     assert got == [("v", "delete", "{}", "local"), ("u", "login", None, "local")]
+
+
+def test_signing_is_spread(spark, monkeypatch):
+    """A signature takes milliseconds: records of one small file are signed in as many tasks as their number asks for."""
+    from tallyframe.plans import catalog_vault, scratch
+
+    monkeypatch.setattr(scratch, "EACH", 5)
+    out = catalog_vault.signature_states(spark, "/root/testdata/sf0.001")
+    found = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert len(found) > 1 and sum(r.n for r in found) == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
