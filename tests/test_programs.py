@@ -279,3 +279,14 @@ def test_portfolio_is_spread(spark, monkeypatch):
     sources = spark.createDataFrame([(f"X{k}", text.format(k)) for k in range(20)], "name string, source string").coalesce(1)
     found = lang.portfolio(spark, sources)("programs").groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("program").alias("x")).collect()
     assert len(found) == 4 and sorted(x for r in found for x in r.x) == sorted(f"X{k}" for k in range(20))
+
+
+@pytest.mark.parametrize("way", ["arrow", "traced"])
+def test_records_are_spread(spark, monkeypatch, way):
+    """Records of one partition that are run one by one go to as many tasks as their number asks for."""
+    monkeypatch.setattr(compiler, "RECORDS", 5)
+    p = parse_program(program("01 A PIC 9(3).", "ADD 1 TO A."))
+    rows = spark.range(0, 20, numPartitions=1).select(F.col("id").alias("_rec"), F.col("id").cast("string").alias("a"))
+    out = compiler.traced(p, rows, {"a": "A"}) if way == "traced" else compiler.execute(p, rows, {"a": "A"}, {"x": "A"}, "arrow")[0]
+    found = out.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("_rec").alias("x")).collect()
+    assert len(found) == 4 and sorted(x for r in found for x in r.x) == list(range(20))
