@@ -8,7 +8,8 @@ where that has a form for all statements, else record by record.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -568,9 +569,70 @@ def over_arrow(program: Program, df: DataFrame, inputs: Mapping[str, str], outpu
     return spread(df.select(F.col("_rec").cast("long").alias("_rec"), *inputs), RECORDS).mapInArrow(run, schema)
 
 
+class Records(Sequence):
+    """A file's records in Arrow batches: some bytes each instead of a dict's hundreds. Changed and added ones lie beside them; a batch at a time is read."""
+
+    def __init__(self) -> None:
+        self.batches: list = []
+        self.ends: list[int] = []
+        self.changed: dict[int, dict | None] = {}
+        self.more: list = []
+        self.at: tuple[int, int, list] = (0, 0, [])
+
+    def load(self, batch) -> None:
+        if batch.num_rows:
+            self.batches.append(batch)
+            self.ends.append((self.ends[-1] if self.ends else 0) + batch.num_rows)
+
+    def __len__(self) -> int:
+        return (self.ends[-1] if self.ends else 0) + len(self.more)
+
+    def __getitem__(self, k):
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        if k in self.changed:
+            return self.changed[k]
+        given = self.ends[-1] if self.ends else 0
+        if k >= given:
+            return self.more[k - given]
+        start, end, rows = self.at
+        if not start <= k < end:
+            i = bisect_right(self.ends, k)
+            start, end, rows = self.at = self.ends[i] - self.batches[i].num_rows, self.ends[i], self.batches[i].to_pylist()
+        return rows[k - start]
+
+    def __setitem__(self, k: int, row: dict | None) -> None:
+        self.changed[k] = row
+
+    def extend(self, rows) -> None:
+        self.more.extend(rows)
+
+
+class Texts:
+    """Written records as Arrow batches of their fields' texts."""
+
+    def __init__(self, names: Sequence[str], text: Callable):
+        self.names, self.text, self.batches, self.rows = names, text, [], []
+
+    def append(self, row: Mapping) -> None:
+        self.rows.append([self.text(row, n) for n in self.names])
+        if len(self.rows) == RECORDS:
+            self.pack()
+
+    def extend(self, rows) -> None:
+        for r in rows:
+            self.append(r)
+
+    def pack(self) -> None:
+        import pyarrow as pa
+
+        self.batches.append(pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], pa.string()) for k in range(len(self.names))], names=list(self.names)))
+        self.rows = []
+
+
 def execute_io(program: Program, files: Mapping[str, DataFrame], output: str, schema: T.StructType | str) -> DataFrame:
     """A program that reads and writes files itself: its storage lives across records, so one ordered task runs it over the
-    inputs, sorted by file and ``_rec`` on the way there; nothing passes the driver. ``schema`` has the output record's fields as strings."""
+    inputs, sorted by file and ``_rec`` on the way there; nothing passes the driver. The task holds its files, in Arrow batches. ``schema`` has the output record's fields as strings."""
     spark = next(iter(files.values())).sparkSession
     names, opened = spark.createDataFrame([], schema).columns, list(files)
     fields = sorted({c for df in files.values() for c in df.columns if c != "_rec"})
@@ -580,18 +642,21 @@ def execute_io(program: Program, files: Mapping[str, DataFrame], output: str, sc
         given = one if given is None else given.unionByName(one)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow.compute as pc
 
         m = interp.Machine(program)
-        m.files = {f: [] for f in opened}
+        m.files = {f: Records() for f in opened}
+        m.keep = lambda f: Texts(names, m.written_text) if f == output else []
         for b in batches:
-            for row in b.to_dict("records"):
-                m.files[row.pop("_file")].append({k: v for k, v in row.items() if k != "_rec"})
+            for f in opened:
+                m.files[f].load(b.filter(pc.equal(b.column("_file"), f)).select(fields))
         m.run()
-        rows = [[m.written_text(r, n) for n in names] for r in m.written.get(output, [])]
-        yield pd.DataFrame(rows, columns=names).astype(object) if rows else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+        made = m.written.get(output)
+        if made is not None:
+            made.pack()
+            yield from made.batches
 
-    return given.repartition(1).sortWithinPartitions("_file", "_rec").mapInPandas(run, schema)
+    return given.repartition(1).sortWithinPartitions("_file", "_rec").mapInArrow(run, schema)
 
 
 def traced(program: Program, df: DataFrame, inputs: Mapping[str, str]) -> DataFrame:

@@ -272,6 +272,24 @@ def test_file_program(spark):
     assert [tuple(r) for r in out.collect()] == [("bbb", "5"), ("aaa", "15"), ("ccc", "16")]
 
 
+def test_file_longer_than_step_limit(spark, monkeypatch):
+    """Each record that is read gives a file program its steps anew; a loop that reads nothing still ends."""
+    from tallyframe.plans import catalog_programs
+
+    monkeypatch.setattr(interp, "STEPS", 100)
+    text = catalog_programs.FILE_PROGRAM
+    run = lambda source: interp.Machine(parse_program(source))
+    m = run(text)
+    m.files = {"STOCK-F": [{"KEY-N": str(k), "SIZ": "2"} for k in range(500)]}
+    m.run()
+    made = m.written["SUM-F"]
+    assert len(made) == 501 and made[499]["TOTAL"] == 1000 and made[500]["STAT"] == "10"
+    m = run(text.replace("MOVE ST TO STAT\n", "PERFORM UNTIL T < 0\n MOVE 1 TO SIZ\n END-PERFORM\n", 1))
+    m.files = {"STOCK-F": [{"KEY-N": "1", "SIZ": "2"}] * 3}
+    with pytest.raises(interp.RunError, match="too many steps"):
+        m.run()
+
+
 def test_portfolio_is_spread(spark, monkeypatch):
     """Sources of one partition are parsed in as many tasks as their number asks for."""
     monkeypatch.setattr(scratch, "EACH", 5)
