@@ -1,7 +1,7 @@
 """Storage that several fields share: an interval join over byte ranges, and what MOVE statements make of it.
 
-Ranges are of any length, so each has buckets of its own size: a range of ``n`` bytes lies in at most two buckets of the power of two that holds ``n``. A range
-meets the ones that are as long as it or longer in their buckets, so it is looked up once or twice a size that occurs (63 at most). Both lie in the bucket in which
+Ranges are of any length, so each has buckets of its own size: a range of ``n`` bytes lies in at most two buckets of the power of four that holds ``n``. A range
+meets the ones that are as long as it or longer in their buckets, so it is looked up once or twice a size that occurs (32 at most). Both lie in the bucket in which
 their common bytes begin, and nowhere else is the pair reported, so there is nothing to make distinct and no cross join within a program.
 """
 
@@ -24,19 +24,20 @@ def overlapping(ranges: DataFrame, group_cols: list[str], id_col: str = "id", st
     same bytes give as many pairs as there are."""
     wanted = [F.col(c).alias(f"g{i}") for i, c in enumerate(group_cols)]
     rows = ranges.select(*wanted, F.col(id_col).alias("id"), F.col(start_col).cast("bigint").alias("start"), F.col(length_col).cast("bigint").alias("n")).where("n > 0").dropna()
-    level = F.length(F.bin(F.col("n") - 1))
+    bits = F.length(F.bin(F.col("n") - 1))
+    level = F.least(bits + bits % 2, F.lit(63))  # every second size: half the lookups for some more pairs that don't meet
     rows = cut(rows.select("*", (F.col("start") + F.col("n")).alias("end"), level.alias("level")), "ranges")
     groups = [f"g{i}" for i in range(len(group_cols))]
-    sizes = sorted(r.level for r in rows.select("level").distinct().collect())  # 63 at most
+    sizes = sorted(r.level for r in rows.select("level").distinct().collect())  # 32 at most
     if not sizes:
         sizes = [1]
-    long = rows.select(*groups, "level", _buckets(F.col("level")).alias("bucket"), F.struct("id", "start", "end").alias("b"))
+    long = rows.select(*groups, "level", _buckets(F.col("level")).alias("bucket"), F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     probes = rows.withColumn("own", F.col("level")).withColumn("level", F.explode(F.array(*map(F.lit, sizes)))).where("level >= own")
-    probes = probes.select(*groups, "level", _buckets(F.col("level")).alias("bucket"), F.struct("id", "start", "end", "own").alias("a"))
-    start, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
+    probes = probes.select(*groups, "level", _buckets(F.col("level")).alias("bucket"), F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), "own")
+    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
     met = probes.join(long, [*groups, "level", "bucket"]).where((start < end) & (F.call_function("shiftright", start, F.col("level")) == F.col("bucket")))
-    met = met.where((F.col("a.own") < F.col("level")) & (F.col("a.id") != F.col("b.id")) | (F.col("a.own") == F.col("level")) & (F.col("a.id") < F.col("b.id")))
-    return met.select(*(F.col(g).alias(c) for g, c in zip(groups, group_cols, strict=True)), F.least("a.id", "b.id").alias("first"), F.greatest("a.id", "b.id").alias("second"), start.alias("start"), (end - start).alias("length"))
+    met = met.where((F.col("own") < F.col("level")) & (F.col("a_id") != F.col("b_id")) | (F.col("own") == F.col("level")) & (F.col("a_id") < F.col("b_id")))
+    return met.select(*(F.col(g).alias(c) for g, c in zip(groups, group_cols, strict=True)), F.least("a_id", "b_id").alias("first"), F.greatest("a_id", "b_id").alias("second"), start.alias("start"), (end - start).alias("length"))
 
 
 def overlays(storage: DataFrame) -> DataFrame:

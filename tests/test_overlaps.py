@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.plans import lang, overlaps
 
@@ -89,3 +90,14 @@ def test_overlays_of_programs(tables):
 def test_moves_of_shared_storage(tables):
     got = sorted((r.source, r.target, r.reason) for r in overlaps.ambiguous_moves(tables("moves"), tables("storage")).where("program = 'T1'").collect())
     assert got == [("KEY-N", "OTHER", "other kind stored"), ("KEY-T", "LO", "operands overlap"), ("KEY-T", "LO", "other kind stored"), ("KEY-T", "OTHER", "other kind stored")]
+
+
+def test_few_sizes_of_buckets(spark, monkeypatch):
+    """A range is looked up in the buckets of each size that occurs: of ranges up to 2,000 bytes there are six at most, and the greatest length still has one."""
+    kept, real = [], overlaps.cut
+    monkeypatch.setattr(overlaps, "cut", lambda df, label: kept.append(real(df, label)) or kept[-1])
+    rows = spark.range(1, 2001).select(F.lit(1).alias("g"), "id", (F.col("id") * 5000).alias("start"), F.col("id").alias("length"))
+    wide = spark.createDataFrame([(1, 0, -5, 2**63 - 1)], "g int, id bigint, start bigint, length bigint")
+    assert overlaps.overlapping(rows, ["g"]).isEmpty()
+    assert kept[0].select("level").distinct().count() <= 6
+    assert overlaps.overlapping(rows.union(wide), ["g"]).count() == 2000
