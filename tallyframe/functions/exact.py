@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -215,3 +217,139 @@ def narrowed(number: Column, ints: int, decs: int) -> Column:
     low = F.when(F.length(whole) > ints, F.concat(F.lit("1"), F.right(whole, F.lit(ints)))).otherwise(whole)
     text = F.concat(F.when(number.startswith("-"), "-").otherwise(""), low, F.lit("."), F.rpad(F.left(fraction_of(number), F.lit(decs)), max(decs, 1), "0"))
     return text.cast(f"decimal({min(38, ints + 1 + decs)},{decs})")
+
+
+# Numbers whose greatest sizes are known: limbs in columns -----------------------------------------------
+
+#: Digits of such a limb; products of two limbs and sums of hundreds of them fit 64 bits.
+FIXED = 8
+UNIT = 10**FIXED
+#: Steps of a long division that stand side by side; a longer one loops over texts.
+STEPS = 24
+
+_div = lambda a, b: F.call_function("div", a, b)  # noqa: E731  the whole part of a quotient, toward zero
+_long = lambda n: F.lit(n).cast("bigint")
+#: Names columns (a projection), so that each is computed once, and returns them.
+Keep = Callable[..., list[Column]]
+
+
+class Wide:
+    """A number as signed limbs from the lowest, of which ``decs`` digits are decimals: 64-bit columns, which compile to machine arithmetic. Each is below ``UNIT`` in size, the
+    highest may reach it."""
+
+    def __init__(self, limbs: list[Column], decs: int):
+        self.limbs, self.decs = limbs, decs
+
+
+def fixed(number: Column, digits: int, decs: int, keep: Keep) -> Wide:
+    """Of a decimal column of ``digits`` digits, ``decs`` of them decimals."""
+    number, n = number.cast(f"decimal({digits},{decs})"), -(-digits // FIXED)
+    bare = lambda x: F.translate(x.cast("string"), "-.", "")  # noqa: E731  F.abs would round negative numbers to 34 digits
+    if decs > 37:
+        text = F.rpad(fraction_of(canonical(number.cast("string"))), decs, F.lit("0"))
+    elif decs:  # texts of small numbers may have exponents, so they are moved away from zero
+        small = f"decimal({decs + 1},{decs})"
+        moved = (number.cast(small) + F.when(number < 0, -1).otherwise(1)).cast(small)
+        text = F.when((number > -1) & (number < 1), F.overlay(bare(moved), F.lit("0"), F.lit(1))).otherwise(bare(number))
+    else:
+        text = bare(number)
+    negative, text = keep(number < 0, F.lpad(F.right(text, F.lit(digits)), n * FIXED, "0"))
+    limb = lambda k: F.substring(text, (n - 1 - k) * FIXED + 1, FIXED).cast("bigint")
+    return Wide(keep(*(F.when(negative, -limb(k)).otherwise(limb(k)) for k in range(n))), decs)
+
+
+def _carried(sums: list[Column], keep: Keep) -> list[Column]:
+    carry, out = None, []
+    for k, s in enumerate(keep(*sums)):
+        s = s if carry is None else s + carry
+        out.append(s % UNIT if k < len(sums) - 1 else s)
+        carry = _div(s, _long(UNIT))
+    return keep(*out)
+
+
+def wide_product(a: Wide, b: Wide, keep: Keep) -> Wide:
+    n, m = len(a.limbs), len(b.limbs)
+    pairs = [[a.limbs[i] * b.limbs[k - i] for i in range(max(0, k - m + 1), min(k, n - 1) + 1)] for k in range(n + m)]
+    return Wide(_carried([reduce(add, x) if x else _long(0) for x in pairs], keep), a.decs + b.decs)
+
+
+def wide_sum(a: Wide, b: Wide, keep: Keep) -> Wide:
+    decs = max(a.decs, b.decs)
+
+    def shifted(x: Wide) -> list[Column]:
+        limbs, rest = divmod(decs - x.decs, FIXED)
+        # what is shifted has a limb more
+        return [_long(0)] * limbs + (_carried([v * _long(10**rest) for v in x.limbs] + [_long(0)], keep) if rest else x.limbs)
+
+    p, q = shifted(a), shifted(b)
+    n = max(len(p), len(q)) + 1
+    p, q = (x + [_long(0)] * (n - len(x)) for x in (p, q))
+    return Wide(_carried([x + y for x, y in zip(p, q, strict=True)], keep), decs)
+
+
+def wide_negated(a: Wide) -> Wide:
+    return Wide([-x for x in a.limbs], a.decs)
+
+
+class Digits:
+    """A number as its sign and the text of exactly ``length`` digits, of which the last ``decs`` are decimals."""
+
+    def __init__(self, negative: Column, text: Column, length: int, decs: int):
+        self.negative, self.text, self.length, self.decs = negative, text, length, decs
+
+    @property
+    def number(self) -> Column:
+        return _signed(self.negative, self.text, F.lit(self.decs))
+
+
+def wide_digits(a: Wide, keep: Keep) -> Digits:
+    sign = F.lit(False)
+    for x in a.limbs:  # the highest limb that isn't zero tells the sign: those below it are less than its unit
+        sign = F.when(x == 0, sign).otherwise(x < 0)
+    [negative] = keep(sign)
+    sizes, carry, out = keep(*(F.when(negative, -x).otherwise(x) for x in a.limbs)), None, []
+    for k, s in enumerate(sizes):
+        s = s if carry is None else s + carry
+        out.append(F.pmod(s, _long(UNIT)) if k < len(sizes) - 1 else s)
+        carry = _div(s + _long(2 * UNIT), _long(UNIT)) - 2  # downward
+    top = FIXED + 2
+    length, decs = len(out) * FIXED + 2, a.decs
+    text = F.concat(F.lpad(out[-1].cast("string"), top, "0"), *(F.lpad(x.cast("string"), FIXED, "0") for x in reversed(out[:-1])))
+    if length <= decs:
+        text, length = F.lpad(text, decs + 1, "0"), decs + 1
+    return Digits(negative, *keep(text), length, decs)
+
+
+def wide_quotient(a: Wide, b: Wide, digits: int, scale: int, keep: Keep) -> Digits | None:
+    """a / b toward zero at ``scale`` decimals, null for a division by zero; ``b`` has at most ``digits`` digits (``DIVISOR`` at most). None if the division would take too many steps."""
+    p, q = wide_digits(a, keep), wide_digits(b, keep)
+    shift = scale + b.decs - a.decs
+    length, width = p.length + shift, min(18, 38 - digits)
+    if length <= 0:
+        return Digits(F.lit(False), F.when(q.number != "0", F.lit("0" * (scale + 1))), scale + 1, scale)
+    steps = -(-length // width)
+    if steps > STEPS:
+        return None
+    # further decimals of the dividend can't change a quotient that is cut
+    [text] = keep(F.lpad(F.rpad(p.text, length, "0"), steps * width, "0"))
+    by, rest, out = keep(F.nullif(F.right(q.text, F.lit(digits)).cast(f"decimal({digits},0)"), F.lit(0).cast(f"decimal({digits},0)")))[0], None, []
+    for k in range(steps):
+        value = F.substring(text, k * width + 1, width).cast("decimal(38,0)")
+        if rest is not None:
+            value = ((rest * F.lit(10**width).cast(f"decimal({width + 1},0)")).cast("decimal(38,0)") + value).cast("decimal(38,0)")
+        [value] = keep(value)
+        part, rest = keep(_div(value, by), (value % by).cast(f"decimal({digits},0)"))
+        out.append(F.lpad(part.cast("string"), width, "0"))
+    length = max(steps * width, scale + 1)
+    return Digits(p.negative != q.negative, *keep(F.lpad(F.concat(*out), length, "0")), length, scale)
+
+
+def digits_narrowed(x: Digits, ints: int, decs: int) -> Column:
+    """As ``narrowed``."""
+    whole = x.length - x.decs
+    part = lambda at, n: F.substring(x.text, at + 1, n)
+    low = part(max(0, whole - ints), min(ints, whole))
+    if whole > ints:
+        low = F.concat(F.when(part(0, whole - ints) != "0" * (whole - ints), "1").otherwise("0"), low)
+    fraction = F.rpad(part(whole, min(decs, x.decs)), max(decs, 1), "0") if decs and x.decs else F.lit("0" * max(decs, 1))
+    return F.concat(F.when(x.negative, "-").otherwise(""), low, F.lit("."), fraction).cast(f"decimal({min(38, ints + 1 + decs)},{decs})")

@@ -26,6 +26,8 @@ from tallyframe.plans.scratch import spread
 from tallyframe.sources.layout import Item
 
 UNROLL = 50
+#: Limbs of wide numbers that one generated method works out: the JVM compiles none above 8,000 bytes.
+TOGETHER = 10
 #: Records of a task that runs them one by one (tenths of a millisecond each).
 RECORDS = 10_000
 
@@ -153,24 +155,45 @@ class Compiler:
         except NotNative as reason:
             if "above 38 digits" not in str(reason) or kept_whole(pic, self.conf) or pic.kind == "float" or pic.int_digits + 1 + scale > 38:
                 raise
-        if e[0] == "bin" and e[1] == "/":
-            value = exact.quotient(self.wide(e[2]), self.wide(e[3], exact.DIVISOR), scale)
-        else:
-            value = self.wide(e)
-        return exact.narrowed(F.col(self._new("wide", value)), pic.int_digits, scale)
-
-    def wide(self, e, most: int = 0) -> Column:
-        """A sum or product of any number of digits, as a column of canonical texts; ``most``: an operand must have no more."""
-        if not most and e[0] == "bin" and e[1] in "+-*":
-            value = {"+": exact.plus, "-": exact.minus, "*": exact.product}[e[1]](self.wide(e[2]), self.wide(e[3]))
-        elif not most and e[0] == "neg":
-            value = exact.negated(self.wide(e[1]))
-        else:
-            n = self.number(e)
-            if most and n.ints + n.decs > most:
-                raise NotNative("a divisor of too many digits")
-            value = exact.canonical(n.col.cast("string"))
-        return F.col(self._new("wide", value))
+        ints = pic.int_digits
+        if e[0] != "bin" or e[1] != "/":
+            return exact.digits_narrowed(exact.wide_digits(self.wide(e), self._keep), ints, scale)
+        a = self.wide(e[2])
+        b, digits = self.wide_number(e[3], exact.DIVISOR)
+        quotient = exact.wide_quotient(a, b, digits, scale, self._keep)
+        if quotient:
+            return exact.digits_narrowed(quotient, ints, scale)
+        a, b = self._keep(*(exact.wide_digits(x, self._keep).number for x in (a, b)))
+        return exact.narrowed(*self._keep(exact.quotient(a, b, scale)), ints, scale)
+
+    def _keep(self, *values: Column) -> list[Column]:
+        """Columns of these values, named in one projection."""
+        names = []
+        for _ in values:
+            self.count += 1
+            names.append(f"__{self.count}_wide")
+        self.df = self.df.select("*", *(v.alias(n) for v, n in zip(values, names, strict=True)))
+        self.limbs += len(names)
+        if self.limbs >= TOGETHER:  # to more partitions than there are: moves no row, but ends the stage's generated method
+            self.df, self.limbs = self.df.coalesce(2**30), 0
+        return [F.col(n) for n in names]
+
+    def wide(self, e) -> exact.Wide:
+        """A sum or product of any number of digits."""
+        if e[0] == "bin" and e[1] in "+-*":
+            a, b = self.wide(e[2]), self.wide(e[3])
+            return exact.wide_product(a, b, self._keep) if e[1] == "*" else exact.wide_sum(a, b if e[1] == "+" else exact.wide_negated(b), self._keep)
+        if e[0] == "neg":
+            return exact.wide_negated(self.wide(e[1]))
+        return self.wide_number(e)[0]
+
+    def wide_number(self, e, most: int = 0) -> tuple[exact.Wide, int]:
+        """What fits a decimal, and how many digits it can have; ``most``: it must have no more."""
+        n = self.number(e)
+        digits = min(38, n.ints + n.decs)
+        if most and digits > most:
+            raise NotNative("a divisor of too many digits")
+        return exact.fixed(n.col, digits, n.decs, self._keep), digits
 
     def text(self, e) -> Column:
         k = e[0]
@@ -480,7 +503,7 @@ class Compiler:
     def over(self, df: DataFrame, inputs: Mapping[str, str], outputs: Mapping[str, str]) -> DataFrame:
         """``_rec``, the outputs as text, ``_error`` (of inputs that are no numbers) and ``_display``."""
         self.machine = interp.Machine(self.p)
-        self.df, self.versions, self.guard, self.count, self.depth, self.stopped, self.shown = df, {}, None, 0, 0, False, []
+        self.df, self.versions, self.guard, self.count, self.limbs, self.depth, self.stopped, self.shown = df, {}, None, 0, 0, 0, False, []
         wrong: list[Column] = []
         for col, var in inputs.items():
             pic = self.pic(var)

@@ -138,3 +138,54 @@ def test_wide_results_are_the_same_on_every_route(spark):
         out, *_ = compiler.execute(program, df, ins, outs, route)
         known.append(sorted((x["_rec"], *(Decimal(x[c]) for c in "pqr"), x["f"]) for x in out.collect()))
     assert known[0] == known[1]
+
+
+def test_numbers_of_known_size(spark):
+    """Signed limbs in columns against unlimited integers: mixed signs, carries, shifts by decimals, small numbers with exponents, long and short divisions."""
+    from decimal import ROUND_DOWN, Context
+
+    r = random.Random(7)
+    wide = Context(prec=300)
+
+    def number(digits, decs):
+        n = r.choice([0, 1, 10**digits - 1, 10 ** (digits - 1), r.randrange(10**digits), r.randrange(10 ** (digits // 2)), 10 ** (digits // 2) - 1])
+        return Decimal(n * r.choice([1, -1])).scaleb(-decs, wide)
+
+    shapes = {"a": (31, 0), "b": (12, 2), "c": (31, 15), "d": (38, 19), "e": (20, 20)}
+    rows = [(i, *(number(*x) for x in shapes.values())) for i in range(150)]
+    texts = spark.createDataFrame([(i, *(format(v, "f") for v in x)) for i, *x in rows], "id int, a string, b string, c string, d string, e string")
+    df = texts.select("id", *(F.col(c).cast(f"decimal({n},{s})").alias(c) for c, (n, s) in shapes.items()))
+
+    def keep(*values):
+        nonlocal df
+        names = [f"w{len(df.columns) + i}" for i in range(len(values))]
+        df = df.select("*", *(v.alias(n) for v, n in zip(values, names, strict=True)))
+        return [F.col(n) for n in names]
+
+    a, b, c, d, e = (exact.fixed(F.col(x), *shape, keep) for x, shape in shapes.items())
+    cube = exact.wide_product(exact.wide_product(c, d, keep), a, keep)
+    mixed = exact.wide_sum(exact.wide_product(c, b, keep), exact.wide_negated(exact.wide_product(d, e, keep)), keep)
+    forms = {"cube": exact.wide_digits(cube, keep), "mixed": exact.wide_digits(mixed, keep), "same": exact.wide_digits(exact.wide_sum(c, exact.wide_negated(c), keep), keep)}
+    forms |= {"short": exact.wide_quotient(a, b, 12, 4, keep), "long": exact.wide_quotient(mixed, e, 20, 9, keep), "none": exact.wide_quotient(e, c, 31, 0, keep), "tiny": exact.wide_quotient(e, b, 12, 0, keep)}
+    assert exact.wide_quotient(cube, d, 37, 0, keep) is None
+    low = exact.digits_narrowed(forms["cube"], 9, 2)
+    got = {x.id: x for x in df.select("id", low.alias("low"), *(x.number.alias(n) for n, x in forms.items())).collect()}
+    cut = lambda x, y, scale: plain(wide.divide(x, y).quantize(Decimal(1).scaleb(-scale), ROUND_DOWN, wide)) if y else None
+    for i, a, b, c, d, e in rows:
+        g, cube, mixed = got[i], wide.multiply(wide.multiply(c, d), a), wide.subtract(wide.multiply(c, b), wide.multiply(d, e))
+        assert (g.cube, g.mixed, g.same) == (plain(cube), plain(mixed), "0")
+        assert (g.short, g.long, g.none, g.tiny) == (cut(a, b, 4), cut(mixed, e, 9), cut(e, c, 0), cut(e, b, 0)), (a, b, c, e)
+        size = int(abs(cube).scaleb(2, wide))
+        assert abs(g.low) * 100 == size % 10**11 + (10**11 if size >= 10**11 else 0)
+
+
+def test_wide_programs_are_plain_arithmetic(spark):
+    """No function that Spark interprets for each row (no lambdas, no regular expressions) is left in a program of 31-digit fields."""
+    from tallyframe.plans.catalog_wide import WIDE
+
+    df = spark.createDataFrame([(0, Decimal(7), Decimal(3), Decimal("1.5"))], "_rec bigint, a decimal(31,0), b decimal(12,0), c decimal(31,15)")
+    out, route = compiler.execute(parse_program(WIDE), df, {"a": "A", "b": "B", "c": "C"}, {"low": "LOW", "q": "Q", "f": "F"}, "native")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert route == "native" and "lambda" not in plan and "regexp" not in plan
+    [row] = out.collect()
+    assert (Decimal(row.low), Decimal(row.q), row.f) == (21, Decimal("2.3333"), "N")
