@@ -1,7 +1,7 @@
 """Graphs too large for a closure: strongly connected components, levels, and a dense order, over written edge tables.
 
-A round reads the tables of the round before, so a lost executor costs one round; nothing but counts comes to the driver. Rounds are as many as the longest of
-the shortest paths that they follow, not as many as nodes."""
+A round reads the tables of the round before, so a lost executor costs one round; nothing but counts comes to the driver. Rounds of levels are as many as the longest path; those of
+components grow with the logarithm of paths of nodes that have one edge in or out, and with the longest of the shortest paths among the others."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from tallyframe.sources.records import prefix_sums
 
 #: Times that ends of paths are trimmed before colours are spread; colours find what is left.
 TRIMS = 3
+#: Of the nodes with one edge out (or in) one in so many stays in a round, and those that reach it in less than two to ``DOUBLED`` steps are taken out.
+KEEP, DOUBLED = 4, 3
 
 
 class Pile:
@@ -39,32 +41,80 @@ def _within(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of the nodes on cycles of ``src``, ``dst``: of strongly connected components of two or more nodes, and of nodes with an edge to themselves.
 
-    Rounds of forward and backward colouring: nodes without an edge in or out are trimmed; each node takes the smallest node that leads to it as its colour; of those
-    that have a colour, the ones from which its node can be reached are its component, and leave the graph."""
+    Paths are shortened first, as long as there are nodes with one edge out or one edge in. Then rounds of forward and backward colouring: nodes without an edge in or out are
+    trimmed; each node takes the smallest node that leads to it as its colour; of those that have a colour, the ones from which its node can be reached are its component, and leave
+    the graph. What was shortened takes the components of its ends, the last shortened first."""
     every = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     own = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left, n, bypassed = _shortened(every.where("src <> dst"))
     found = Pile(own.limit(0), "components")
-    left = cut(every.where("src <> dst"), "edges")
-    while True:
-        n = left.count()
-        for _ in range(TRIMS):
-            through = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-            left, before = cut(_within(left, through, "left_semi"), "edges"), n
-            n = left.count()
-            if n == before:
-                break
-        if not n:
-            break
+    while n:
         colours = cut(_colours(left), "colours")
         members = _backward(left, colours)
         found.add(members.select("node", F.col("colour").alias("component")))
-        left = cut(_within(left, members, "left_anti"), "edges")
-    several = found.read()
-    sizes = several.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    several = cut(several.join(sizes, "component", "left_semi").select("node", "component"), "components")
+        left, n = _trimmed(_within(left, members, "left_anti"))
+    for through in reversed(bypassed):
+        known = found.read()
+        end = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))  # noqa: E731, B023
+        both = through.join(end("src"), "src", "left").join(end("dst"), "dst", "left").select("node", *(F.coalesce(f"{c}_component", c).alias(c) for c in ("src", "dst"))).where("src = dst")
+        found.add(cut(both.groupBy("node").agg(F.min("dst").alias("component")), "restored"))
+    # a cycle that shrank to one node has that node's name; it isn't in the table yet, nor is a name the smallest node
+    labels = found.read()
+    labels = labels.unionByName(labels.select(F.col("component").alias("node"), "component")).distinct()
+    least = labels.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("component", "least")
+    several = cut(labels.join(least, "component").select("node", F.col("least").alias("component")), "components")
     return several.unionByName(own.join(several.select("node"), "node", "left_anti"))
 
 
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """A written table of the edges without those of nodes without an edge in or out (``TRIMS`` times), and their number."""
+    edges = cut(edges, "edges")
+    n = edges.count()
+    for _ in range(TRIMS):
+        through = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        edges, before = cut(_within(edges, through, "left_semi"), "edges"), n
+        n = edges.count()
+        if n == before:
+            break
+    return edges, n
+
+
+def _shortened(edges: DataFrame) -> tuple[DataFrame, int, list[DataFrame]]:
+    """The edges (none from a node to itself) without nodes on paths, their number, and what was taken out, a table a step: ``node`` between ``src`` and ``dst``. ``node`` is in the component of its
+    ``dst`` if one of its ``src`` is; else it is on no cycle.
+
+    A node with one edge out is left out, and those before it lead to where it leads; of the nodes with one edge in likewise. A hash, another one each round, lets every ``KEEP``th
+    such node stay, and those before it, up to two to ``DOUBLED`` steps away, are taken out at once, so a path or ring shrinks to a part in each round, and rounds grow with the logarithm of its length."""
+    left, n = _trimmed(edges)
+    bypassed: list[DataFrame] = []
+    turn = quiet = 0
+    while n and quiet < 2:
+        back = turn % 2 == 1
+        e = left.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else left
+        stays = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(KEEP)) == 0
+        step = cut(e.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")).where((F.col("n") == 1) & ~stays).select(F.col("src").alias("node"), F.array("src").alias("path"), "to"), "steps")
+        turn += 1
+        if step.isEmpty():
+            # none may be left, or the hash kept the last ones
+            quiet += 1
+            continue
+        for _ in range(DOUBLED):
+            on = step.select(F.col("node").alias("to"), F.col("path").alias("more"), F.col("to").alias("then"))
+            step = cut(step.join(on, "to", "left").select("node", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.coalesce("then", "to").alias("to")), "steps")
+        # what leads to one that is still a step is too far away, or on a ring of steps
+        out = cut(step.join(step.select(F.col("node").alias("to")), "to", "left_anti").select("node", "path", "to"), "steps")
+        if out.isEmpty():
+            quiet += 1
+            continue
+        quiet = 0
+        stay = e.join(out.select(F.col("node").alias("src")), "src", "left_anti").join(out.select(F.col("node").alias("dst"), "path", "to"), "dst", "left")
+        stay = cut(stay.select("src", "dst", "path", "to"), "edges")
+        bypassed.append(stay.where("to IS NOT NULL").select("src", F.explode("path").alias("node"), F.col("to").alias("dst")))
+        e = stay.select("src", F.coalesce("to", "dst").alias("dst")).where("src <> dst").distinct()
+        left, n = _trimmed(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else e)
+    return left, n, bypassed
+
+
 def _colours(edges: DataFrame) -> DataFrame:
     """``node`` and ``colour``: the smallest node that leads to it (or itself)."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

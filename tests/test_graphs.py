@@ -69,6 +69,27 @@ def test_many_edges(spark):
     assert {x.node: x.component for x in graphs.components(frame(spark, edges)).collect()} == tarjan(edges)
 
 
+@pytest.mark.parametrize("seed", [4])
+def test_long_rings_and_paths(spark, seed, monkeypatch):
+    """Rounds don't grow with the length of a ring or path; more written tables than these would be a round for each node."""
+    r, written = random.Random(seed), 0
+
+    def counted(df, label, cut=graphs.cut):
+        nonlocal written
+        written += 1
+        assert written < 400
+        return cut(df, label)
+
+    monkeypatch.setattr(graphs, "cut", counted)
+    edges = [(i, (i + 1) % 600) for i in range(600)]  # a ring with paths into and out of it, and between it and another
+    edges += [(10_000 + i, 10_001 + i) for i in range(300)] + [(10_300, 7), (500, 20_000)] + [(20_000 + i, 20_001 + i) for i in range(300)] + [(20_300, 20_100)]
+    edges += [(30_000 + i, 30_000 + r.randrange(400)) for i in range(400)] + [(40_000, 40_001), (40_001, 40_000), (40_002, 40_002), (40_001, 40_002)]
+    names = list(range(50_000))
+    r.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in edges]
+    assert {x.node: x.component for x in graphs.components(frame(spark, edges)).collect()} == tarjan(edges)
+
+
 def test_empty_and_nulls(spark):
     assert graphs.components(frame(spark, [])).collect() == []
     assert graphs.components(frame(spark, [(None, 1), (1, None), (1, 2)])).collect() == []
