@@ -7,6 +7,8 @@ verb, body)`` are what ``plans.lang.facts`` makes of sources; any tables of thes
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,29 +38,39 @@ def control_edges(paragraphs: DataFrame, edges: DataFrame) -> DataFrame:
     return direct.select("program", "src", "dst").unionByName(chain).unionByName(fall).distinct()
 
 
+def _each(edges: DataFrame, found: Callable[[list], Iterable[str]]) -> DataFrame:
+    """``program``, ``node``: what ``found`` makes of the (``src``, ``dst``) pairs of each program. A program's graph is as small as the program, so it is walked whole, a row of a batch: one shuffle,
+    whatever the depth, and no group of its own for Python."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for b in batches:
+            got = [(p, n) for p, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n in found([(x["src"], x["dst"]) for x in pairs])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.string()) for k in (0, 1)], names=["program", "node"])
+
+    return edges.groupBy("program").agg(F.collect_list(F.struct("src", "dst")).alias("pairs")).mapInArrow(rows, "program string, node string")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``program``, ``node``: what the seeds (``program``, ``node``) reach over ``src`` -> ``dst``. A program's graph is as small as
-    the program, so each is walked whole in one group: one shuffle, whatever the depth."""
-    import pandas as pd
+    """``program``, ``node``: what the seeds (``program``, ``node``) reach over ``src`` -> ``dst``."""
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(pairs: list) -> set:
         after: dict = {}
         todo = []
-        for src, dst in zip(rows["src"], rows["dst"], strict=True):
-            if src is None or src != src:
+        for src, dst in pairs:
+            if src is None:
                 todo.append(dst)
             else:
                 after.setdefault(src, []).append(dst)
-        found = set()
+        found: set = set()
         while todo:
             node = todo.pop()
             if node not in found:
                 found.add(node)
                 todo += after.get(node, [])
-        return pd.DataFrame({"program": rows["program"].iloc[0], "node": sorted(found)})
+        return found
 
-    rows = edges.select("program", "src", "dst").unionByName(seeds.select("program", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst")))
-    return rows.groupBy("program").applyInPandas(walk, "program string, node string")
+    return _each(edges.select("program", "src", "dst").unionByName(seeds.select("program", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"))), walk)
 
 
 def seeds(paragraphs: DataFrame, edges: DataFrame) -> DataFrame:

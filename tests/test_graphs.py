@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyframe.plans import graphs
+from tallyframe.plans import graphs, portfolio
 
 
 def tarjan(edges):
@@ -102,3 +102,13 @@ def test_orders(spark):
     assert up == {3: 0, 2: 1, 1: 2, 8: 3, 6: 0, 9: 0, 4: -1, 5: -1, 7: -1}
     order = [x.node for x in graphs.callees_first(frame(spark, edges), nodes).orderBy("position").collect()]
     assert order == [4, 5, 6, 7, 3, 2, 1, 8, 9]  # what cycles lead to first, then from the last peeled to the roots
+
+
+def test_programs_are_walked_in_batches(spark):
+    """What each of many small programs reaches, without a Python group for each."""
+    edges = spark.createDataFrame([(f"P{k}", a, b) for k in range(300) for a, b in (("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"))] + [("LONE", "X", "Y")], "program string, src string, dst string")
+    seeds = spark.createDataFrame([(f"P{k}", "B" if k % 2 else "D") for k in range(300)] + [("EMPTY", "Z")], "program string, node string")
+    got = portfolio.reachable(edges, seeds)
+    want = {(f"P{k}", n) for k in range(300) for n in ("ABC" if k % 2 else "ABCD")} | {("EMPTY", "Z")}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
