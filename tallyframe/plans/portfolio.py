@@ -92,11 +92,45 @@ def dead_summary(dead: DataFrame) -> DataFrame:
     return dead.groupBy("program").agg(F.count("*").alias("total_paragraphs"), F.count_if(F.col("reachable")).alias("reachable_paragraphs"), F.round(n * 100.0 / F.count("*"), 1).alias("dead_percentage"))
 
 
+def on_cycles(pairs: list) -> list:
+    """Nodes on a cycle of one graph's (``src``, ``dst``) pairs: depth-first, then backward from the last left, each node twice (Kosaraju)."""
+    after: dict = {}
+    before: dict = {}
+    for src, dst in pairs:
+        after.setdefault(src, []).append(dst)
+        before.setdefault(dst, []).append(src)
+    left, seen = [], set()
+    for start in after:
+        todo = [(start, False)]
+        while todo:
+            node, done = todo.pop()
+            if done:
+                left.append(node)
+            elif node not in seen:
+                seen.add(node)
+                todo.append((node, True))
+                todo += [(n, False) for n in after.get(node, ())]
+    found, taken = [], set()
+    for start in reversed(left):
+        if start in taken:
+            continue
+        members, todo = [], [start]
+        taken.add(start)
+        while todo:
+            node = todo.pop()
+            members.append(node)
+            more = set(before.get(node, ())) - taken
+            taken |= more
+            todo += more
+        if len(members) > 1 or start in after.get(start, ()):
+            found += members
+    return found
+
+
 def perform_cycles(edges: DataFrame) -> DataFrame:
-    """Paragraphs on a cycle of PERFORM edges: of all programs at once, a node is a program's paragraph."""
-    node = lambda c: F.struct("program", F.col(c).alias("name"))
-    performs = edges.where((F.col("kind") == "PERFORM") & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(node("src").alias("src"), node("dst").alias("dst"))
-    return graphs.components(performs).select("node.program", "node.name")
+    """``program``, ``name`` of paragraphs on a cycle of PERFORM edges."""
+    performs = edges.where((F.col("kind") == "PERFORM") & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    return _each(performs.select("program", "src", "dst"), on_cycles).withColumnRenamed("node", "name")
 
 
 # Calls --------------------------------------------------------------------------------------------------

@@ -112,3 +112,23 @@ def test_programs_are_walked_in_batches(spark):
     want = {(f"P{k}", n) for k in range(300) for n in ("ABC" if k % 2 else "ABCD")} | {("EMPTY", "Z")}
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_perform_cycles_of_one_program(spark):
+    """Each program's paragraphs on cycles, in as few jobs for many programs as for one."""
+    r = random.Random(5)
+    rows, want = [], set()
+    for k in range(60):
+        edges = [(r.randrange(12), r.randrange(12)) for _ in range(r.randrange(1, 22))]
+        rows += [(f"P{k}", f"N{a}", f"N{b}", "PERFORM") for a, b in edges] + [(f"P{k}", f"N{r.randrange(12)}", "N0", "GO TO"), (f"P{k}", None, "N0", "PERFORM")]
+        want |= {(f"P{k}", f"N{n}") for n in tarjan(edges)}
+    # a long ring of paragraphs, with a tail
+    rows += [("RING", f"N{n}", f"N{(n + 1) % 5000}", "PERFORM") for n in range(5000)] + [("RING", "T", "N0", "PERFORM")]
+    want |= {("RING", f"N{n}") for n in range(5000)}
+    edges = spark.createDataFrame(rows, "program string, src string, dst string, kind string")
+    spark.sparkContext.setJobGroup("cycles", "cycles")
+    got = [tuple(x) for x in portfolio.perform_cycles(edges).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cycles"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == sorted(want)
+    assert jobs <= 3
