@@ -14,7 +14,7 @@ from tallyframe.functions.pic import parse
 from tallyframe.plans import compile as compiler
 from tallyframe.plans import fixtures, lang, portfolio, vault
 from tallyframe.plans.catalog import BAL, LAYOUT, C, balances, money, query, scaled, t
-from tallyframe.plans.scratch import folder
+from tallyframe.plans.scratch import cut, folder
 from tallyframe.sources import layout as layouts
 from tallyframe.sources import records
 
@@ -346,7 +346,7 @@ def perform_cycles_suppliers(spark, d):
   CASE WHEN k % 5 = 0 THEN 'LIB-N' || n ELSE '' END AS unresolved FROM s a""")
 def call_graph_suppliers(spark, d):
     p = tables(spark, d)("programs").select("program", "source")
-    c = portfolio.calls(p)
+    c = cut(portfolio.calls(p), "calls")  # read three times
     roots = portfolio.call_roots(c, p).withColumn("root", F.lit(True))
     missing = portfolio.unresolved(c, p).groupBy("program").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("unresolved"))
     out = p.join(portfolio.called_by(c), "program", "left").join(roots, "program", "left").join(missing, "program", "left")

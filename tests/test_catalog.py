@@ -45,3 +45,9 @@ def test_entry(spark):
 
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_call_graph_finds_calls_once(spark):
+    """Three tables come from the calls, which are searched for in the sources once."""
+    out = QUERIES["call_graph_suppliers"](spark, SF)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
