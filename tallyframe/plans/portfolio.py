@@ -180,10 +180,11 @@ def call_order(call: DataFrame, programs: DataFrame) -> DataFrame:
 
 
 def parameters(call: DataFrame, linkage: DataFrame) -> DataFrame:
-    """``program``, ``target``, ``position``, ``argument``, ``parameter`` (null: UNMATCHED) by place; ``linkage`` has ``program``, ``position``, ``name``."""
+    """``program``, ``target``, ``position``, ``argument``, ``parameter`` (null: UNMATCHED) by place; ``linkage`` has ``program``, ``position``, ``name``. Both are shuffled: Spark takes lists in
+    cached rows for much longer than they are, so a whole portfolio's ``linkage`` would look small enough to be broadcast."""
     args = call.select("program", "target", F.posexplode("args").alias("position", "argument"))
     names = linkage.select(F.col("program").alias("target"), "position", F.col("name").alias("parameter"))
-    return args.join(names, ["target", "position"], "left").select("program", "target", "position", "argument", "parameter", F.when(F.col("parameter").isNull(), "UNMATCHED").otherwise("MATCHED").alias("status"))
+    return args.join(names.hint("merge"), ["target", "position"], "left").select("program", "target", "position", "argument", "parameter", F.when(F.col("parameter").isNull(), "UNMATCHED").otherwise("MATCHED").alias("status"))
 
 
 # Embedded SQL and CICS ----------------------------------------------------------------------------------

@@ -51,3 +51,11 @@ def test_call_graph_finds_calls_once(spark):
     """Three tables come from the calls, which are searched for in the sources once."""
     out = QUERIES["call_graph_suppliers"](spark, SF)
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_call_parameters_broadcasts_nothing(spark):
+    """A portfolio's parameters meet its arguments in a shuffle; none of them goes through the driver."""
+    out = QUERIES["call_parameters_suppliers"](spark, SF)
+    assert out.count() > 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
