@@ -406,7 +406,7 @@ def compiler_matrix_suppliers(spark, d):
 
 @query(f"{SUP} SELECT 'application' AS type, program AS name FROM s UNION SELECT 'library', 'S' || lpad(CAST(k // 2 AS VARCHAR), 6, '0') FROM s WHERE k > 1 UNION SELECT 'library', 'LIB-N' || n FROM s WHERE k % 5 = 0 UNION SELECT 'data', 'ACCTS' FROM s WHERE k % 4 = 1")
 def sbom_suppliers(spark, d):
-    """The components of the document, read back from its JSON."""
+    """The components of the documents, read back from their JSON."""
     tb = tables(spark, d)
     bom = portfolio.sbom(tb("programs"), portfolio.calls(tb("programs")), tb("copies"), portfolio.db2_tables(tb("blocks")))
     parts_ = F.from_json("sbom", "components array<struct<type:string,name:string>>")["components"]

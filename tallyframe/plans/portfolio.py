@@ -386,15 +386,29 @@ def trace_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     return first.select("trace", F.col("idx").alias("divergence_index"), F.col("idx").alias("matching_events"), F.col("a_variable").alias("variable"), why.alias("diagnosis"))
 
 
+#: Components of one document.
+SHEET = 50_000
+
+
 def sbom(programs: DataFrame, call: DataFrame, copies: DataFrame, tables: DataFrame) -> DataFrame:
     """A CycloneDX 1.4 document of a portfolio, one JSON text: programs, copybooks, called programs and DB2 tables as components; the
-    serial is a UUID of the components' digest."""
+    serial is a UUID of the components' digest. Beyond ``SHEET`` components it goes on, by type and name, in further documents of as many, each with its place (``2/11``) as
+    the property ``part`` of its metadata, so that no task has them all."""
     part = lambda df, name, kind, why: df.select(F.lit(kind).alias("type"), F.col(name).alias("name"), F.lit(why).alias("description")).distinct()
     every = part(programs, "program", "application", "program").union(part(copies, "copybook", "library", "copybook")).union(part(call.where("kind = 'STATIC'"), "target", "library", "called program")).union(part(tables, "table", "data", "DB2 table"))
-    listed = every.distinct().agg(F.array_sort(F.collect_list(F.struct("type", "name", "description"))).alias("components"))
+    every = cut(every.distinct(), "components")
+    sheets, place = -(-every.count() // SHEET), []
+    listed = F.array_sort(F.collect_list(F.struct("type", "name", "description"))).alias("components")
+    if sheets > 1:
+        numbered = prefix_sums(every.withColumn("one", F.lit(1).cast("bigint")), ["type", "name", "description"], "one", "before")
+        listed = numbered.groupBy(F.floor(F.col("before") / SHEET).alias("sheet")).agg(listed)
+        at = F.concat((F.col("sheet") + 1).cast("string"), F.lit(f"/{sheets}"))
+        place = [F.struct(F.array(F.struct(F.lit("part").alias("name"), at.alias("value"))).alias("properties")).alias("metadata")]
+    else:
+        listed = every.agg(listed)
     d = F.md5(F.to_json("components"))
     serial = F.concat(F.lit("urn:uuid:"), F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.concat(F.lit("5"), F.substring(d, 14, 3)), F.concat(F.lit("8"), F.substring(d, 18, 3)), F.substring(d, 21, 12)))
-    return listed.select(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), serial.alias("serialNumber"), F.lit(1).alias("version"), F.col("components"))).alias("sbom"))
+    return listed.select(F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.4").alias("specVersion"), serial.alias("serialNumber"), F.lit(1).alias("version"), *place, F.col("components"))).alias("sbom"))
 
 
 def sbom_problems(bom: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Whole runs: a program over a file against expected output, portfolios, the store."""
 
+import json
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -133,3 +134,24 @@ def test_other_routes_of_the_flagship(spark):
     rows = spark.createDataFrame([(i, f"{i * 7919}.{i % 100:02d}", str(i * 37 % 20000), str(i % 20), ("ST", "EX", "UR")[i % 3]) for i in range(60)], "_rec bigint, value string, weight string, zone string, service string")
     results = [sorted(map(tuple, compiler.execute(lang.parse_program(p), rows, catalog.FREIGHT_IN, catalog.FREIGHT_OUT, route)[0].collect())) for p in (fixtures.FREIGHT, fixtures.FREIGHT_SIZED) for route in ("native", "columns", "arrow")]
     assert results[0] == results[1] == results[2] and results[3] == results[4] == results[5]
+
+
+def test_large_sbom_is_divided(spark, monkeypatch):
+    """No document, and so no task, has more components than ``SHEET``; all are listed once, in order; one of few components is whole."""
+    programs = spark.createDataFrame([(f"P{k:02d}",) for k in range(25)], "program string")
+    call = spark.createDataFrame([("P01", "P02", "STATIC"), ("P01", "LIB", "STATIC"), ("P02", "ANY", "DYNAMIC")], "program string, target string, kind string")
+    copies, tables = spark.createDataFrame([("P01", "LIB")], "program string, copybook string"), spark.createDataFrame([("ACCTS",)], "table string")
+    want = [("application", f"P{k:02d}", "program") for k in range(25)] + [("data", "ACCTS", "DB2 table"), ("library", "LIB", "called program"), ("library", "LIB", "copybook"), ("library", "P02", "called program")]
+
+    listed = lambda x: [(c["type"], c["name"], c["description"]) for c in x["components"]]
+    for size, parts in ((100, 1), (29, 1), (28, 2), (10, 3), (1, 29)):
+        monkeypatch.setattr(portfolio, "SHEET", size, raising=False)
+        bom = portfolio.sbom(programs, call, copies, tables)
+        docs = sorted((json.loads(r.sbom) for r in bom.collect()), key=listed)
+        assert [c for x in docs for c in listed(x)] == want
+        assert portfolio.sbom_problems(bom).count() == 0
+        assert [len(x["components"]) for x in docs] == [min(size, 29 - i) for i in range(0, 29, size)]
+        assert [x["metadata"]["properties"][0]["value"] if "metadata" in x else "1/1" for x in docs] == [f"{i}/{parts}" for i in range(1, parts + 1)]
+        assert len({x["serialNumber"] for x in docs}) == parts
+    none = portfolio.sbom(*(df.limit(0) for df in (programs, call, copies, tables))).collect()
+    assert [json.loads(r.sbom)["components"] for r in none] == [[]]
