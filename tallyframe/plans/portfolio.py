@@ -253,7 +253,7 @@ def arithmetic_risk(computes: DataFrame, variables: DataFrame) -> DataFrame:
     pics = lambda c, k: variables.select(F.col("program").alias(f"pr{k}"), F.col("name").alias(f"n{k}"), F.col("int_digits").alias(f"i{k}"), F.col("dec_digits").alias(f"d{k}"))
     out = computes
     for k, c in ((0, "target"), (1, "left"), (2, "right")):
-        side = pics(c, k)
+        side = pics(c, k).hint("merge")  # as in ``parameters``: variables look smaller than they are
         out = out.join(side, (F.col("program") == F.col(f"pr{k}")) & (F.col(c) == F.col(f"n{k}")), "left")
     for k, c in ((1, "left"), (2, "right")):
         number = F.col(c).rlike(r"^-?\d+(\.\d+)?$")

@@ -53,9 +53,10 @@ def test_call_graph_finds_calls_once(spark):
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_call_parameters_broadcasts_nothing(spark):
-    """A portfolio's parameters meet its arguments in a shuffle; none of them goes through the driver."""
-    out = QUERIES["call_parameters_suppliers"](spark, SF)
+@pytest.mark.parametrize("name", ["call_parameters_suppliers", "arith_risk_suppliers"])
+def test_broadcasts_nothing(spark, name):
+    """A portfolio's parameters and variables meet its arguments and operands in a shuffle; none of them goes through the driver."""
+    out = QUERIES[name](spark, SF)
     assert out.count() > 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
